@@ -10,6 +10,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .search import top_k
 from .sharding import shard_documents
+from .warc import archive_pages
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op5_topk": """
