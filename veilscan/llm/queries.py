@@ -8,6 +8,7 @@ from .bpe import encode_documents
 from .common import table
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import pii_report
 from .search import top_k
 from .sharding import shard_documents
 from .warc import archive_pages
@@ -41,7 +42,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op10_warc": op10_warc}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op8_pii": op8_pii, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op5_topk": """
