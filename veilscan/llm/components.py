@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .where("_to < own")
             .select(F.col("own").alias("label"), "_to")
         )
-        linked = cut(moved.join(jump, "label", "left").select("node", "own", "_was", F.coalesce("_to", "label").alias("label")))
+        # stored, so that both sides of the join are dealt out for it and Spark can split a label that many nodes share
+        linked = cut(moved.join(stored(jump, "jump"), "label", "left").select("node", "own", "_was", F.coalesce("_to", "label").alias("label")))
         if linked.where("label < _was").isEmpty():
             break
         linked = linked.drop("_was")
