@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, offsets, partitions, scratch, stored
 
-ARCHIVE_BYTES = 64 << 20
 END = "\r\n\r\n"
 #: Seconds after which the timestamps made from page ids start again, so that years keep four digits.
 CYCLE = 10**9
@@ -78,18 +77,18 @@ def _record(page_id: int | None, url: str | None, html: bytes, sha1: str, first:
     return "\r\n".join(head).encode() + END.encode() + block
 
 
-def write_archives(pages: DataFrame, path: str, start: int = 1_704_067_200, most_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes a record per row of ``pages`` (page_id, url, html) below ``path``, gzip-compressed archives of about
-    ``most_bytes`` of payload. A page without a time of its own is captured ``page_id`` seconds after ``start``."""
+def write_archives(pages: DataFrame, path: str, start: int = 1_704_067_200, most_records: int = 20_000) -> None:
+    """Writes a record per row of ``pages`` (page_id, url, html) below ``path``, in gzip-compressed archives of at most
+    ``most_records``. A page without a time of its own is captured ``page_id`` seconds after ``start``.
+
+    The pages are dealt out once, by payload: copies meet the first of their payload there (Spark splits a payload
+    with many copies), and each partition becomes archives. A payload is stored once however often it occurs.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    known = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.first(F.octet_length("html")).alias("_n"))
-    first = stored(known, "payloads")
-    total = first.agg(F.sum(F.col("_n").cast("long"))).first()[0] or 0
-    archives = max(partitions(pages.sparkSession), -(-total // most_bytes))
+    first = stored(rows.groupBy("sha1").agg(F.min("page_id").alias("first")), "payloads")
     revisit = F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))
-    marked = rows.join(first.drop("_n"), "sha1").withColumn("revisit", F.col("first").isNotNull() & revisit)
-    dealt = marked.repartition(archives, F.xxhash64("page_id", "url"))
+    marked = rows.join(first, "sha1").withColumn("revisit", F.col("first").isNotNull() & revisit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +99,8 @@ def write_archives(pages: DataFrame, path: str, start: int = 1_704_067_200, most
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], ["value"])
 
-    dealt.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    records = marked.mapInArrow(run, "value string")
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
