@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .common import table
+from .fingerprints import version_report
 from .licenses import license_report
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -47,11 +48,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_report(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op6_licenses": op6_licenses, "op8_pii": op8_pii, "op10_warc": op10_warc}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op6_licenses": op6_licenses, "op7_fingerprints": op7_fingerprints, "op8_pii": op8_pii, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op5_topk": """
