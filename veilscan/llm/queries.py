@@ -11,6 +11,7 @@ from .licenses import license_report
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import pii_report
+from .quality import quality_report
 from .search import top_k
 from .sharding import shard_documents
 from .warc import archive_pages
@@ -52,11 +53,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op6_licenses": op6_licenses, "op7_fingerprints": op7_fingerprints, "op8_pii": op8_pii, "op10_warc": op10_warc}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op6_licenses": op6_licenses, "op7_fingerprints": op7_fingerprints, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
     "op5_topk": """
