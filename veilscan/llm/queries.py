@@ -42,7 +42,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages"))
+    return archive_pages(table(spark, sf_dir, "pages")).drop("archive")  # its name differs from run to run
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,24 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op6_licenses": op6_licenses, "op7_fingerprints": op7_fingerprints, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_warc": op10_warc}
 
 SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, lower(trim(url)) AS u, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s FROM pages
+        ), first_of AS (SELECT s, min(page_id) AS first_id FROM p GROUP BY s
+        ), captures AS (
+            SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+                array_to_string(list_transform(regexp_extract_all(
+                    array_to_string(list_transform(string_split(s, ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), ''), '.{5}'),
+                    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(string_split(b, ''), lambda c: c::INT), lambda x, y: 2 * x + y), 1)), '') AS payload_digest,
+                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+                array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z]+://([^/?#:]+)', 1), '.')), ',') || ')'
+                    || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/') || regexp_extract(u, '([?][^#]+)', 1) AS url_key,
+                strftime(to_timestamp(1704067200 + page_id % 1000000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured
+            FROM p JOIN first_of USING (s)
+        )
+        SELECT *, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position FROM captures
+    """,
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
