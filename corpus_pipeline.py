@@ -26,9 +26,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays, once even if rows repeat it.
-    Rows without doc_id stay unless their group has a document with one."""
+    Rows without doc_id cannot be named by a group and all stay."""
     found = near_duplicates(docs)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
+    nameless = spark.createDataFrame([(None,)], "doc_id long")
+    kept = stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().union(nameless), "kept")
     rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows
