@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
 from .bpe import encode_documents
 from .common import table
 from .fingerprints import version_report
-from .licenses import license_report
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import pii_report
@@ -46,7 +46,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_report(table(spark, sf_dir, "documents"))
+    return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,55 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_topk": op5_topk, "op6_licenses": op6_licenses, "op7_fingerprints": op7_fingerprints, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_warc": op10_warc}
 
+def _license_sql() -> str:
+    """Diagonal voting over the words' k-grams themselves instead of their hashes."""
+    split = f"list_filter(regexp_split_to_array(lower({{0}}), '{licenses.NOT_WORD}'), lambda x: x <> '')"
+    rows = [(text, label, "true") for text, label in licenses.PHRASES.items()] + [(text, label, "false") for label, text in licenses.NOTICES.items()]
+    values = ", ".join(f"({i}, '{text}', '{label}', {phrase})" for i, (text, label, phrase) in enumerate(rows))
+    k = f"CASE WHEN phrase THEN {licenses.PHRASE_GRAM} ELSE {licenses.NOTICE_GRAM} END"
+    return f"""
+        WITH docs AS (SELECT doc_id, {split.format("coalesce(text, '')")} AS w FROM documents
+        ), templates AS (SELECT template, label, phrase, {k} AS k, {split.format("text")} AS w FROM (VALUES {values}) t(template, text, label, phrase)
+        ), positions AS (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM templates
+        ), rules AS (SELECT template, label, phrase, k, len(w) AS n_words, len(w) - k + 1 AS n_grams, p, array_to_string(w[p + 1:p + k], ' ') AS g FROM positions
+        ), places AS (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM docs, (VALUES ({licenses.PHRASE_GRAM}), ({licenses.NOTICE_GRAM})) ks(k)
+        ), grams AS (SELECT doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS g FROM places
+        ), diagonals AS (
+            SELECT doc_id, template, label, phrase, k, n_words, n_grams, i - p AS d, list(DISTINCT p) AS ps FROM grams JOIN rules USING (k, g) GROUP BY ALL
+        ), cut AS (
+            SELECT *, coalesce(phrase OR d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) > {licenses.NEAR}, true)::INT AS new FROM diagonals
+        ), numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM cut
+        ), spans AS (
+            SELECT doc_id, label, phrase, min(d + list_min(ps)) AS s, max(d + list_max(ps)) + any_value(k) AS e, any_value(n_words) AS n_words,
+                len(list_distinct(flatten(list(ps))))::DOUBLE / any_value(n_grams) AS share
+            FROM numbered GROUP BY doc_id, template, label, phrase, span
+        ), good AS (
+            SELECT * FROM spans WHERE CASE WHEN phrase THEN share = 1 ELSE share >= {licenses.LEAST_SHARE} AND e - s <= {licenses.MOST_STRETCH} * n_words + {licenses.NEAR} END
+        )
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(*) FILTER (phrase) AS n_base, min(s) FILTER (phrase) AS first_word, max(s) FILTER (phrase) AS last_word,
+            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+            coalesce(max(share), 0)::DOUBLE AS score
+        FROM docs d LEFT JOIN good USING (doc_id) GROUP BY d.doc_id, d.w
+    """
+
+
 SQL: dict[str, str] = {
+    "op1_sharding": """
+        WITH crc_table AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), bytes AS (
+            SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents
+        ), sized AS (
+            SELECT doc_id, (len(b) + 16)::BIGINT AS size,
+                xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295)::BIGINT AS text_crc32
+            FROM bytes, crc_table
+        ), placed AS (
+            SELECT *, least(39, ((2 * sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size) * 40) // (2 * sum(size) OVER ()))::INTEGER AS shard FROM sized
+        )
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INTEGER AS grown_shard
+        FROM placed
+    """,
+    "op6_licenses": _license_sql(),
     "op10_warc": """
         WITH p AS (
             SELECT page_id, lower(trim(url)) AS u, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s FROM pages
