@@ -82,9 +82,17 @@ def end_marker(ext: Column, markers: dict[str, str] = END_MARKERS) -> Column:
     return F.try_element_at(of_type, ext)
 
 
+def trailer_of(ext: Column, content: Column) -> Column:
+    """Bytes after the last end marker of the file's type; null without one."""
+    return after_last(content, end_marker(ext))
+
+
 def appended_data(ext: Column, content: Column, ignore_trailing_eol: bool = False) -> Column:
     """Bytes after the last end marker of the file's type, and what kind of file starts there."""
-    trailer = after_last(content, end_marker(ext))
+    return appended_signals(trailer_of(ext, content), ignore_trailing_eol)
+
+
+def appended_signals(trailer: Column, ignore_trailing_eol: bool = False) -> Column:
     n = F.length(trailer)
     there = n > 0
     if ignore_trailing_eol:
@@ -98,7 +106,11 @@ def appended_data(ext: Column, content: Column, ignore_trailing_eol: bool = Fals
 
 def jpeg_trailer(content: Column) -> Column:
     """Bytes after the last JPEG end marker, scored by length, and the trailer mark anywhere in a file with one."""
-    n = F.length(after_last(content, unhex(JPEG_END)))
+    return jpeg_signals(content, after_last(content, unhex(JPEG_END)))
+
+
+def jpeg_signals(content: Column, trailer: Column) -> Column:
+    n = F.length(trailer)
     long = signal("jpeg_trailer", F.least(F.lit(100), 50 + F.floor(n / 32)), F.concat(n.cast("string"), F.lit(" bytes after the end of the image")), n)
     mark = signal("stegapp_marker", 95, "trailer mark")
     return signals(F.when(n > 0, long), F.when(n.isNotNull() & F.contains(content, unhex(TRAILER_MARK)), mark))

@@ -26,11 +26,12 @@ def summary(signals: Column) -> Column:
     return F.when(F.size(signals) > 0, F.array_join(each, "; ")).otherwise(NO_SIGNAL)
 
 
-def file_signals(ext: Column, content: Column, text: Column) -> dict[str, tuple[tuple[str, ...] | None, Column]]:
-    """Detector name -> (extensions, or none for every item; its signals), in catalog order, for byte contents."""
+def file_signals(content: Column, text: Column, trailer: Column) -> dict[str, tuple[tuple[str, ...] | None, Column]]:
+    """Detector name -> (extensions, or none for every item; its signals), in catalog order, for byte contents.
+    A JPEG file's end marker is that of its type, so both trailer detectors share ``trailer``."""
     return {
-        "filestruct_appended": (tuple(detect.END_MARKERS), detect.appended_data(ext, content)),
-        "image_jpeg": ((".jpg", ".jpeg"), detect.jpeg_trailer(content)),
+        "filestruct_appended": (tuple(detect.END_MARKERS), detect.appended_signals(trailer)),
+        "image_jpeg": ((".jpg", ".jpeg"), detect.jpeg_signals(content, trailer)),
         "text_whitespace": ((".txt", ".md"), detect.trailing_whitespace(text)),
         "text_zerowidth": ((".txt", ".md"), detect.zero_width(text)),
         "signatures": (None, detect.known_signatures(content)),
@@ -47,9 +48,10 @@ def findings(items: DataFrame, extra: dict[str, tuple[tuple[str, ...] | None, Co
     """
     none = F.array().cast(SIGNALS)
     valid = F.coalesce(F.call_function("is_valid_utf8", F.col("content").cast("string")), F.lit(True))
-    rows = items.withColumn("_valid", valid).withColumn("_text", F.when(F.col("_valid"), F.col("content").cast("string")).otherwise(""))
+    # the trailer and the text are computed once and used by several detectors
+    rows = items.withColumn("_trailer", detect.trailer_of(F.col("ext"), F.col("content"))).withColumn("_valid", valid).withColumn("_text", F.when(F.col("_valid"), F.col("content").cast("string")).otherwise(""))
     entries = []
-    for name, (extensions, found) in (file_signals(F.col("ext"), F.col("content"), F.col("_text")) | (extra or {})).items():
+    for name, (extensions, found) in (file_signals(F.col("content"), F.col("_text"), F.col("_trailer")) | (extra or {})).items():
         error = F.when(~F.col("_valid"), "not valid UTF-8") if name.startswith("text_") else F.lit(None)
         entry = F.struct(
             F.lit(name).alias("analyzer"), F.coalesce(found, none).cast(SIGNALS).alias("signals"), F.lit(None).cast("string").alias("explanation"), error.cast("string").alias("error")
@@ -59,7 +61,8 @@ def findings(items: DataFrame, extra: dict[str, tuple[tuple[str, ...] | None, Co
     prior = F.flatten(F.transform("_found", lambda f: f["signals"]))
     rows = rows.withColumn("_prior", prior)
     triage = F.struct(F.lit("ai_triage").alias("analyzer"), F.col("_prior").alias("signals"), explanation(F.col("_prior")).alias("explanation"), F.lit(None).cast("string").alias("error"))
-    spread = rows.select("item_id", F.explode(F.array_append("_found", triage)).alias("f"))
+    # outer: the array is never empty, and a filter on its size would compute all detectors twice
+    spread = rows.select("item_id", F.explode_outer(F.array_append("_found", triage)).alias("f"))
     return spread.select("item_id", "f.analyzer", detect.suspicion(F.col("f.signals")).alias("suspicion"), "f.signals", "f.explanation", "f.error")
 
 
