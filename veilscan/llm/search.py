@@ -128,7 +128,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, block: int
     if vectors.isEmpty():
         return empty
     valid = integral(vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), scale)
-    valid = valid.groupBy("vec_id").agg(F.min("v").alias("v"))
+    if not valid.groupBy("vec_id").count().where("count > 1").isEmpty():  # only ids are shuffled to find out
+        valid = valid.groupBy("vec_id").agg(F.min("v").alias("v"))
     low, high = valid.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     if low is None:
         return empty
