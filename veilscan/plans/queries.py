@@ -13,7 +13,7 @@ from ..functions.bits import u32be, unhex
 from ..operators import envelope, marks, rollup, routing, rules, triage
 from ..schemas import FINDINGS
 from ..sources import files
-from ..streaming.screen import screen_stream
+from ..streaming import screen
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -499,14 +499,14 @@ def custom_analyzer(spark, sf_dir):
 
 
 @query
-def screen_files_stream(spark, sf_dir):
+def screen_stream(spark, sf_dir):
     """The same findings from a stream over the documents table, appended to Parquet until all is read."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilscan-")
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = fx.table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     items = docs.select(F.col("doc_id").cast("string").alias("item_id"), F.lit(".txt").alias("ext"), fx.utf8(F.col("text")).alias("content"))
-    screen_stream(items, f"{place}/out", f"{place}/state").awaitTermination()
+    screen.screen_stream(items, f"{place}/out", f"{place}/state").awaitTermination()
     found = spark.read.schema(FINDINGS).parquet(f"{place}/out")
     return found.select("item_id", "analyzer", "suspicion", F.size("signals").alias("n_signals"))
 

@@ -196,7 +196,7 @@ def _sql() -> dict[str, str]:
                 CASE WHEN v IS NOT NULL THEN coalesce(nullif(trim(json_extract_string(v, '$.explanation')), ''), '(no explanation)') END AS explanation, v IS NULL AS failed FROM j""",
         "custom_analyzer": FOUND
         + ", odd AS (SELECT item_id, CASE WHEN (len(h) // 2) % 2 = 1 THEN 10 ELSE 0 END AS suspicion FROM files WHERE ext IN ('.png', '.bin')), both_found AS (SELECT 'odd_length' AS analyzer, suspicion FROM odd UNION ALL SELECT 'ai_triage', greatest(f.suspicion, coalesce(o.suspicion, 0)) FROM found f LEFT JOIN odd o USING (item_id) WHERE f.analyzer = 'ai_triage') SELECT analyzer, suspicion, count(*) AS n FROM both_found GROUP BY ALL",
-        "screen_files_stream": f"""WITH docs AS (SELECT doc_id::VARCHAR AS item_id, text, len({lines('text')}) > 0 AS has_lines FROM documents), hit AS (SELECT item_id, has_lines, list_filter([{', '.join(f"CASE WHEN contains(text, '{x}') THEN {s} END" for _, x, s, _ in SIGNATURES)}], lambda x: x IS NOT NULL) AS s FROM docs)
+        "screen_stream": f"""WITH docs AS (SELECT doc_id::VARCHAR AS item_id, text, len({lines('text')}) > 0 AS has_lines FROM documents), hit AS (SELECT item_id, has_lines, list_filter([{', '.join(f"CASE WHEN contains(text, '{x}') THEN {s} END" for _, x, s, _ in SIGNATURES)}], lambda x: x IS NOT NULL) AS s FROM docs)
             SELECT item_id, 'text_whitespace' AS analyzer, 0 AS suspicion, CASE WHEN has_lines THEN 1 ELSE 0 END AS n_signals FROM hit
             UNION ALL SELECT item_id, 'text_zerowidth', 0, 0 FROM hit
             UNION ALL SELECT item_id, 'signatures', coalesce(list_max(s), 0), len(s) FROM hit
