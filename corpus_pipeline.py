@@ -30,7 +30,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs)
     nameless = spark.createDataFrame([(None,)], "doc_id long")
     kept = stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().union(nameless), "kept")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # the kept ids grow with the documents, so both sides are always dealt out by id, small inputs too
+    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept").hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows
     return rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(rows.where(F.col("doc_id").isNull()))
