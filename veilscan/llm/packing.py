@@ -123,15 +123,19 @@ class _Available:
     def times(self, combination: tuple[int, ...]) -> int:
         return min(int(self.count[size]) // n for size, n in Counter(combination).items())
 
-    def complement(self, size: int) -> tuple[int, ...]:
-        """Sizes that with ``size`` make exactly one sequence, largest first, or nothing."""
+    def complement(self, size: int, most: int) -> tuple[int, ...]:
+        """At most ``most`` sizes that with ``size`` make exactly one sequence, largest first, or nothing."""
         gap = self.length - size
         if self.count[gap] and self.times((size, gap)):
             return (gap,)
+        if most < 2:
+            return ()
         there = np.flatnonzero(self.count[: gap + 1])[::-1]
         for a in there[(self.count[gap - there] > 0) & (2 * there >= gap)].tolist():
             if self.times((size, a, gap - a)):
                 return a, gap - a
+        if most < 3:
+            return ()
         for a in there[(self.pairs[gap - there] > 0) & (3 * there >= gap)].tolist():
             rest = gap - a
             second = there[(there <= min(a, rest)) & (2 * there >= rest)]
@@ -142,14 +146,30 @@ class _Available:
 
 
 def plan_patterns(counts: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, number of such sequences) for a histogram of piece lengths."""
+    """(lengths of one sequence, number of such sequences) for a histogram of piece lengths.
+
+    Exact complements of up to three lengths are best as a rule, but use up short pieces that best fit could need at
+    the end. If some sequences are left over, plans with fewer complements are made too; the shortest plan counts.
+    """
+    least = -(-sum(size * n for size, n in counts.items()) // length)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for most in (3, 2, 1, 0):
+        plan = _plan(counts, length, most)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        if sum(n for _, n in best) == least:
+            break
+    return best or []
+
+
+def _plan(counts: dict[int, int], length: int, most_complements: int) -> list[tuple[tuple[int, ...], int]]:
     left = _Available(counts, length)
     patterns: list[tuple[tuple[int, ...], int]] = []
     if left.count[length]:
         patterns.append(((length,), int(left.count[length])))
         left.take((length,), int(left.count[length]))
     for size in range(length - 1, 0, -1):
-        while left.count[size] and (rest := left.complement(size)):
+        while most_complements and left.count[size] and (rest := left.complement(size, most_complements)):
             combination = (size, *rest)
             times = left.times(combination)
             patterns.append((combination, times))
