@@ -88,7 +88,7 @@ FOUND = f"""WITH {FILES}, {TRAILERS}, {SIGNALS}, {MATCHED},
     prior AS (SELECT item_id, max(score) AS suspicion, count(*) AS n, string_agg(name || ':' || score, '; ' ORDER BY o, seq) AS told FROM sig GROUP BY item_id),
     per AS (SELECT m.item_id, m.analyzer, coalesce(max(s.score), 0) AS suspicion, count(s.score) AS n_signals FROM matched m LEFT JOIN sig s USING (item_id, analyzer) GROUP BY ALL),
     found AS (
-        SELECT item_id, analyzer, suspicion, n_signals, NULL AS explanation FROM per
+        SELECT item_id, analyzer, suspicion, n_signals, NULL::VARCHAR AS explanation FROM per
         UNION ALL SELECT f.item_id, 'ai_triage', coalesce(p.suspicion, 0), coalesce(p.n, 0), coalesce(p.told, 'no signals') FROM files f LEFT JOIN prior p USING (item_id)) """
 BAND = "CASE WHEN suspicion >= 70 THEN 'high' WHEN suspicion >= 30 THEN 'mid' ELSE 'low' END"
 TOLD_SIG = "coalesce(max(score), 0)::int AS suspicion, coalesce(string_agg(name || ':' || score, ';' ORDER BY seq), '') AS signals"
@@ -133,7 +133,7 @@ def _sql() -> dict[str, str]:
     return {
         "text_items": "SELECT doc_id, sha256(text) AS text_sha256, false AS bad FROM documents",
         "text_lenient": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
-        "wav_samples": f"WITH {SAMPLES} SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE len(s) END AS n, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE list_sum(s) END::BIGINT AS total, vec_id % 7 = 0 AS bad FROM samples",
+        "wav_samples": f"WITH {SAMPLES} SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE len(s)::INTEGER END AS n, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE list_sum(s) END::BIGINT AS total, vec_id % 7 = 0 AS bad FROM samples",
         "exif_comment": f"WITH {COMMENTS} SELECT doc_id, hex(c) AS comment_hex, false AS bad FROM comments",
         "signature_rules": f"SELECT d.doc_id, s.name, s.score FROM documents d JOIN (VALUES {values((n, x, s) for n, x, s, _ in SIGNATURES)}) s(name, needle, score) ON contains(d.text, s.needle)",
         "analyzer_catalog": f"WITH {FILES}, {CATALOG_SQL}, n AS (SELECT ext, count(*) AS n FROM files GROUP BY ext) SELECT ord AS \"order\", name, kind, can_embed = 1 AS can_embed, can_extract = 1 AS can_extract, coalesce(sum(n), 0)::BIGINT AS n_items FROM catalog LEFT JOIN n USING (ext) GROUP BY ALL",
@@ -158,20 +158,20 @@ def _sql() -> dict[str, str]:
         "detect_wav_bias": f"WITH {SAMPLES} SELECT vec_id, {one_signal('wav_lsb_bias', f'floor(least(100, {bias()}))', 'true')}, round({bias()}, 6) AS metric FROM samples",
         "byte_statistics": f"WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::int) AS s FROM documents) SELECT doc_id, len(s)::BIGINT AS n, list_sum(list_transform(s, lambda v: v & 1))::BIGINT AS ones, round({PAIRS}, 6) AS pair_ratio FROM b",
         "analyzer_suspicion": FOUND + "SELECT analyzer, suspicion, count(*) AS n FROM found GROUP BY ALL",
-        "findings": FOUND + "SELECT item_id, analyzer, suspicion, n_signals, explanation FROM found",
-        "signals_flat": f"WITH {FILES}, {TRAILERS}, {SIGNALS} SELECT item_id, analyzer, seq, name, score FROM sig",
+        "findings": FOUND + "SELECT item_id, analyzer, suspicion, n_signals::INTEGER AS n_signals, explanation FROM found",
+        "signals_flat": f"WITH {FILES}, {TRAILERS}, {SIGNALS} SELECT item_id, analyzer, seq::INTEGER AS seq, name, score FROM sig",
         "triage_heuristic": FOUND + "SELECT item_id, suspicion, explanation FROM found WHERE analyzer = 'ai_triage'",
         "scan_count": FOUND + "SELECT count(*) AS n FROM found",
         "severity_band": FOUND + f"SELECT item_id, analyzer, {BAND} AS band FROM found",
         "report_rows": f"{with_signatures} SELECT item_id, 'signatures' AS analyzer, suspicion, {BAND} AS band, coalesce((SELECT string_agg(name || '(' || score || '): ' || CASE name {detail} END, '; ' ORDER BY seq) FROM hits h WHERE h.item_id = told.item_id), '—') AS summary FROM told",
-        "report_json_rows": FOUND + "SELECT item_id AS path, analyzer, suspicion, n_signals FROM found",
+        "report_json_rows": FOUND + "SELECT item_id AS path, analyzer, suspicion, n_signals::INTEGER AS n_signals FROM found",
         "suspicion_by_analyzer_band": FOUND + f"SELECT analyzer, {BAND} AS band, count(*) AS n FROM found GROUP BY ALL",
         "top_suspects": FOUND + "SELECT item_id, suspicion FROM found WHERE analyzer = 'ai_triage' ORDER BY suspicion DESC, item_id LIMIT 20",
         "capacity_text": f"SELECT doc_id, floor(len({lines('text')}) / 8)::BIGINT AS by_lines, 1000000 AS by_zero_width FROM documents",
         "capacity_samples": f"WITH {SAMPLES} SELECT vec_id, greatest(0, len(s) // 8 - 4) AS capacity FROM samples",
         "capacity_catalog": f"WITH {FILES}, {CATALOG_SQL} SELECT name AS analyzer, sum(cap)::BIGINT AS capacity, count(*) AS n FROM files JOIN catalog USING (ext) WHERE cap IS NOT NULL GROUP BY name",
-        "admit_payloads": f"WITH {PAYLOADS}, {CARRIERS} SELECT carrier_id, part, octet_length(p) AS bytes FROM payloads LEFT JOIN carriers USING (carrier_id) WHERE coalesce(octet_length(p) <= capacity, false)",
-        "reject_payloads": f"WITH {PAYLOADS}, {CARRIERS} SELECT carrier_id, part, octet_length(p) AS bytes FROM payloads LEFT JOIN carriers USING (carrier_id) WHERE NOT coalesce(octet_length(p) <= capacity, false)",
+        "admit_payloads": f"WITH {PAYLOADS}, {CARRIERS} SELECT carrier_id, part, octet_length(p)::INTEGER AS bytes FROM payloads LEFT JOIN carriers USING (carrier_id) WHERE coalesce(octet_length(p) <= capacity, false)",
+        "reject_payloads": f"WITH {PAYLOADS}, {CARRIERS} SELECT carrier_id, part, octet_length(p)::INTEGER AS bytes FROM payloads LEFT JOIN carriers USING (carrier_id) WHERE NOT coalesce(octet_length(p) <= capacity, false)",
         "mark_zero_width": f"SELECT doc_id, sha256({marked('text', ID_PAYLOAD)}) AS sha256 FROM documents",
         "recover_zero_width": f"WITH {TEXT_MARKED}, z AS (SELECT doc_id, translate(regexp_replace(split_part(text, chr(8205), 1), '[^' || chr(8203) || chr(8204) || ']', '', 'g'), chr(8203) || chr(8204), '01') AS b FROM text_marked) SELECT doc_id, {from_bits('b')} AS payload_hex FROM z",
         "mark_trailing_ws": f"WITH {TEXT_WS} SELECT doc_id, sha256({ws_marked}) AS sha256 FROM text_ws",
@@ -183,12 +183,12 @@ def _sql() -> dict[str, str]:
         "recover_exif": f"WITH {COMMENTS} SELECT doc_id, CASE WHEN {exif_case} THEN substr(hex(c), 17) END AS payload_hex, CASE WHEN {exif_case} THEN 'ok' ELSE 'no_mark' END AS status FROM comments",
         "mark_log": f"WITH {FILES}, {CATALOG_SQL}, {EXT_FIRST.format(able='can_embed')} SELECT item_id, carrier, (38 + octet_length(encode(item_id)))::BIGINT AS bytes_written, false AS encrypted FROM files JOIN first_by_ext USING (ext) WHERE carrier LIKE 'text_%'",
         "pack_envelope": f"SELECT doc_id, sha256({pack('hex(encode(text))')}) AS sha256 FROM documents",
-        "unpack_envelope": f"WITH {unpacked} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'too_short' WHEN 1 THEN 'bad_magic' WHEN 2 THEN 'unsupported_version' WHEN 3 THEN CASE WHEN n = 0 THEN 'too_short' ELSE 'truncated' END ELSE 'ok' END AS status, CASE WHEN doc_id % 5 = 4 THEN n END AS bytes, CASE WHEN doc_id % 5 = 4 THEN false END AS encrypted FROM b",
-        "seal_payloads": "SELECT item_id, octet_length(encode(text)) + 16 AS bytes, lpad(hex(item_id), 24, '0') AS nonce_hex FROM benchmark",
+        "unpack_envelope": f"WITH {unpacked} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'too_short' WHEN 1 THEN 'bad_magic' WHEN 2 THEN 'unsupported_version' WHEN 3 THEN CASE WHEN n = 0 THEN 'too_short' ELSE 'truncated' END ELSE 'ok' END AS status, CASE WHEN doc_id % 5 = 4 THEN n::INTEGER END AS bytes, CASE WHEN doc_id % 5 = 4 THEN false END AS encrypted FROM b",
+        "seal_payloads": "SELECT item_id, (octet_length(encode(text)) + 16)::INTEGER AS bytes, lpad(hex(item_id), 24, '0') AS nonce_hex FROM benchmark",
         "open_payloads": "SELECT item_id, CASE WHEN item_id % 3 > 0 THEN sha256(text) END AS payload_sha256 FROM benchmark",
         "mark_payloads": f"WITH p AS (SELECT doc_id, text, unhex({pack('hex(' + ID_PAYLOAD + ')')}) AS p FROM documents) SELECT doc_id, sha256({marked('text', 'p')}) AS sha256 FROM p",
         "recover_payloads": "SELECT doc_id, 'ok' AS status, 'id:' || doc_id AS payload FROM documents",
-        "triage_custom": f"{with_signatures} SELECT item_id, suspicion AS heuristic, least(100, 40 * n)::int AS suspicion, n || ' signals' AS explanation, NULL AS error FROM told",
+        "triage_custom": f"{with_signatures} SELECT item_id, suspicion AS heuristic, least(100, 40 * n)::int AS suspicion, n || ' signals' AS explanation, NULL::VARCHAR AS error FROM told",
         "triage_errors": f"{with_signatures} SELECT item_id, suspicion AS heuristic, CASE WHEN n = 0 THEN 0 ELSE 100 END AS suspicion, n = 0 AS failed FROM told",
         "triage_prompt": f"WITH {FILES}, hits AS ({signature_case}) {sig_prompt}",
         "parse_triage_reply": f"""WITH {REPLIES}, j AS (SELECT event_id, coalesce(try_cast(r AS json), try_cast(nullif(regexp_extract(r, '[{{][^{{}}]*[}}]', 0), '') AS json)) AS v FROM replies)
