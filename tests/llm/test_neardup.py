@@ -93,3 +93,15 @@ def test_long_chain(spark):
     found = {r["node"]: r["label"] for r in smallest_reachable(nodes, edges).collect()}
     low, high = (min((i * 17) % 41 for i in part) for part in (range(21), range(21, n)))
     assert found == {i: low if i <= 20 else high for i in range(n)}
+
+
+def test_linked_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    """Fingerprints that share a label (no doc_id, or a repeated one) stay in their own components."""
+    names = "abcdefghi"
+    value = dict(zip(names, (0x0, 0x1, 0xFF00, 0xFF01, 0xFF0000, 0xFF0001, 0xFF000000, 0xFF000001, 0xFF00000000), strict=True))
+    rows = [(3, "a"), (None, "b"), (None, "c"), (None, "d"), (7, "e"), (None, "f"), (9, "g"), (9, "h"), (9, "i"), (8, "i")]
+    known = spark.createDataFrame([(t, v) for t, v in value.items()], "text string, fp long")
+    monkeypatch.setattr(neardup, "fingerprints", lambda docs, words: docs.join(known, "text").select("doc_id", "fp"))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    group = {"a": 3, "b": 3, "c": None, "d": None, "e": 7, "f": 7, "g": 9, "h": 9, "i": 8}
+    assert sorted(map(tuple, found), key=repr) == sorted([(d, f"{value[t]:016x}", group[t]) for d, t in rows], key=repr)

@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, most: int
     """
     every = cut(fingerprints(docs, words))
     distinct = cut(every.groupBy("fp").agg(F.min("doc_id").alias("label")))
-    found = smallest_reachable(
-        distinct.select(F.col("fp").alias("node"), F.coalesce("label", F.lit(2**63 - 1)).alias("label")),
-        cut(linked_fingerprints(distinct.select("fp"), radius, most)),
-    )
-    component = stored(found.select(F.col("node").alias("fp"), F.when(F.col("label") < 2**63 - 1, F.col("label")).alias("component_id")), "components")
+    # fingerprints tell nodes apart, doc_ids need not: the smallest doc_id of a component is an aggregate of its own
+    nodes = distinct.select(F.col("fp").alias("node"), F.col("fp").alias("label"))
+    found = cut(smallest_reachable(nodes, cut(linked_fingerprints(distinct.select("fp"), radius, most))).select(F.col("node").alias("fp"), F.col("label").alias("_root")))
+    smallest = stored(found.join(distinct, "fp").groupBy("_root").agg(F.min("label").alias("component_id")), "smallest")
+    component = stored(found.join(smallest, "_root").select("fp", "component_id"), "components")
     return every.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
