@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import stored, table
-from veilscan.llm.neardup import near_duplicates
+from veilscan.llm.neardup import distinct_documents
 from veilscan.llm.packing import pack_documents
 from veilscan.llm.pii import find_pii, redact
 from veilscan.llm.quality import THRESHOLD, train, with_quality
@@ -25,16 +25,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, once even if rows repeat it.
-    Rows without doc_id cannot be named by a group and all stay."""
-    found = near_duplicates(docs)
-    nameless = spark.createDataFrame([(None,)], "doc_id long")
-    kept = stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().union(nameless), "kept")
-    # the kept ids grow with the documents, so both sides are always dealt out by id, small inputs too
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept").hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows
-    return rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(rows.where(F.col("doc_id").isNull()))
+    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the row with the smallest
+    doc_id stays, and beside it the first of the rows without doc_id. Rows that repeat a doc_id are told apart."""
+    return distinct_documents(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline: every stage on what the one before kept."""
 
+import random
+
 import corpus_pipeline
 from veilscan.llm.common import stored
 from veilscan.llm.pii import find_pii
@@ -24,3 +26,31 @@ def test_deduplication_of_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.deduplicate(spark, docs, "")
     assert sorted([tuple(r)[:2] for r in kept.collect()], key=repr) == sorted([(1, "same text here"), (None, "same text here"), (None, "other"), (3, None)], key=repr)
+
+
+def near_copies(seed):
+    """Texts of 60 to 400 words with copies whose words are changed here and there."""
+    rng = random.Random(seed)
+    texts = []
+    for base in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        for share in (0, 0, 0.003, 0.006, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.06):
+            texts.append(" ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in words))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_copies_against_brute_force(spark):
+    texts = near_copies(8)
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == sorted(set(root))

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import slices
 from .common import cut, partitions, stored, text_or_empty
@@ -219,3 +220,159 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, most: int
     smallest = stored(found.join(distinct, "fp").groupBy("_root").agg(F.min("label").alias("component_id")), "smallest")
     component = stored(found.join(smallest, "_root").select("fp", "component_id"), "components")
     return every.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by the likeness of their shingle sets, for the corpus pipeline.
+
+#: Words of a shingle. Sets are linked from a Jaccard similarity of 0.8 (4 / 5) on.
+SHINGLE = 5
+#: A shard's members agree on all of a band's least hashes: sets of similarity 0.8 share no band with 0.59 ** 20 = 3e-5.
+BANDS, ROWS = 20, 4
+#: At similarity 0.8 fingerprints of sets differ in 10 +- 3 bits.
+WIDE = 24
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
+    parts = text.encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(parts[i : i + words]), SEED) for i in range(max(len(parts) - words + 1, min(len(parts), 1)))], np.uint64))
+
+
+def _signature(hashes: np.ndarray) -> tuple[int, int, list[int]]:
+    """A set's key (64-bit hash of its members), its SimHash and one key per band, as signed longs."""
+    node = xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)
+    if not len(hashes):
+        return *np.array([node, 0], np.uint64).view(np.int64).tolist(), [0] * BANDS
+    ones, least = np.zeros(64, np.int64), np.full(len(_MIX), 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        part = hashes[k : k + 4096]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        x = part[None, :] ^ _MIX[:, None]
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        np.minimum(least, x.min(axis=1), out=least)
+    fp = int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    bands = [xxhash.xxh3_64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    signed = np.array([node, fp, *bands], np.uint64).view(np.int64).tolist()
+    return signed[0], signed[1], signed[2:]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``docs`` with _node, _fp and _bands of every whole text; null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            node, fp, bands = zip(*[_signature(shingle_set(t or "")) for t in batch.column("text").to_pylist()], strict=True)
+            more = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_node", "_fp", "_bands"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType()), T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(run, schema)
+
+
+def _band_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate links of the shards (band, key), sorted: a vantage-point tree links fingerprints within WIDE bits.
+    Above SHARD_MOST members all of a shard are candidates, and their sets decide."""
+    rest = None
+    for batch in (*batches, None):
+        rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if rows is None or not rows.num_rows:
+            continue
+        band, key, node, fp = (rows.column(k).to_numpy() for k in ("band", "key", "_node", "_fp"))
+        at = np.ones(len(key), bool)
+        at[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+        bounds = np.append(np.flatnonzero(at), len(key))
+        if batch is not None:  # the last shard may go on in the next batch
+            rest = rows.slice(bounds[-2])
+            bounds = bounds[:-1]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            own = slice(bounds[i], bounds[i + 1])
+            n = own.stop - own.start
+            root = np.zeros(n, int) if n > SHARD_MOST else tree_links(fp[own].view(np.uint64), np.ones(n, bool), WIDE)
+            moved = np.flatnonzero(root != np.arange(n))
+            a.append(node[own][moved])
+            b.append(node[own][root[moved]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def groups_of_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of ``sets`` the index of the first member of its group, where links join sets of Jaccard similarity
+    0.8 or more. Each set meets all that no group has reached yet, so the result is that of all pairs."""
+    sizes = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    mark, group = np.zeros(len(names), bool), np.zeros(len(sets), int)
+    held, left, todo, first = np.arange(len(sets)), np.ones(len(sets), bool), [], 0
+    members, ends = flat, starts
+    while todo or left.any():
+        if not todo:
+            at = np.flatnonzero(left)[0]
+            left[at], first = False, held[at]
+            group[first] = first
+            todo = [first]
+        x = todo.pop()
+        if 2 * np.count_nonzero(left) < len(held):  # only the sets that are left are looked at
+            held = held[left]
+            left = np.ones(len(held), bool)
+            members = np.concatenate([flat[:0], *[flat[starts[i] : starts[i + 1]] for i in held.tolist()]])
+            ends = np.concatenate(([0], np.cumsum(sizes[held])))
+        own = flat[starts[x] : starts[x + 1]]
+        mark[own] = True
+        sums = np.concatenate(([0], np.cumsum(mark[members])))
+        mark[own] = False
+        shared = sums[ends[1:]] - sums[ends[:-1]]
+        near = left & (5 * shared >= 4 * (sizes[x] + sizes[held] - shared))
+        left &= ~near
+        group[held[near]] = first
+        todo.extend(held[near].tolist())
+    return group
+
+
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by candidate group the first with and the first without doc_id of each group of linked sets."""
+
+    def kept(rows: pa.Table) -> pa.Table:
+        group = groups_of_sets([shingle_set(t or "") for t in rows.column("text").to_pylist()])
+        nameless = rows.column("doc_id").is_null().to_numpy()
+        return rows.take(np.sort(np.unique(2 * group + nameless, return_index=True)[1]))
+
+    rest: list[pa.Table] = []
+    for batch in batches:
+        at = batch.column("_group").to_numpy()
+        for part in np.split(np.arange(len(at)), np.flatnonzero(at[1:] != at[:-1]) + 1):
+            if not len(part):
+                continue
+            if rest and rest[0].column("_group")[0].as_py() != at[part[0]]:
+                yield from kept(pa.concat_tables(rest)).to_batches(1024)
+                rest = []
+            rest.append(pa.Table.from_batches([batch.slice(part[0], len(part))]))
+    if rest:
+        yield from kept(pa.concat_tables(rest)).to_batches(1024)
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, ...): of each group of near copies the one with the smallest doc_id, and the
+    first of those without doc_id.
+
+    Texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked; a group is what links
+    connect. Candidates share a band of least hashes and lie within WIDE bits of each other, found by vantage-point
+    trees; what candidates connect is brought together once, and the shingle sets of all its texts decide.
+    """
+    n = partitions(docs.sparkSession)
+    keyed = stored(signatures(docs).withColumn("_row", F.monotonically_increasing_id()), "signatures")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))["_row"]
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("_row")))
+    nodes = cut(keyed.groupBy("_node", "_fp", "_bands").agg(F.array_compact(F.array(named, nameless)).alias("_rows")))
+    dealt = nodes.select("_node", "_fp", F.posexplode("_bands").alias("band", "key"))
+    links = cut(dealt.repartition(n, "band", "key").sortWithinPartitions("band", "key", "_node").mapInArrow(_band_links, "a long, b long"))
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    groups = smallest_reachable(linked.withColumn("label", F.col("node")), links).select(F.col("node").alias("_node"), F.col("label").alias("_group"))
+    first = stored(nodes.join(groups, "_node", "left").select(F.explode("_rows").alias("_row"), "_group"), "first-rows")
+    # the first rows grow with the documents, so both sides are always dealt out, small inputs too
+    rows = stored(keyed.drop("_node", "_fp", "_bands").join(first.hint("shuffle_merge"), "_row"), "distinct-rows")
+    close = rows.where("_group IS NOT NULL").repartition(n, "_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
+    return rows.where("_group IS NULL").union(close.mapInArrow(_first_rows, rows.schema)).select(*docs.columns)
