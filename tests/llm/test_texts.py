@@ -212,3 +212,20 @@ def test_marginals_equal_enumeration():
 def test_sample_is_bounded(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     assert quality.train(docs, labels, sample=5, chars=500).weight.shape == (3 * quality.N_FEATURES + 1,)
+
+
+def test_ibans_before_upper_case_words_and_numbers(spark):
+    texts = {
+        "IBAN DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+        "GB82 WEST 1234 5698 7654 32 EUR 500": ["GB82 WEST 1234 5698 7654 32"],
+        "é😀 NO93 8601 1117 947 2024 BE68 5390 0754 7034 AND NL91ABNA0417164300": ["NO93 8601 1117 947", "BE68 5390 0754 7034", "NL91ABNA0417164300"],
+        "FI12 34 DE89 3704 0044 0532 0130 00 OK": ["DE89 3704 0044 0532 0130 00"],
+        "AB12 ORDER MT84MALT011000012345MTLCAST001S NOW": ["MT84MALT011000012345MTLCAST001S"],
+        "GB83 WEST 1234 5698 7654 32 EUR and DE89370400440532013000X": [],
+    }
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = pii.find_pii(frame).withColumn("clean", pii.redact(F.col("text"), F.col("pii"))).collect()
+    for r in rows:
+        spans = [s for s in r["pii"] if s["kind"] == "iban"]
+        assert [s["text"] for s in spans] == texts[r["text"]] and [r["text"][s["start"] : s["end"]] for s in spans] == texts[r["text"]]
+        assert not any(t in r["clean"] for t in texts[r["text"]])

@@ -64,6 +64,8 @@ class Kind:
     context: str
     needs: str = ""
     bonus: float = 0.3
+    #: Code points a match uses up if its span is the pattern's first group, looked ahead at; 0: the match is the span.
+    takes: int = 0
 
 
 # What each kind looks like, in the order in which spans are listed.
@@ -80,14 +82,27 @@ BASE_KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", lambda t: luhn(_digits(t)), 0.6, "card|visa|credit|debit|payment"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: _count(t, 9, 15), 0.6, "phone|tel|call|mobile|fax", "+"),
 )
+#: Length of an IBAN by country: the ISO 13616 registry, territories that use its formats, and countries in partial use.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "AX DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE GG IE IM JE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI BL CF CG CM DJ FR GA GF GP GQ GR IT KM MC MF MG MQ MR NC PF PM RE SM TD TF WF YT",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes.split())
+#: By fixed length where the country is known, else the whole run of groups.
+_IBAN = "|".join(
+    [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()] + [f"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"]
+)
 MORE_KINDS = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda t: mod97(F.regexp_replace(t, " ", "")), 0.6, "iban|account|bank|konto|compte|cuenta"),
+    # spans are looked ahead at, so that a refused one hides no IBAN that starts inside it
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}", lambda t: mod97(F.regexp_replace(t, " ", "")), 0.6, "iban|account|bank|konto|compte|cuenta", takes=4),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: F.lit(True), 0.3, "ssn|social security|taxpayer"),
 )
 
 
-def _located(text: Column, matches: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of ``matches``, the matches of ``pattern`` in ``text``."""
+def _located(text: Column, matches: Column, pattern: str, takes: int) -> Column:
+    """array<struct<start, end, text>> of ``matches``, the matches of ``pattern`` in ``text``; see ``Kind.takes``."""
     between = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("text")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
@@ -95,7 +110,8 @@ def _located(text: Column, matches: Column, pattern: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["skip"]
         end = begin + F.length(x["text"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text"))).alias("out"))
+        at = begin + takes if takes else end
+        return F.struct(at.alias("at"), F.array_append(state["out"], F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text"))).alias("out"))
 
     return F.aggregate(steps, start, step, lambda state: state["out"])
 
@@ -103,7 +119,7 @@ def _located(text: Column, matches: Column, pattern: str) -> Column:
 def _confirmed(kind: Kind) -> Column:
     """The spans of one kind from the matches in its column, checked and scored."""
     matches = F.col(f"_{kind.name}")
-    spans = F.filter(_located(F.col("_text"), matches, kind.pattern), lambda s: kind.confirm(s["text"]))
+    spans = F.filter(_located(F.col("_text"), matches, kind.pattern, kind.takes), lambda s: kind.confirm(s["text"]))
 
     def scored(s: Column) -> Column:
         before = F.greatest(s["start"] - REACH, F.lit(0))
@@ -125,7 +141,7 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", kinds: tupl
     whole = docs.withColumn("_text", text_or_empty(text))
     nothing = F.array().cast("array<string>")
     for k in kinds:
-        matches = F.regexp_extract_all("_text", F.lit(k.pattern), F.lit(0))
+        matches = F.regexp_extract_all("_text", F.lit(k.pattern), F.lit(1 if k.takes else 0))
         whole = whole.withColumn(f"_{k.name}", F.when(F.contains(F.col("_text"), F.lit(k.needs)), matches).otherwise(nothing) if k.needs else matches)
     found = [_confirmed(k) for k in kinds]
     return whole.withColumn(into, F.concat(*found)).drop("_text", *[f"_{k.name}" for k in kinds])
