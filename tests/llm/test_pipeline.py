@@ -54,3 +54,12 @@ def test_near_copies_against_brute_force(spark):
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == sorted(set(root))
+
+
+def test_deduplication_decides_per_row(spark):
+    """Texts that repeat a doc_id are told apart, and rows without doc_id are copies of each other."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(3, a), (5, f"{a} more"), (5, b), (6, c), (6, b), (None, d), (None, d), (None, f"{d} more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (5, b), (6, c), (None, d)], key=repr)
