@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.oracle import rows_of_spark, rows_of_sql
 from veilscan.llm import fingerprints, licenses, pii, quality, search
+from veilscan.llm.common import stored
 from veilscan.llm.queries import QUERIES, SQL
 
 
@@ -21,26 +22,50 @@ def test_query_equals_sql(spark, small, name):
 
 
 def plain_top(rows, k, every):
+    """``rows``: (vec_id, vector); rows that repeat an id are queries and candidates of their own, and only vectors
+    of one length meet."""
     out = []
-    for q, v in rows.items():
+    for i, (q, v) in enumerate(rows):
         if q % every == 0:
-            scored = sorted((-int(np.dot(v, w)), c) for c, w in rows.items() if c != q)[:k]
-            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored)]
+            scored = sorted((-int(np.dot(v, w)), c) for j, (c, w) in enumerate(rows) if i != j and len(v) == len(w))[:k]
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)]
     return sorted(out)
 
 
 def test_top_k_with_ties_and_gaps(spark):
     rng = np.random.default_rng(1)
-    rows = {i: np.floor(256 * rng.integers(-2, 3, 6) / 8.0) for i in range(300)}
-    frame = [(i, [float(x) / 256 for x in v], "x") for i, v in rows.items()]
-    frame += [(1000, None, "x"), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (1100, [float("nan")] * 6, "x"), (1150, [1.0], "x"), (None, [1.0] * 6, "x"), (5, frame[5][1], "x")]
+    rows = [(i, np.floor(256 * rng.integers(-2, 3, 6) / 8.0)) for i in range(300)]
+    rows += [(5, rows[5][1]), (50, rows[50][1]), (50, rows[7][1]), (1150, np.array([256.0]))]  # repeated ids, another length
+    rows += [(2000 + i, rows[100][1]) for i in range(40)]  # more copies than k
+    short = [(i, np.array([64.0, -128.0])) for i in (3000, 3001, 3050)]
+    frame = [(i, [float(x) / 256 for x in v], "x") for i, v in rows + short]
+    frame += [(1000, None, "x"), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (1100, [float("nan")] * 6, "x"), (1101, [float("inf")] * 6, "x"), (1200, [], "x"), (None, [1.0] * 6, "x")]
     table = spark.createDataFrame(frame, "vec_id long, embedding array<float>, score string")
     for block in (8192, 3):
-        assert sorted(map(tuple, search.top_k(table, "vec_id % 50 = 0", 5, block=block).collect())) == plain_top(rows, 5, 50)
-    two = {0: rows[0], 1: rows[1]}
-    assert sorted(map(tuple, search.top_k(table.where("vec_id < 2"), "vec_id % 50 = 0", 5).collect())) == plain_top(two, 5, 50)
+        assert sorted(map(tuple, search.top_k(table, "vec_id % 50 = 0", 5, block=block).collect())) == plain_top(rows + short, 5, 50)
+    assert sorted(map(tuple, search.top_k(table.where("vec_id < 2"), "vec_id % 50 = 0", 5).collect())) == plain_top(rows[:2], 5, 50)
     assert search.top_k(table.limit(0), "vec_id % 50 = 0").count() == 0
     assert search.top_k(table.where("vec_id = 1000"), "vec_id % 50 = 0").count() == 0
+    assert search.top_k(table.where("vec_id = 7"), "vec_id % 50 = 0").count() == 0
+
+
+def test_one_odd_length_changes_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, np.floor(256 * rng.normal(0, 0.3, 8))) for i in range(200)]
+    frame = [(i, [float(x) / 256 for x in v]) for i, v in rows]
+    table, more = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (frame, [*frame, (777, [1.0] * 9)]))
+    assert sorted(map(tuple, search.top_k(more, "vec_id % 50 = 0").collect())) == sorted(map(tuple, search.top_k(table, "vec_id % 50 = 0").collect())) == plain_top(rows, 5, 50)
+
+
+def test_few_vectors_are_read_in_full(spark):
+    """Of the driver's embeddings the cells leave a few candidates per query; the other vectors are not read for it."""
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    exact = stored(search.integral(vectors.select("vec_id", "embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    low, high = exact.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    step = (high - low + 1.0) / search.CELLS
+    cells = exact.select("row", search.cells_of(F.col("v"), low, step).alias("cells"))
+    n, found = exact.count(), search.candidates(cells, exact, "vec_id % 50 = 0", low, step, 5)
+    assert found.count() < 0.05 * n * exact.where("vec_id % 50 = 0").count()
 
 
 def plain_places(text):

@@ -1,10 +1,16 @@
 """Exact top-k inner-product search with a vector-approximation file.
 
-Every vector is written twice: as one byte per component that names its cell, and in full. A query block (a bounded
-number of queries, broadcast) meets every partition of the file once. For each batch of rows the task bounds all
-scores from the cells alone, then reads full vectors in the order of their upper bounds and stops, query by query,
-when the k-th best score so far is above every bound that is left. Partitions return k rows per query; an
-aggregation keeps the best k of them.
+Every vector is stored as one byte per component that names its cell, and in full in a second file. The first pass
+reads cells alone: with all components of one cell width, a query's score lies within ``reach`` (half a cell times
+the sum of the query's absolute components) of the score of the cells' middles, so a row whose middle score is more
+than twice ``reach`` below the k-th best one cannot be among the best k. What is left (``candidates``) is read in
+full in the order of its bounds: first the k best bounds of each query, then only those whose bound still reaches
+the k-th score found.
+
+Queries pass over the cells in blocks of at most BLOCK, each broadcast with a known size; blocks and rows are
+compared in tiles, so a task holds one tile and k numbers per query. Only the ids of candidates are shuffled by
+query, and of equal vectors only the k + 1 rows first in order can be among anyone's best k, so groups of copies,
+however large, add no more than that.
 """
 
 from __future__ import annotations
@@ -13,148 +19,168 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import cut, scratch, stored
 
 CELLS = 256
-#: Queries broadcast at once: with 64 components a block takes 4 MB.
-BLOCK = 8192
-#: Rows whose bounds a task holds at once, and queries it bounds them for.
-ROWS, QUERIES = 2048, 512
+#: Queries broadcast at once: with 64 components a block takes 16 MB.
+BLOCK = 65_536
+#: Rows and queries of a tile, and candidates that a task holds before it hands them on.
+ROWS, QUERIES, HELD = 2048, 1024, 1 << 18
+CANDIDATES = "q long, row long, estimate double"
 
 
 def integral(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v (array<double>): floor(scale * x) of each component as a double.
+    """The columns of ``vectors`` but embedding, and v (array<double>): floor(scale * x) of each component.
 
-    Vectors that are null or empty or hold null or non-finite components are left out, and so are those whose
-    length is not that of the longest valid vector, since no inner product is defined between different lengths.
+    Vectors that are null or empty or hold null or non-finite components are left out.
     """
-    wide = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(
-        F.size("v") > 0
-    )
+    others = [c for c in vectors.columns if c != "embedding"]
+    wide = vectors.select(*others, F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.size("v") > 0)
     finite = wide.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    length = finite.agg(F.max(F.size("v"))).first()[0]
-    return finite.where(F.size("v") == F.lit(length)).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    return finite.select(*others, F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+
+
+def cells_of(v: Column, low: float, step: float) -> Column:
+    """One byte per component: the number of the cell that holds it."""
+    each = F.transform(v, lambda x: F.lpad(F.hex(F.least(F.lit(CELLS - 1), F.floor((x - low) / step)).cast("long")), 2, "0"))
+    return F.unhex(F.array_join(each, ""))
+
+
+def without_hidden_copies(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` (row, vec_id, v, ...) without those that have more than ``k`` equal vectors before them in order of
+    (vec_id, row): as many rows with the same score come first for every query, its own row left aside. Ids and
+    hashes are shuffled, not vectors, and no more than k + 1 rows per vector and task."""
+    same = [F.xxhash64("v").alias("_a"), F.xxhash64(F.lit(1), "v").alias("_b")]
+    order = Window.partitionBy("_a", "_b").orderBy("vec_id", "row")
+    last = rows.select("row", "vec_id", *same).withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k + 1)
+    last = last.select("_a", "_b", F.struct("vec_id", "row").alias("_last"))
+    kept = F.col("_last").isNull() | (F.struct("vec_id", "row") <= F.col("_last"))
+    return rows.withColumns({"_a": same[0], "_b": same[1]}).join(last, ["_a", "_b"], "left").where(kept).select(*rows.columns)
+
+
+class _Block:
+    """One block's queries of one length, and what their best middle scores are so far."""
+
+    def __init__(self, rows: np.ndarray, v: np.ndarray, low: float, step: float, k: int):
+        self.rows, self.k = rows, k
+        self.weights = v.astype(np.float32)
+        self.shift = (low + 0.5 * step) * v.sum(axis=1)
+        size = np.abs(v).sum(axis=1)
+        # half a cell of each component, and what single precision may lose in sums of products below 256 * size
+        self.reach = size * (0.5 * step * (1 + 1e-6) + step * CELLS * 2.0**-22 * v.shape[1] + abs(low) * 1e-12) + 1e-3
+        self.best = np.full((len(rows), k), -np.inf)
+        self.step = step
+
+    def tile(self, at: slice, rows: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, estimate) of the rows whose score may be among the best k."""
+        estimate = (self.weights[at] @ cells.T) * self.step + self.shift[at][:, None]
+        own = np.searchsorted(rows, self.rows[at])
+        there = np.flatnonzero((own < len(rows)) & (rows[np.minimum(own, len(rows) - 1)] == self.rows[at]))
+        estimate[there, own[there]] = -np.inf
+        n = min(self.k, len(rows))
+        top = np.partition(estimate, len(rows) - n, axis=1)[:, len(rows) - n :]
+        self.best[at] = np.sort(np.hstack([self.best[at], top]), axis=1)[:, -self.k :]
+        q, r = np.nonzero(estimate >= np.maximum(self.best[at][:, 0] - 2 * self.reach[at], np.finfo(np.float64).min)[:, None])
+        return q + at.start, rows[r], estimate[q, r]
+
+    def still(self, q: np.ndarray, estimate: np.ndarray) -> np.ndarray:
+        return estimate >= self.best[q, 0] - 2 * self.reach[q]
+
+
+def _scan(sent, low: float, step: float, k: int):
+    """Candidates of one block's queries in a partition of the cells."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = {v.shape[1]: _Block(rows, v, low, step, k) for rows, v in sent.value}
+        held: dict[int, list[tuple]] = {n: [] for n in blocks}
 
-def approximation_file(vectors: DataFrame, low: float, high: float) -> DataFrame:
-    """vec_id, cells (one byte per component) and exact (little-endian doubles) of ``vectors`` (vec_id, v)."""
-    step = max((high - low) / CELLS, 1e-9)
+        def handed(n: int) -> pa.RecordBatch:
+            q, row, estimate = (np.concatenate(x) for x in zip(*held[n], strict=True))
+            held[n] = []
+            on = blocks[n].still(q, estimate)
+            return pa.RecordBatch.from_arrays([pa.array(blocks[n].rows[q[on]]), pa.array(row[on]), pa.array(estimate[on])], ["q", "row", "estimate"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = np.array(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1)
-                cells = np.clip(np.floor((v - low) / step), 0, CELLS - 1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), pa.array([r.tobytes() for r in cells], pa.binary()), pa.array([r.tobytes() for r in v.astype("<f8")], pa.binary())],
-                    ["vec_id", "cells", "exact"],
-                )
-
-    return vectors.mapInArrow(run, "vec_id long, cells binary, exact binary")
-
-
-class _Best:
-    """The k best (score, smaller id first) of each query so far."""
-
-    def __init__(self, queries: int, k: int):
-        self.score = np.full((queries, k), -np.inf)
-        self.id = np.full((queries, k), np.iinfo(np.int64).max)
-
-    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``ids`` and ``scores``: a row of candidates for each query in ``at``."""
-        ids, scores = np.hstack([self.id[at], ids]), np.hstack([self.score[at], scores])
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.id.shape[1]]
-        self.id[at], self.score[at] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-
-
-def _refine(best: _Best, at: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, upper: np.ndarray, ids: np.ndarray, exact: list[bytes], chunk: int = 8) -> None:
-    """Reads full vectors in falling order of ``upper`` until no bound left reaches the k-th score."""
-    order = np.argsort(-upper, axis=1, kind="stable")
-    live, done = np.arange(len(at)), 0
-    while len(live) and done < order.shape[1]:
-        columns = order[live, done : done + chunk]
-        bound = np.take_along_axis(upper[live], columns, 1)
-        open_ = bound >= best.score[at[live], -1][:, None]  # equal bounds count: a tie may have the smaller id
-        live, columns, open_ = live[open_[:, 0]], columns[open_[:, 0]], open_[open_[:, 0]]
-        if not len(live):
-            break
-        rows, where = np.unique(columns, return_inverse=True)
-        full = np.frombuffer(b"".join([exact[r] for r in rows.tolist()]), "<f8").reshape(len(rows), -1)
-        scores = np.einsum("qcd,qd->qc", full[where.reshape(columns.shape)], queries[live])
-        own = ids[columns] == query_ids[live][:, None]
-        best.add(at[live], np.where(open_ & ~own, ids[columns], np.iinfo(np.int64).max), np.where(open_ & ~own, scores, -np.inf))
-        done += chunk
-
-
-def _scan(query_ids, matrix, low: float, step: float, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_q, q = query_ids.value, matrix.value
-        best = _Best(len(ids_q), k)
-        size = np.abs(q).sum(axis=1)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids, exact = part.column("vec_id").to_numpy(), part.column("exact").to_pylist()
-                cells = np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(len(ids), -1)
-                middle = (low + (cells.astype(np.float64) + 0.5) * step).T
-                for b in range(0, len(q), QUERIES):
-                    own = np.arange(b, min(b + QUERIES, len(q)))
-                    # a component is at most half a cell from its cell's middle; the last term covers rounding
-                    upper = q[own] @ middle + (size[own] * (0.5 * step * (1 + 1e-9)) + 1e-6)[:, None]
-                    _refine(best, own, q[own], ids_q[own], upper, ids, exact)
-        found = best.id < np.iinfo(np.int64).max
-        rows = np.nonzero(found)[0]
-        if len(rows):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_q[rows]), pa.array(best.id[found]), pa.array(best.score[found].astype(np.int64))], ["query_id", "vec_id", "score"]
-            )
+            ids, raw = batch.column("row").to_numpy(), batch.column("cells").to_pylist()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            for n, block in blocks.items():
+                own = np.flatnonzero(sizes == n)
+                own = own[np.argsort(ids[own], kind="stable")]
+                for a in range(0, len(own), ROWS):
+                    part = own[a : a + ROWS]
+                    cells = np.frombuffer(b"".join([raw[i] for i in part.tolist()]), np.uint8).reshape(-1, n).astype(np.float32)
+                    for b in range(0, len(block.rows), QUERIES):
+                        held[n].append(block.tile(slice(b, min(b + QUERIES, len(block.rows))), ids[part], cells))
+                        if sum(len(x[0]) for x in held[n]) > HELD:
+                            yield handed(n)
+        for n in held:
+            if held[n]:
+                yield handed(n)
 
     return run
 
 
+def _scored(pairs: DataFrame, exact: DataFrame) -> DataFrame:
+    """``pairs`` (q, row, ...) with query_id, vec_id and the score of their full vectors."""
+    # ids tell rows apart, so no key is hot; the file's other columns are not read
+    queries = exact.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("_q"))
+    both = pairs.join(exact.select("row", "vec_id", "v"), "row").join(queries, "q")
+    products = F.zip_with("_q", "v", lambda a, b: a * b)
+    return both.withColumn("score", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).cast("long")).drop("_q", "v")
+
+
+def candidates(cells: DataFrame, exact: DataFrame, is_query, low: float, step: float, k: int, block: int = BLOCK) -> DataFrame:
+    """q, row, estimate and place (from 1, by estimate): for each query the rows that may be among its best ``k``."""
+    spark = cells.sparkSession
+    queries = exact.where(is_query).select("row", "v")
+    blocks = -(-queries.count() // block)
+    path = scratch(spark, "candidates")
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b) if blocks > 1 else queries
+        rows = own.toArrow()  # one block of queries
+        sizes = np.diff(rows.column("v").combine_chunks().offsets.to_numpy()) if rows.num_rows else np.zeros(0, int)
+        groups = []
+        for n in np.unique(sizes).tolist():
+            part = rows.filter(pa.array(sizes == n))
+            groups.append((part.column("row").to_numpy(), part.column("v").combine_chunks().flatten().to_numpy().reshape(-1, n)))
+        sent = spark.sparkContext.broadcast(groups)
+        cells.mapInArrow(_scan(sent, low, step, k), CANDIDATES).write.mode("append").parquet(path)
+        sent.destroy()
+    found = spark.read.schema(CANDIDATES).parquet(path) if blocks else spark.createDataFrame([], CANDIDATES)
+    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x))
+    reach = queries.select(F.col("row").alias("q"), (size * (step * (1 + CELLS * 2.0**-20 * F.size("v")) + abs(low) * 4e-12) + 4e-3).alias("reach"))  # twice that of _Block, and a little
+    order = Window.partitionBy("q").orderBy(F.desc("estimate"), "row")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = found.join(reach, "q").withColumns({"place": F.row_number().over(order), "_kth": F.nth_value("estimate", k).over(every)})
+    return placed.where(F.col("_kth").isNull() | (F.col("estimate") >= F.col("_kth") - F.col("reach"))).drop("_kth")
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (long): the ``k`` highest inner products of each query, all if there
     are fewer; equal scores in order of vec_id.
 
-    ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. Every other row is a candidate.
-    Rows without vec_id or with a vector that ``integral`` leaves out take no part. Rows that repeat a vec_id count
-    once, with the smallest vector in array order. An empty table gives no rows.
+    ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. Every row but the query's own is a
+    candidate; rows that repeat a vec_id are queries and candidates of their own. Rows without vec_id or with a
+    vector that ``integral`` leaves out take no part. No inner product is defined between vectors of different
+    lengths, so each length is searched by itself. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if vectors.isEmpty():
-        return empty
-    valid = integral(vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), scale)
-    if not valid.groupBy("vec_id").count().where("count > 1").isEmpty():  # only ids are shuffled to find out
-        valid = valid.groupBy("vec_id").agg(F.min("v").alias("v"))
-    low, high = valid.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    named = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    exact = stored(integral(named, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    low, high = exact.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     if low is None:
-        return empty
-    high = high + 1.0  # so that the highest value lies inside the last cell
-    file = stored(approximation_file(valid, low, high), "vector-cells")
-    queries = file.where(is_query).select("vec_id", "exact")
-    blocks = -(-queries.count() // block)
-    if not blocks:
-        return empty
-    step = max((high - low) / CELLS, 1e-9)
-    found = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = own.toArrow()  # one block of queries
-        if not rows.num_rows:
-            continue
-        ids = rows.column("vec_id").to_numpy()
-        matrix = np.frombuffer(b"".join(rows.column("exact").to_pylist()), "<f8").reshape(len(ids), -1)
-        sent = spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(matrix)
-        part = file.mapInArrow(_scan(*sent, low, step, k), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        if blocks > 1:
-            part = stored(part, "top-k")
-            for x in sent:
-                x.destroy()
-        found = part if found is None else found.union(part)
-    return found
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    step = (high - low + 1.0) / CELLS
+    cells = stored(without_hidden_copies(exact, k).select("row", cells_of(F.col("v"), low, step).alias("cells")), "vector-cells")
+    found = cut(candidates(cells, exact, is_query, low, step, k, block))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row")
+    first = cut(_scored(found.where(F.col("place") <= k), exact).select("q", "query_id", "row", "vec_id", "score"))
+    # the k-th score so far decides which bounds are still open; equal ones count, a tie may have the smaller id
+    kth = first.groupBy("q").agg(F.min("score").alias("_kth"))
+    rest = found.where(F.col("place") > k).join(kth, "q").where(F.col("estimate") + F.col("reach") / 2 >= F.col("_kth"))
+    rest = _scored(rest.select("q", "row"), exact).select("q", "query_id", "row", "vec_id", "score")
+    ranked = first.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
