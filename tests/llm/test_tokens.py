@@ -42,8 +42,14 @@ def test_encoder_equals_the_libraries(encoding, texts):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     assert got == [packed(e.ids) for e in tokenizer.encode_batch(every, add_special_tokens=False)]
-    parts = packing._loaded(PATH, P.PATTERN)
-    assert got == [parts.ids(t) for t in every]
+
+
+def test_packed_ids_equal_the_tokenizer_as_it_comes(texts):
+    """With its defaults ``tokenizers`` matches the file's added token in a text; so must packing."""
+    every = [*odd_texts(), *texts.values(), "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext|>\n"]
+    parts = packing._loaded(PATH, P.PATTERN, packing.added_tokens(P.path("byte_bpe_50k.json")))
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [parts.ids(t) for t in every] == [packed(e.ids) for e in tokenizer.encode_batch(every, add_special_tokens=False)]
 
 
 def test_matrix_and_heap_agree(monkeypatch):
@@ -133,6 +139,7 @@ def test_plans_place_every_piece():
             size = min(length, int(rng.expovariate(4 / length)) + 1)
             counts[size] = counts.get(size, 0) + rng.choice((1, 1, 50))
         patterns = packing.plan_patterns(counts, length)
+        assert any(len(p) > 2 and sum(p) == length for p, _ in patterns)
         placed = {}
         for pattern, times in patterns:
             assert times > 0 and sum(pattern) <= length

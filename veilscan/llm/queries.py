@@ -9,7 +9,7 @@ from .bpe import encode_documents
 from .common import table
 from .fingerprints import version_report
 from .neardup import near_duplicates
-from .packing import pack_documents
+from .packing import added_tokens, pack_documents
 from .pii import pii_report
 from .quality import quality_report
 from .search import top_k
@@ -30,7 +30,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2048)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2048, added=added)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
