@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, unused
 
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 #: A span is reported from this score on.
@@ -55,7 +55,7 @@ def mod97(account: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """``score`` is that of a confirmed match, ``context`` the words that raise it by ``bonus``."""
+    """``score`` is that of a confirmed match, ``context`` the words that raise it by ``bonus``, whole and in any case."""
 
     name: str
     pattern: str
@@ -70,17 +70,17 @@ class Kind:
 
 # What each kind looks like, in the order in which spans are listed.
 BASE_KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.lit(True), 0.7, "mail|contact|write|@", "@"),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.lit(True), 0.7, "e?mails?|contact|write|reach", "@"),
     Kind(
         "ip",
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
         lambda t: F.forall(F.split(t, r"\."), lambda x: x.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")),
         0.6,
-        "ip|host|server|address",
+        "ips?|hosts?|servers?|address(?:es)?",
         ".",
     ),
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", lambda t: luhn(_digits(t)), 0.6, "card|visa|credit|debit|payment"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: _count(t, 9, 15), 0.6, "phone|tel|call|mobile|fax", "+"),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", lambda t: luhn(_digits(t)), 0.6, "cards?|visa|credit|debit|payment"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: _count(t, 9, 15), 0.6, "phones?|tel|telephone|call|mobile|fax", "+"),
 )
 #: Length of an IBAN by country: the ISO 13616 registry, territories that use its formats, and countries in partial use.
 IBAN_LENGTHS = {
@@ -96,8 +96,8 @@ _IBAN = "|".join(
 )
 MORE_KINDS = (
     # spans are looked ahead at, so that a refused one hides no IBAN that starts inside it
-    Kind("iban", rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}", lambda t: mod97(F.regexp_replace(t, " ", "")), 0.6, "iban|account|bank|konto|compte|cuenta", takes=4),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: F.lit(True), 0.3, "ssn|social security|taxpayer"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}", lambda t: mod97(F.regexp_replace(t, " ", "")), 0.6, "ibans?|accounts?|bank|konto|compte|cuenta", takes=4),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: F.lit(True), 0.3, "ssns?|social security|taxpayer"),
 )
 
 
@@ -116,15 +116,19 @@ def _located(text: Column, matches: Column, pattern: str, takes: int) -> Column:
     return F.aggregate(steps, start, step, lambda state: state["out"])
 
 
-def _confirmed(kind: Kind) -> Column:
-    """The spans of one kind from the matches in its column, checked and scored."""
-    matches = F.col(f"_{kind.name}")
-    spans = F.filter(_located(F.col("_text"), matches, kind.pattern, kind.takes), lambda s: kind.confirm(s["text"]))
+def _confirmed(kind: Kind, text: Column, matches: Column) -> Column:
+    """The spans of one kind from its matches in ``text``, checked and scored."""
+    spans = F.filter(_located(text, matches, kind.pattern, kind.takes), lambda s: kind.confirm(s["text"]))
 
     def scored(s: Column) -> Column:
         before = F.greatest(s["start"] - REACH, F.lit(0))
-        near = F.concat(F.substring(F.col("_text"), before + 1, s["start"] - before), F.lit(" "), F.substring(F.col("_text"), s["end"] + 1, F.lit(REACH)))
-        score = F.lit(kind.score) + F.when(F.lower(near).rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
+        left, right = F.substring(text, before + 1, s["start"] - before), F.substring(text, s["end"] + 1, F.lit(REACH))
+        # a word that the reach cuts off is none
+        left = F.when(before > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
+        right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
+        near = F.concat(left, F.lit(" "), right)
+        words = rf"(?<![\p{{L}}\p{{N}}])(?:{kind.context})(?![\p{{L}}\p{{N}}])"
+        score = F.lit(kind.score) + F.when(F.lower(near).rlike(words), F.lit(kind.bonus)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.least(score, F.lit(1.0)).alias("score"))
 
     kept = F.filter(F.transform(spans, scored), lambda s: s["score"] >= LEAST_SCORE)
@@ -136,15 +140,17 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", kinds: tupl
 
     Places are code points from 0, ends exclusive. Null texts count as empty and have no spans. Matches that their
     check refuses are dropped; the score of the others rises if a context word stands within REACH code points, and
-    spans below LEAST_SCORE are left out. Kinds are found independently, so spans of two kinds may overlap.
+    spans below LEAST_SCORE are left out. Kinds are found independently, so spans of two kinds may overlap. Other
+    columns stay as they are, whatever their names; only an existing ``into`` is replaced.
     """
-    whole = docs.withColumn("_text", text_or_empty(text))
+    whole_text, *names = unused(docs, "_text", *[f"_{k.name}" for k in kinds])
+    whole = docs.withColumn(whole_text, text_or_empty(text))
     nothing = F.array().cast("array<string>")
-    for k in kinds:
-        matches = F.regexp_extract_all("_text", F.lit(k.pattern), F.lit(1 if k.takes else 0))
-        whole = whole.withColumn(f"_{k.name}", F.when(F.contains(F.col("_text"), F.lit(k.needs)), matches).otherwise(nothing) if k.needs else matches)
-    found = [_confirmed(k) for k in kinds]
-    return whole.withColumn(into, F.concat(*found)).drop("_text", *[f"_{k.name}" for k in kinds])
+    for k, name in zip(kinds, names, strict=True):
+        matches = F.regexp_extract_all(whole_text, F.lit(k.pattern), F.lit(1 if k.takes else 0))
+        whole = whole.withColumn(name, F.when(F.contains(F.col(whole_text), F.lit(k.needs)), matches).otherwise(nothing) if k.needs else matches)
+    found = [_confirmed(k, F.col(whole_text), F.col(name)) for k, name in zip(kinds, names, strict=True)]
+    return whole.withColumn(into, F.concat(*found)).drop(whole_text, *names)
 
 
 def redact(text: Column, spans: Column) -> Column:
