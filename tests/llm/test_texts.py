@@ -136,14 +136,46 @@ def test_fingerprints(spark, docs, texts):
     assert fingerprints.version_report(frame.where("doc_id = 7")).first()["near_next"] == 1.0
 
 
-def test_sketches_fall_back_to_larger_ones(spark):
-    a, b = list(range(100)), list(range(90, 260))
-    frame = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
-    for sizes in ((8,), (8, 24), (400,)):
-        found = frame.select(fingerprints.differing(F.col("a"), F.col("b"), sizes).alias("d")).first()["d"]
-        assert sorted(found) == sorted(set(a) ^ set(b))
-    ok = frame.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), 8), fingerprints.sketch(F.col("b"), 8)), 8).alias("p")).first()["p"]["ok"]
-    assert not ok
+def sketch_of(digests, third):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    return fingerprints.sketches(spark.createDataFrame([(1, digests, third)], "k int, digests array<long>, third int"), "k")
+
+
+@pytest.mark.parametrize(("third", "differ", "ok"), [(8, 170, False), (8, 5, True), (200, 170, True)])
+def test_sketches_are_subtracted_and_peeled(spark, third, differ, ok):
+    rng = random.Random(third)
+    shared, own = ([rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (100, differ))
+    a, b = sketch_of(shared + own[: differ // 3], third), sketch_of(shared + own[differ // 3 :], third)
+    minus = b.withColumn("n", -F.col("n"))
+    row = fingerprints.peeled(fingerprints._summed(a.union(minus), "k", "third"), "k").first()
+    assert row["ok"] == ok and (row["found"] == differ or not ok)
+    same = fingerprints._summed(a.union(a.withColumn("n", -F.col("n"))), "k", "third")
+    assert same.isEmpty()
+
+
+def test_shown_fingerprints_decode_by_themselves(spark):
+    """The difference of two shown fingerprints, peeled by hand without the texts."""
+    lines = [f"line {i}" for i in range(50)]
+    texts = {2: "\n".join(lines), 1: "\n".join([*lines[:49], "another"])}
+    rows = fingerprints.version_report(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    told = {r["doc_id"]: [tuple(int(x, 16 if i else 10) for i, x in enumerate(c.split(":"))) if c != "0" else (0, 0, 0) for c in r["fingerprint"].split(".")] for r in rows}
+    cells = [(p[0] - q[0], p[1] ^ q[1], p[2] ^ q[2]) for p, q in zip(told[2], told[1], strict=True)]
+    want = spark.createDataFrame([("line 49",), ("another",)], "t string").select(F.xxhash64("t").alias("d"), F.xxhash64(F.xxhash64("t"), F.lit(7)).alias("c")).collect()
+    assert {(n, d, c) for n, d, c in cells if abs(n) == 1} <= {(s, r["d"] % 2**64, r["c"] % 2**64) for r, s in zip(want, (1, -1), strict=True)}
+    assert sum(abs(n) for n, _, _ in cells) in (2, 4, 6) and {r["near_next"] for r in rows} == {1 - 2 / 100}
+
+
+def test_work_follows_the_digests(spark):
+    """A text of 20,000 short lines against another one: no term grows with the square of its lines."""
+    import time
+
+    rows = [(1, "\n".join(f"a{i}" for i in range(20_000))), (2, "\n".join(f"b{i}" for i in range(20_000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    check_versions(fingerprints.version_report(frame).collect(), dict(rows))
+    assert time.time() - began < 60
 
 
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -254,3 +286,15 @@ def test_ibans_before_upper_case_words_and_numbers(spark):
         spans = [s for s in r["pii"] if s["kind"] == "iban"]
         assert [s["text"] for s in spans] == texts[r["text"]] and [r["text"][s["start"] : s["end"]] for s in spans] == texts[r["text"]]
         assert not any(t in r["clean"] for t in texts[r["text"]])
+
+
+def test_context_words_are_whole_words_and_columns_stay(spark):
+    texts = {"the hotel sent 123-45-6789 by the bassnet": "", "SSN: 123-45-6789": "ssn", "his ssns 123-45-6789": "ssn", "assn 123-45-6789": "", "Social Security no 123-45-6789": "ssn"}
+    frame = spark.createDataFrame([(i, t, "kept", f"e{i}", i) for i, t in enumerate(texts)], "doc_id long, text string, _text string, _email string, _ssn int")
+    found = pii.find_pii(frame)
+    assert found.columns == [*frame.columns, "pii"]
+    for r in found.collect():
+        assert ",".join(s["kind"] for s in r["pii"]) == texts[r["text"]]
+        assert (r["_text"], r["_email"], r["_ssn"]) == ("kept", f"e{r['doc_id']}", r["doc_id"])
+    scores = {r["text"]: r["pii"][0]["score"] for r in pii.find_pii(spark.createDataFrame([("ship 1.2.3.4",), ("ip 1.2.3.4",), ("the hosts: 1.2.3.4",)], "text string")).collect()}
+    assert scores["ship 1.2.3.4"] < scores["ip 1.2.3.4"] == scores["the hosts: 1.2.3.4"]

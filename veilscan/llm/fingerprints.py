@@ -4,11 +4,13 @@ A text falls into paragraphs (lines, long ones cut every PARAGRAPH code points)
 64-bit digest. In a sketch every digest is added to three cells, one in each third: the cell counts it and keeps the
 exclusive or of its digests and of their check sums. Subtracting the sketches of two versions cell by cell cancels
 what they share. A cell left with one digest passes its check sum; taking that digest out of its other cells frees
-more such cells, until nothing is left (the differing digests are recovered) or no such cell remains. Then the next
-larger sketch is tried.
+more such cells, until nothing is left (the differing digests are recovered) or no such cell remains. Then sketches
+of the next size are made and subtracted, without a last size.
 
-Sketches are kept small: digests are dealt into groups by their first bits, the more the longer the texts are, each
-group has its own sketch, and a failed group alone is tried again, so that the work grows with the texts.
+Sketches are tables of cells (set, cell, n, digest, check), not arrays in a row: a text's digests are exploded into
+cells once and added up by aggregates, and peeling is an aggregate as well, so the work is in proportion to the
+digests however long a text is. All of a document's cells lie in one partition from the start, so neither sums nor
+subtraction nor peeling shuffle again.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_order, offsets, text_or_empty
+from .common import cut, in_order, offsets, partitions, stored, text_or_empty
 
 #: Code points of a paragraph at most.
 PARAGRAPH = 200
-#: Distinct paragraphs of both versions that a group should hold, and the cells per third of each sketch tried.
-GROUP, SKETCHES = 12, (8, 24, 72)
-#: Cells per third of the sketch that is shown as a fingerprint.
-SHOWN = 4
-ROUNDS = 12
-CELL = "struct<n:int,digest:bigint,check:bigint>"
+#: Cells in each third of the first sketch, which is shown as the fingerprint.
+FIRST = 4
+#: Rounds of peeling in one job, and cells per third that the second sketch has: for each digest of both versions, and
+#: besides. Empty cells are not stored, so room costs nothing and saves rounds.
+ROUNDS, ROOM, SPARE = 3, 2, 16
+#: The cell that counts what has been recovered.
+FOUND = -1
+#: A document's own digests, its edited text's and the next document's.
+VERSIONS = "abc"
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -34,93 +39,110 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
+def _check(digest: Column) -> Column:
+    return F.xxhash64(digest, F.lit(7))
 
 
-def _item(digest: Column, n: Column, cells: int) -> Column:
-    """What a digest adds to a sketch, and its cell in each third, from bits that no other third uses."""
-    slots = [(F.shiftrightunsigned(digest, 20 * t).bitwiseAND((1 << 20) - 1) % cells + t * cells).cast("int").alias(f"s{t}") for t in range(3)]
-    return F.struct(n.cast("int").alias("n"), digest.alias("digest"), F.xxhash64(digest, F.lit(7)).alias("check"), *slots)
+def _cells_of(digest: Column, check: Column, third: Column) -> list[Column]:
+    """The digest's cell in each third of a sketch with ``third`` cells per third, from bits that no other third uses."""
+    bits = (digest.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(digest, 32), check.bitwiseAND(0xFFFFFFFF))
+    return [(x % third + t * third).cast("int") for t, x in enumerate(bits)]
 
 
-def _hits(items: Column, i: Column) -> Column:
-    return F.filter(items, lambda x: (x["s0"] == i) | (x["s1"] == i) | (x["s2"] == i))
+def _summed(rows: DataFrame, *key: str) -> DataFrame:
+    """Cells of one key added up; those that became empty are left out."""
+    cells = rows.groupBy(*key, "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check"))
+    return cells.where("n <> 0 OR digest <> 0 OR check <> 0")
 
 
-def _cell(n: Column, digest: Column, check: Column) -> Column:
-    return F.struct(n.alias("n"), digest.alias("digest"), check.alias("check"))
+def sketches(sets: DataFrame, *key: str) -> DataFrame:
+    """The cells of the sketch of every set in ``sets`` (key, digests: distinct ones, third: cells per third): key,
+    third, cell, n, digest, check. Empty cells are left out, so an empty set has none."""
+    each = sets.select(*key, "third", F.explode("digests").alias("digest")).withColumn("check", _check(F.col("digest")))
+    own = F.array(*_cells_of(F.col("digest"), F.col("check"), F.col("third")))
+    return _summed(each.select(*key, "third", "digest", "check", F.lit(1).alias("n"), F.explode_outer(own).alias("cell")), *key, "third")
 
 
-def _change(cell: Column, items: Column, sign: int) -> Column:
-    return F.aggregate(items, cell, lambda c, x: _cell(c["n"] + sign * x["n"], c["digest"].bitwiseXOR(x["digest"]), c["check"].bitwiseXOR(x["check"])))
+def _alone() -> Column:
+    return (F.col("cell") != FOUND) & F.col("n").isin(1, -1) & (_check(F.col("digest")) == F.col("check"))
 
 
-def sketch(digests: Column, cells: int) -> Column:
-    """The ``3 * cells`` cells of an array of distinct digests."""
-    zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    items = F.transform(digests, lambda d: _item(d, F.lit(1), cells))
-    at = F.sequence(F.lit(0), F.lit(3 * cells - 1))
-    return _let(items, lambda own: F.transform(at, lambda i: _change(zero, _hits(own, i), 1)))
+def _round(cells: DataFrame, *key: str) -> DataFrame:
+    """One round of peeling: every digest that stands alone in a cell is taken out of its cells and counted."""
 
+    def move(cell: Column, n: Column, taken: bool) -> Column:
+        return F.struct(cell.alias("cell"), n.alias("n"), F.lit(taken).alias("taken"))
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["digest"].bitwiseXOR(y["digest"]), x["check"].bitwiseXOR(y["check"])))
+    stays = move(F.col("cell"), F.col("n"), False)
+    out = [move(c, -F.col("n"), True) for c in _cells_of(F.col("digest"), F.col("check"), F.col("third"))]
+    moves = F.when(_alone(), F.array(stays, *out, move(F.lit(FOUND), F.lit(1), True))).otherwise(F.array(stays))
+    # outer: else Spark would first filter by the array's size and build it twice
+    moved = cells.select(*key, "third", "digest", "check", F.explode_outer(moves).alias("m")).select(*key, "third", "digest", "check", "m.cell", "m.n", "m.taken")
+    # a digest that stands alone in two cells is taken out once
+    once = moved.distinct()
+    value = lambda c: F.when(F.col("cell") == FOUND, F.lit(0)).otherwise(F.col(c)).alias(c)
+    return _summed(once.select(*key, "third", "cell", "n", value("digest"), value("check")), *key, "third")
 
 
-def peel(cells_of: Column, cells: int) -> Column:
-    """struct(ok, found): the digests recovered from a difference, and whether they are all of it."""
-
-    def step(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: F.abs(c["n"]).eqNullSafe(1) & (F.xxhash64(c["digest"], F.lit(7)) == c["check"]))
-        items = F.array_distinct(F.transform(pure, lambda c: _item(c["digest"], c["n"], cells)))
-
-        def take(own: Column) -> Column:
-            rest = F.transform(state["cells"], lambda c, i: _change(c, _hits(own, i), -1))
-            more = F.concat(state["found"], F.transform(own, lambda x: x["digest"]))
-            return F.when(F.size(own) == 0, state).otherwise(F.struct(rest.alias("cells"), more.alias("found")))
-
-        return _let(items, take)
-
-    start = F.struct(cells_of.alias("cells"), F.array().cast("array<bigint>").alias("found"))
-    clean = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["digest"] == 0) & (c["check"] == 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.struct(clean(s).alias("ok"), s["found"].alias("found")))
-
-
-def differing(a: Column, b: Column, sketches: tuple[int, ...] = SKETCHES) -> Column:
-    """The digests in one of two arrays of distinct digests but not in the other, by sketches of growing size; if
-    even the largest fails, by comparing the arrays."""
-    if not sketches:
-        return F.concat(F.array_except(a, b), F.array_except(b, a))
-    cells, *larger = sketches
-    found = peel(subtract(sketch(a, cells), sketch(b, cells)), cells)
-    return _let(found, lambda r: F.when(r["ok"], r["found"]).otherwise(differing(a, b, tuple(larger))))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """1 - (differing digests) / (all digests of both), from 0 to 1; 1 for two texts without paragraphs."""
-    both = F.size(a) + F.size(b)
-    # a power of two: digests of a group agree in their top bits
-    groups = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(both / GROUP)))).cast("int")
-
-    def group(digest: Column, n: Column) -> Column:
-        return F.shiftrightunsigned(digest, 60).bitwiseXOR(F.shiftrightunsigned(digest, 3)).bitwiseAND((1 << 30) - 1) % n
-
-    def count(n: Column) -> Column:
-        parts = F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda g: F.struct(F.filter(a, lambda d: group(d, n) == g).alias("a"), F.filter(b, lambda d: group(d, n) == g).alias("b")),
+def peeled(cells: DataFrame, *key: str) -> DataFrame:
+    """key, third, ok, found: how many digests were recovered from each difference of sketches, and whether they are
+    all of it. Differences without cells (equal sets) have no row. Only those in which a digest still stands alone
+    after some rounds go on to further ones, each step with a checkpoint."""
+    done = None
+    while True:
+        for _ in range(ROUNDS):
+            cells = _round(cells, *key)
+        cells = cut(cells)
+        left = F.col("cell") != FOUND
+        state = cut(
+            cells.groupBy(*key, "third").agg(
+                F.coalesce(F.max(F.when(~left, F.col("n"))), F.lit(0)).alias("found"), (F.count_if(left) == 0).alias("ok"), F.bool_or(_alone()).alias("_on")
+            )
         )
-        sizes = F.transform(parts, lambda p: F.size(differing(p["a"], p["b"])))
-        return F.aggregate(sizes, F.lit(0), lambda total, x: total + x)
-
-    return F.when(both == 0, F.lit(1.0)).otherwise(1 - _let(groups, count) / both)
-
-
-def shown(digests: Column) -> Column:
-    """A fingerprint as text: count and digest sum of each cell of a small sketch."""
-    return F.array_join(F.transform(sketch(digests, SHOWN), lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["digest"])))), ".")
+        ended = state.where(F.col("ok") | ~F.col("_on")).select(*key, "third", "ok", "found")
+        done = ended if done is None else done.union(ended)
+        on = state.where(~F.col("ok") & F.col("_on"))
+        if on.isEmpty():
+            return done
+        cells = cells.join(on.select(*key), list(key), "left_semi")
+
+
+def subtracted(cells: DataFrame, key: list[str], signs: Column) -> DataFrame:
+    """Differences of sketches: ``signs`` is an array of (pair, sign) that a cell's version counts in."""
+    each = cells.select(*key, "third", "cell", "n", "digest", "check", F.explode(signs).alias("_s"))
+    return _summed(each.select(*key, "_s.pair", "third", "cell", (F.col("n") * F.col("_s.sign")).alias("n"), "digest", "check"), *key, "pair", "third")
+
+
+def _pairs(*signs: tuple[str, int]) -> Column:
+    return F.array(*[F.struct(F.lit(VERSIONS.index(p)).alias("pair"), F.lit(s).alias("sign")) for p, s in signs])
+
+
+def shown(cells: Column) -> Column:
+    """A sketch of the first size as text: count, digest sum and check sum of each cell, so that it can be subtracted
+    from another one and peeled without the text."""
+    by_cell = F.map_from_entries(F.transform(cells, lambda c: F.struct(c["cell"].alias("k"), F.concat_ws(":", c["n"].cast("string"), F.lower(F.hex(c["digest"])), F.lower(F.hex(c["check"]))).alias("v"))))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * FIRST - 1)), lambda i: F.coalesce(F.try_element_at(by_cell, i), F.lit("0"))), ".")
+
+
+def differences(digests: DataFrame, first: DataFrame) -> DataFrame:
+    """_row, pair (1: with b, 2: with c), found: how many digests only one of the sets a and b (a and c) of a row has. Equal sets
+    have no row. ``digests`` has _row, a, b, c; ``first`` the cells of their first sketches by _row and version."""
+    n = partitions(digests.sparkSession)
+    signs = F.when(F.col("version") == 0, _pairs(("b", 1), ("c", 1))).when(F.col("version") == 1, _pairs(("b", -1))).otherwise(_pairs(("c", -1)))
+    state = peeled(subtracted(first, ["_row"], signs), "_row", "pair")
+    found = state.where("ok").select("_row", "pair", "found")
+    while not (failed := state.where("NOT ok")).isEmpty():
+        other = F.when(F.col("pair") == 1, F.col("b")).otherwise(F.col("c"))
+        # the second size follows from both sets, later ones are twice the last
+        room = F.greatest(2 * F.col("third"), F.when(F.col("third") == FIRST, ROOM * (F.size("a") + F.size(other)) + SPARE).otherwise(0)).cast("int")
+        again = digests.repartition(n, "_row").join(failed.select("_row", "pair", "third"), "_row")
+        versions = F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("digests")), F.struct(F.lit(-1).alias("sign"), other.alias("digests")))
+        sets = again.select("_row", "pair", room.alias("third"), F.explode(versions).alias("v")).select("_row", "pair", "third", "v.sign", "v.digests")
+        larger = sketches(sets, "_row", "pair", "sign")
+        differing = _summed(larger.withColumn("n", F.col("n") * F.col("sign")), "_row", "pair", "third")
+        state = peeled(differing, "_row", "pair")
+        found = found.union(state.where("ok").select("_row", "pair", "found"))
+    return found
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -138,7 +160,9 @@ def version_report(docs: DataFrame) -> DataFrame:
     replaced by as many (or all) from the start of the next document in descending doc_id (after the last: the first).
 
     Returns doc_id, n_chars (long, code points), edited_sha256, fingerprint, edited_fingerprint, near_edited and
-    near_next (likeness with the edited text and with the next document). Null texts count as empty, null doc_ids
+    near_next (likeness with the edited text and with the next document: 1 - differing digests / digests of both, 1
+    without any). A fingerprint is a text's first sketch; where the difference of two of them cannot be peeled,
+    larger sketches of the same texts take their place. Null texts count as empty, null doc_ids
     come after all others, documents with one doc_id follow each other by length and hash. Rows that repeat doc_id
     and text count as one document and each get its result. The only document is its own next one.
     """
@@ -152,13 +176,32 @@ def version_report(docs: DataFrame) -> DataFrame:
     theirs = (F.col("m.doc_id").eqNullSafe(F.col("h._to_id"))) & (F.col("m._hash") == F.col("h._to_hash"))
     both = keyed.alias("m").join(handed.alias("h"), theirs).select("doc_id", "text", "_start", "_c", F.length("text").alias("_n"))
     edited = both.withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("_n") - F.floor(F.col("_n") / 2)).cast("int")), F.col("_start")))
-    digests = edited.select("doc_id", F.col("_n").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("_a"), paragraph_digests(F.col("_edited")).alias("_b"), "_c")
-    return digests.select(
+    digests = stored(
+        edited.select(
+            F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("_n").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
+            paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("_edited")).alias("b"), F.col("_c").alias("c"),
+        ),
+        "digests",
+    )
+    sets = F.array(*[F.struct(F.lit(i).alias("version"), F.col(v).alias("digests")) for i, v in enumerate(VERSIONS)])
+    whole = digests.select("_row", "a", "b", "c").repartition(partitions(docs.sparkSession), "_row")
+    first = stored(sketches(whole.select("_row", F.lit(FIRST).alias("third"), F.explode(sets).alias("s")).select("_row", "third", "s.version", "s.digests"), "_row", "version"), "sketches")
+    cell = F.struct("cell", "n", "digest", "check")
+    cells = first.where("version < 2").groupBy("_row").agg(*[F.collect_list(F.when(F.col("version") == i, cell)).alias(f"_{v}") for i, v in enumerate("ab")])  # at most 12 each
+    found = differences(digests.select("_row", "a", "b", "c"), first).groupBy("_row").agg(*[F.max(F.when(F.col("pair") == i, F.col("found"))).alias(f"_to_{VERSIONS[i]}") for i in (1, 2)])
+    sizes = digests.select("_row", "doc_id", "n_chars", "edited_sha256", *[F.size(v).alias(f"_n_{v}") for v in VERSIONS])
+    nothing = F.array().cast("array<struct<cell:int,n:int,digest:bigint,check:bigint>>")
+
+    def likeness(p: str) -> Column:
+        both = F.col("_n_a") + F.col(f"_n_{p}")
+        return F.when(both == 0, F.lit(1.0)).otherwise(1 - F.coalesce(f"_to_{p}", F.lit(0)) / both)
+
+    return sizes.join(cells, "_row", "left").join(found, "_row", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        shown(F.col("_a")).alias("fingerprint"),
-        shown(F.col("_b")).alias("edited_fingerprint"),
-        likeness(F.col("_a"), F.col("_b")).alias("near_edited"),
-        likeness(F.col("_a"), F.col("_c")).alias("near_next"),
+        shown(F.coalesce("_a", nothing)).alias("fingerprint"),
+        shown(F.coalesce("_b", nothing)).alias("edited_fingerprint"),
+        likeness("b").alias("near_edited"),
+        likeness("c").alias("near_next"),
     )
