@@ -160,8 +160,12 @@ def test_shown_fingerprints_decode_by_themselves(spark):
     lines = [f"line {i}" for i in range(50)]
     texts = {2: "\n".join(lines), 1: "\n".join([*lines[:49], "another"])}
     rows = fingerprints.version_report(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
-    told = {r["doc_id"]: [tuple(int(x, 16 if i else 10) for i, x in enumerate(c.split(":"))) if c != "0" else (0, 0, 0) for c in r["fingerprint"].split(".")] for r in rows}
-    cells = [(p[0] - q[0], p[1] ^ q[1], p[2] ^ q[2]) for p, q in zip(told[2], told[1], strict=True)]
+    told = {}
+    for r in rows:
+        cells = [c.split(":") for c in r["fingerprint"].split(".")]
+        told[r["doc_id"]] = {int(i): (int(n), int(d, 16), int(c, 16)) for i, n, d, c in cells}
+    empty = (0, 0, 0)
+    cells = [(p[0] - q[0], p[1] ^ q[1], p[2] ^ q[2]) for p, q in ((told[2].get(i, empty), told[1].get(i, empty)) for i in range(3 * fingerprints.FIRST))]
     want = spark.createDataFrame([("line 49",), ("another",)], "t string").select(F.xxhash64("t").alias("d"), F.xxhash64(F.xxhash64("t"), F.lit(7)).alias("c")).collect()
     assert {(n, d, c) for n, d, c in cells if abs(n) == 1} <= {(s, r["d"] % 2**64, r["c"] % 2**64) for r, s in zip(want, (1, -1), strict=True)}
     assert sum(abs(n) for n, _, _ in cells) in (2, 4, 6) and {r["near_next"] for r in rows} == {1 - 2 / 100}

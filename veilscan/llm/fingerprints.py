@@ -25,8 +25,8 @@ PARAGRAPH = 200
 #: Cells in each third of the first sketch, which is shown as the fingerprint.
 FIRST = 4
 #: Rounds of peeling in one job, and cells per third that the second sketch has: for each digest of both versions, and
-#: besides. Empty cells are not stored, so room costs nothing and saves rounds.
-ROUNDS, ROOM, SPARE = 3, 2, 16
+#: besides. Much more room would make more cells with a single digest, each of which sends out the same changes.
+ROUNDS, ROOM, SPARE = 4, 0.8, 8
 #: The cell that counts what has been recovered.
 FOUND = -1
 #: A document's own digests, its edited text's and the next document's.
@@ -118,10 +118,9 @@ def _pairs(*signs: tuple[str, int]) -> Column:
 
 
 def shown(cells: Column) -> Column:
-    """A sketch of the first size as text: count, digest sum and check sum of each cell, so that it can be subtracted
-    from another one and peeled without the text."""
-    by_cell = F.map_from_entries(F.transform(cells, lambda c: F.struct(c["cell"].alias("k"), F.concat_ws(":", c["n"].cast("string"), F.lower(F.hex(c["digest"])), F.lower(F.hex(c["check"]))).alias("v"))))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * FIRST - 1)), lambda i: F.coalesce(F.try_element_at(by_cell, i), F.lit("0"))), ".")
+    """A sketch of the first size as text: the cells that are not empty (place, text) in order of their places, so
+    that it can be subtracted from another one and peeled without the document."""
+    return F.array_join(F.transform(F.array_sort(cells), lambda c: c["text"]), ".")
 
 
 def differences(digests: DataFrame, first: DataFrame) -> DataFrame:
@@ -134,7 +133,7 @@ def differences(digests: DataFrame, first: DataFrame) -> DataFrame:
     while not (failed := state.where("NOT ok")).isEmpty():
         other = F.when(F.col("pair") == 1, F.col("b")).otherwise(F.col("c"))
         # the second size follows from both sets, later ones are twice the last
-        room = F.greatest(2 * F.col("third"), F.when(F.col("third") == FIRST, ROOM * (F.size("a") + F.size(other)) + SPARE).otherwise(0)).cast("int")
+        room = F.greatest(2 * F.col("third"), F.when(F.col("third") == FIRST, F.ceil(ROOM * (F.size("a") + F.size(other))) + SPARE).otherwise(0)).cast("int")
         again = digests.repartition(n, "_row").join(failed.select("_row", "pair", "third"), "_row")
         versions = F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("digests")), F.struct(F.lit(-1).alias("sign"), other.alias("digests")))
         sets = again.select("_row", "pair", room.alias("third"), F.explode(versions).alias("v")).select("_row", "pair", "third", "v.sign", "v.digests")
@@ -186,11 +185,12 @@ def version_report(docs: DataFrame) -> DataFrame:
     sets = F.array(*[F.struct(F.lit(i).alias("version"), F.col(v).alias("digests")) for i, v in enumerate(VERSIONS)])
     whole = digests.select("_row", "a", "b", "c").repartition(partitions(docs.sparkSession), "_row")
     first = stored(sketches(whole.select("_row", F.lit(FIRST).alias("third"), F.explode(sets).alias("s")).select("_row", "third", "s.version", "s.digests"), "_row", "version"), "sketches")
-    cell = F.struct("cell", "n", "digest", "check")
+    told = F.concat_ws(":", F.col("cell").cast("string"), F.col("n").cast("string"), F.lower(F.hex("digest")), F.lower(F.hex("check")))
+    cell = F.struct("cell", told.alias("text"))
     cells = first.where("version < 2").groupBy("_row").agg(*[F.collect_list(F.when(F.col("version") == i, cell)).alias(f"_{v}") for i, v in enumerate("ab")])  # at most 12 each
     found = differences(digests.select("_row", "a", "b", "c"), first).groupBy("_row").agg(*[F.max(F.when(F.col("pair") == i, F.col("found"))).alias(f"_to_{VERSIONS[i]}") for i in (1, 2)])
     sizes = digests.select("_row", "doc_id", "n_chars", "edited_sha256", *[F.size(v).alias(f"_n_{v}") for v in VERSIONS])
-    nothing = F.array().cast("array<struct<cell:int,n:int,digest:bigint,check:bigint>>")
+    nothing = F.array().cast("array<struct<cell:int,text:string>>")
 
     def likeness(p: str) -> Column:
         both = F.col("_n_a") + F.col(f"_n_{p}")
