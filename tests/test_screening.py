@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilscan.functions import bits, detect
-from veilscan.operators import envelope, marks, rollup, triage
-from veilscan.sources import files
+from veilscan.operators import envelope, jobs, marks, rollup, triage
+from veilscan.plans import fixtures
+from veilscan.sources import files, images
 from veilscan.streaming.screen import screen_stream
 
 
@@ -61,7 +62,7 @@ def test_signatures_and_trailers(spark):
     assert one(spark, detect.appended_data(F.lit(".xyz"), F.col("c")), c=png + end + b"x") == []
     # a marker that lies across byte borders is none
     assert one(spark, detect.jpeg_trailer(F.col("c")), c=b"\x0f\xfd\x90abc") == []
-    assert names(one(spark, detect.jpeg_trailer(F.col("c")), c=b"\xff\xd8\xff\xd9" + bytes(200)))["jpeg_trailer"] == 56
+    assert names(one(spark, detect.jpeg_trailer(F.col("c")), c=b"\xff\xd8\xff\xd9" + bytes(200)))["appended_data"] == 56
     assert names(one(spark, detect.appended_data(F.lit(".pdf"), F.col("c")), c=b"%%EOF\n")) == {"appended_data": 70}
     assert one(spark, detect.appended_data(F.lit(".pdf"), F.col("c"), ignore_trailing_eol=True), c=b"%%EOF\n") == []
 
@@ -148,7 +149,8 @@ def test_findings_of_hostile_items(spark):
     rows = [("bad", ".txt", bytearray(b"\xff\xfe")), ("empty", ".png", bytearray()), ("none", ".md", None), ("noext", "", bytearray(b"STEGAPP"))]
     found = rollup.findings(spark.createDataFrame(rows, "item_id string, ext string, content binary")).collect()
     by = {(r["item_id"], r["analyzer"]): r for r in found}
-    assert by["bad", "text_zerowidth"]["error"] == "not valid UTF-8" and by["bad", "signatures"]["error"] is None
+    assert by["bad", "text_whitespace"]["error"] == "not valid UTF-8" and by["bad", "text_zerowidth"]["error"] is None and by["bad", "signatures"]["error"] is None
+    assert by["empty", "image_lsb"]["error"] and not by["empty", "image_lsb"]["signals"]
     assert by["noext", "ai_triage"]["explanation"] == "stegapp:95" and by["empty", "ai_triage"]["explanation"] == "no signals"
     assert by["none", "ai_triage"]["suspicion"] == 0
 
@@ -180,7 +182,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "sub" / "empty.bin").write_bytes(b"")
     got = {os.path.basename(r["item_id"]): r for r in files.image_samples(spark, str(tmp_path)).collect()}
     assert got["rgb.png"]["data"] == rgb.tobytes() and got["grey.png"]["data"] == np.repeat(grey.reshape(-1, 1), 3, 1).tobytes()
-    assert got["rgba.png"]["data"] is not None and len(got["rgba.png"]["data"]) == 60
+    assert got["rgba.png"]["data"] == rgba[:, :, :3].tobytes()
     assert got["cut.png"]["error"] and got["cut.png"]["data"] is None
     for name, width in (("a.wav", 2), ("b.wav", 1)):
         with wave.open(str(tmp_path / name), "wb") as out:
@@ -202,3 +204,110 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(items.schema).parquet(str(tmp_path / "in"))
     screen_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("analyzer = 'ai_triage'").first()["suspicion"] == 70
+
+
+def filtered_png(path, pixels, depth=8, kind=2, interlaced=False):
+    """A PNG whose rows use all five filters, the samples packed to ``depth`` bits."""
+    height, width, channels = pixels.shape
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    body = b""
+    for x, y, right, down in images.PASSES if interlaced else ((0, 0, 1, 1),):
+        part = pixels[y::down, x::right]
+        if not part.size:
+            continue
+        if depth == 16:
+            rows = part.astype(">u2").reshape(part.shape[0], -1).view(np.uint8)
+        elif depth == 8:
+            rows = part.astype(np.uint8).reshape(part.shape[0], -1)
+        else:
+            bits = (part.reshape(part.shape[0], -1, 1) >> np.arange(depth - 1, -1, -1)) & 1
+            rows = np.packbits(bits.reshape(part.shape[0], -1).astype(np.uint8), axis=1)
+        step, above = max(1, channels * depth // 8), [0] * rows.shape[1]
+        for i, row in enumerate(rows.tolist()):
+            out = []
+            for j, v in enumerate(row):
+                a, b, c = (row[j - step] if j >= step else 0), above[j], (above[j - step] if j >= step else 0)
+                p = a + b - c
+                nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                out.append((v - (0, a, b, (a + b) // 2, nearest)[i % 5]) & 255)
+            body += bytes([i % 5, *out])
+            above = row
+    head = struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, int(interlaced))
+    palette = chunk(b"PLTE", bytes(range(48))) if kind == 3 else b""
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + palette + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b""))
+
+
+def test_decoded_images_equal_those_of_the_image_source(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    for name, channels, kind, depth, interlaced in (("rgb", 3, 2, 8, False), ("rgba", 4, 6, 8, False), ("grey", 1, 0, 8, False), ("four", 1, 0, 4, False), ("palette", 1, 3, 4, False), ("woven", 3, 2, 8, True), ("bit", 1, 0, 1, True)):
+        filtered_png(tmp_path / f"{name}.png", rng.integers(0, 1 << depth, (11, 13, channels)), depth, kind, interlaced)
+    for name, height in (("up", 5), ("down", -5)):
+        rows = rng.integers(0, 256, (5, 20), dtype=np.uint8).tobytes()
+        (tmp_path / f"{name}.bmp").write_bytes(struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 54, 40, 6, height, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows)
+    wanted = {os.path.basename(r["item_id"]): (r["width"], r["height"], r["data"]) for r in files.image_samples(spark, str(tmp_path)).collect()}
+    found = images.image_samples(files.scan_files(spark, str(tmp_path))).collect()
+    assert len(found) == 9 and all(r["error"] is None for r in found)
+    got = {os.path.basename(r["item_id"]): (r["width"], r["height"], r["data"]) for r in found}
+    assert [n for n in wanted if got[n] != wanted[n]] == []
+    deep = rng.integers(0, 1 << 16, (3, 4, 1))
+    filtered_png(tmp_path / "deep.png", deep, 16, 0)
+    assert (images.rgb((tmp_path / "deep.png").read_bytes()) == deep >> 8).all()
+    whole = (tmp_path / "rgb.png").read_bytes()
+    for broken in (b"", b"BM", whole[:50], whole[:-60], b"\x89PNG\r\n\x1a\n" + b"\xff" * 40, whole.replace(b"IDAT", b"XDAT")):
+        with pytest.raises(ValueError):
+            images.rgb(broken)
+
+
+def test_findings_of_media(spark, tmp_path):
+    """Marked carriers score in ``findings`` as in their own detectors, from a directory as from a table."""
+    rng = np.random.default_rng(42)
+    pixels = rng.integers(0, 256, (64, 64, 3))
+    png(tmp_path / "clean.png", pixels.astype(np.uint8), 2)
+    payload = bytes(1500)
+    marked = one(spark, marks.mark_samples(F.col("s"), F.col("p")), s=pixels.reshape(-1).tolist(), p=payload)
+    png(tmp_path / "marked.png", np.array(marked, np.uint8).reshape(64, 64, 3), 2)
+    sound = one(spark, marks.mark_samples(F.col("s"), F.col("p")), s=rng.integers(-1000, 1000, 8000).tolist(), p=bytes(900))
+    with wave.open(str(tmp_path / "marked.wav"), "wb") as out:
+        out.setnchannels(1)
+        out.setsampwidth(2)
+        out.setframerate(8000)
+        out.writeframes(np.array(sound, "<i2").tobytes())
+    jpeg = one(spark, fixtures.jpeg_with_comment(F.col("c")), c=b"STEGEXIF secret")
+    (tmp_path / "marked.jpg").write_bytes(jpeg)
+    (tmp_path / "note.txt").write_text("nothing here\n")
+    found = {(os.path.basename(r["item_id"]), r["analyzer"]): r for r in rollup.findings(files.scan_files(spark, str(tmp_path))).collect()}
+    assert not any(r["error"] for r in found.values())
+    lsb = {n: names(found[f"{n}.png", "image_lsb"]["signals"]) for n in ("clean", "marked")}
+    assert lsb["clean"]["lsb_pair_ratio"] < 70 and lsb["marked"]["lsb_bit_bias"] > lsb["clean"]["lsb_bit_bias"]
+    assert lsb["marked"] == names(one(spark, detect.pixel_signals(F.col("s")), s=marked))
+    assert names(found["marked.wav", "audio_wav"]["signals"]) == names(one(spark, detect.audio_signals(F.col("s")), s=sound)) != {}
+    assert found["marked.jpg", "filestruct_exif"]["suspicion"] == 95 and found["marked.jpg", "ai_triage"]["suspicion"] == 95
+    assert found["note.txt", "ai_triage"]["suspicion"] == 0
+    assert found["marked.png", "image_lsb"]["signals"][1]["detail"] == f"LSB mean = {np.mean(np.array(marked) & 1):.3f}"
+
+
+def test_details_round_as_printf_does(spark):
+    samples = [1] * 9 + [0] * 7  # 0.5625
+    assert one(spark, detect.audio_signals(F.col("s")), s=samples)[0]["detail"] == "LSB mean=0.562"
+
+
+def test_sealed_round_trip_of_items(spark):
+    rng = np.random.default_rng(1)
+    rows = [
+        ("png", ".png", None, rng.integers(0, 256, 2000).tolist(), None, b"s" * 16), ("wav", ".wav", None, rng.integers(-9, 9, 2000).tolist(), None, b"t" * 16),
+        ("txt", ".txt", "line\n" * 800, None, None, None), ("jpg", ".jpg", None, None, bytearray(b"old"), b"s" * 16), ("small", ".png", None, [1] * 100, None, None), ("none", ".bin", "x", None, None, None),
+    ]
+    schema = "item_id string, ext string, text string, samples array<int>, user_comment binary, salt binary, carrier string"
+    items = spark.createDataFrame([(*r, "clash") for r in rows], schema).select("*", F.encode(F.concat(F.lit("for "), "item_id"), "UTF-8").alias("payload"), F.lit(None).cast("binary").alias("nonce"))
+    keys = envelope.derive_keys(items.where("salt IS NOT NULL"), "password")
+    marked = jobs.mark_items(items.drop("carrier").withColumn("nonce", F.unhex(F.lit("07" * 12))), keys).cache()
+    assert {r["item_id"]: (r["status"], r["encrypted"]) for r in marked.collect()} == {"png": ("ok", True), "wav": ("ok", True), "txt": ("ok", False), "jpg": ("ok", True), "small": ("too_large", False), "none": ("no_carrier", False)}
+    opened = {r["item_id"]: (r["status"], r["payload"]) for r in jobs.recover_items(marked.where("status = 'ok'"), keys).collect()}
+    assert opened == {i: ("ok", f"for {i}".encode()) for i in ("png", "wav", "txt", "jpg")}
+    refused = {r["item_id"]: r["status"] for r in jobs.recover_items(marked, None).collect()}
+    assert refused == {"png": "key_needed", "wav": "key_needed", "txt": "ok", "jpg": "key_needed", "small": refused["small"]} and refused["small"] != "ok"
+
+
+def test_keys_follow_the_published_function():
+    """RFC 7914: the first 32 of the 64 bytes that it lists."""
+    assert envelope.scrypt_key("pleaseletmein", b"SodiumChloride").hex() == "7023bdcb3afd7348461c06cd81fd38ebfda8fbba904f8e3ea9b543f6545da1f2"

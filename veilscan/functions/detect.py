@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import SIGNALS
-from .bits import END, ONE, ZERO, after_last, lines, unhex
+from .bits import END, LINE_END, ONE, ZERO, after_last, unhex
 
 # Name, needle, score and detail of each known-tool signature.
 SIGNATURES = (
@@ -58,18 +58,29 @@ def suspicion(found: Column) -> Column:
 def zero_width(text: Column) -> Column:
     n = F.length(text) - F.length(F.translate(text, ZERO + ONE + END, ""))
     score = F.least(F.lit(100), 70 + F.floor(n / 2))
-    return signals(F.when(n > 0, signal("zero_width_chars", score, F.concat(n.cast("string"), F.lit(" zero-width characters")), n)))
+    return signals(F.when(n > 0, signal("zero_width_chars", score, F.concat(n.cast("string"), F.lit(" zero-width chars")), n)))
+
+
+#: Line ends and the other characters that str.strip() takes.
+_ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
+_BLANK = _ENDS + r" \t\x1F\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+#: A line that is not blank and ends in a tab or space. Every line is taken once, from its start, and never given back.
+_TRAILING = rf"(?<![^{_ENDS}])[{_BLANK}&&[^{_ENDS}]]*+[^{_BLANK}][^{_ENDS}]*+(?<=[ \t])"
 
 
 def trailing_whitespace(text: Column) -> Column:
     """The share of lines that end in a tab or space and are not blank. Emitted at 0 too, but not without lines."""
-    all_lines = lines(text)
-    # str.strip() of a blank line: every character is white space
-    flagged = F.size(F.filter(all_lines, lambda line: line.rlike(r"[ \t]$") & line.rlike(r"[^\s\x{85}\x{a0}\x1c-\x1f\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")))
-    n = F.size(all_lines)
-    share = flagged / n
-    detail = F.concat(flagged.cast("string"), F.lit("/"), n.cast("string"))
-    return signals(F.when(n > 0, signal("trailing_whitespace_ratio", F.floor(F.least(F.lit(100.0), share * 100)), detail, share)))
+
+    def found(counts: Column) -> Column:
+        flagged, n = counts["flagged"], counts["n"]
+        share = flagged / n
+        detail = F.concat(flagged.cast("string"), F.lit("/"), n.cast("string"))
+        return signals(F.when(n > 0, signal("trailing_whitespace_ratio", F.floor(F.least(F.lit(100.0), share * 100)), detail, share)))
+
+    # the last line needs no end; both counts are taken once
+    last = F.when(text.rlike(rf"[^{_ENDS}]\z"), 1).otherwise(0)
+    counts = F.struct(F.regexp_count(text, F.lit(_TRAILING)).alias("flagged"), (F.regexp_count(text, F.lit(LINE_END)) + last).alias("n"))
+    return F.get(F.transform(F.array(counts), found), 0)
 
 
 def known_signatures(content: Column, rules=SIGNATURES) -> Column:
@@ -111,28 +122,39 @@ def jpeg_trailer(content: Column) -> Column:
 
 def jpeg_signals(content: Column, trailer: Column) -> Column:
     n = F.length(trailer)
-    long = signal("jpeg_trailer", F.least(F.lit(100), 50 + F.floor(n / 32)), F.concat(n.cast("string"), F.lit(" bytes after the end of the image")), n)
-    mark = signal("stegapp_marker", 95, "trailer mark")
+    long = signal("appended_data", F.least(F.lit(100), 50 + F.floor(n / 32)), F.concat(n.cast("string"), F.lit(" bytes after JPEG EOI")), n)
+    mark = signal("stegapp_marker", 95, "STEGAPP marker found")
     return signals(F.when(n > 0, long), F.when(n.isNotNull() & F.contains(content, unhex(TRAILER_MARK)), mark))
 
 
 def exif_comment(comment: Column) -> Column:
     n = F.length(comment)
     marked = F.startswith(comment, unhex(COMMENT_MARK))
-    return signals(F.when(marked, signal("stegexif_marker", 95, "comment mark", n)).when(n > 64, signal("large_usercomment", 60, F.concat(n.cast("string"), F.lit(" bytes")), n)))
+    return signals(F.when(marked, signal("stegexif_marker", 95, "STEGEXIF marker in UserComment", n)).when(n > 64, signal("large_usercomment", 60, F.concat(F.lit("UserComment len="), n.cast("string")), n)))
 
 
-def _bias(ones: Column, n: Column) -> Column:
-    return F.abs(ones / n - F.lit(0.5)) * 200
+def _told(form: str, value: Column) -> Column:
+    """Three decimals, ties to even: format_string alone would round them up."""
+    return F.format_string(form, F.bround(value, 3))
 
 
-def bias_signal(name: str, ones: Column, n: Column) -> Column:
-    bias = _bias(ones, n)
-    return F.when(n > 0, signal(name, F.floor(F.least(F.lit(100.0), bias)), F.format_string("%.3f", bias), bias))
+def bias_signal(name: str, ones: Column, n: Column, form: str) -> Column:
+    mean = ones / n
+    bias = F.abs(mean - F.lit(0.5)) * 200
+    return F.when(n > 0, signal(name, F.floor(F.least(F.lit(100.0), bias)), _told(form, mean), bias))
 
 
 def pair_signal(ratio: Column) -> Column:
-    return F.when(ratio.isNotNull(), signal("lsb_pair_ratio", F.floor(F.least(F.lit(100.0), ratio * 100)), F.format_string("%.3f", ratio), ratio))
+    return F.when(ratio.isNotNull(), signal("lsb_pair_ratio", F.floor(F.least(F.lit(100.0), ratio * 100)), _told("adjacent-pair LSB ratio = %.3f (~1.0 suggests embedding)", ratio), ratio))
+
+
+def image_signals(n: Column, ones: Column, pair_ratio: Column) -> Column:
+    """Pair ratio and bias of the lowest bit from an image's statistics."""
+    return signals(pair_signal(pair_ratio), bias_signal("lsb_bit_bias", ones, n, "LSB mean = %.3f"))
+
+
+def sound_signals(n: Column, ones: Column) -> Column:
+    return signals(bias_signal("wav_lsb_bias", ones, n, "LSB mean=%.3f"))
 
 
 def ones_of(samples: Column) -> Column:
@@ -152,12 +174,12 @@ def pair_ratio_of(samples: Column) -> Column:
 
 
 def pixel_signals(samples: Column) -> Column:
-    """Pair ratio and bias of the lowest bit, for short sample arrays."""
-    return signals(pair_signal(pair_ratio_of(samples)), bias_signal("lsb_bit_bias", ones_of(samples), F.size(samples)))
+    """``image_signals`` of short sample arrays."""
+    return image_signals(F.size(samples), ones_of(samples), pair_ratio_of(samples))
 
 
 def audio_signals(samples: Column) -> Column:
-    return signals(bias_signal("wav_lsb_bias", ones_of(samples), F.size(samples)))
+    return sound_signals(F.size(samples), ones_of(samples))
 
 
 def sample_statistics(content: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import detect
 from ..schemas import SIGNALS
+from ..sources.files import lenient_text
+from ..sources.media import COMMENT, IMAGE, SOUND, facts
 
 HIGH, MID = 70, 30
 NO_SIGNAL = "—"
@@ -26,14 +28,17 @@ def summary(signals: Column) -> Column:
     return F.when(F.size(signals) > 0, F.array_join(each, "; ")).otherwise(NO_SIGNAL)
 
 
-def file_signals(content: Column, text: Column, trailer: Column) -> dict[str, tuple[tuple[str, ...] | None, Column]]:
+def file_signals(content: Column, text: Column, lenient: Column, trailer: Column, media: Column) -> dict[str, tuple[tuple[str, ...] | None, Column]]:
     """Detector name -> (extensions, or none for every item; its signals), in catalog order, for byte contents.
     A JPEG file's end marker is that of its type, so both trailer detectors share ``trailer``."""
     return {
+        "audio_wav": (SOUND, detect.sound_signals(media["n"], media["ones"])),
         "filestruct_appended": (tuple(detect.END_MARKERS), detect.appended_signals(trailer)),
+        "filestruct_exif": (COMMENT, detect.exif_comment(media["comment"])),
         "image_jpeg": ((".jpg", ".jpeg"), detect.jpeg_signals(content, trailer)),
+        "image_lsb": (IMAGE, detect.image_signals(media["n"], media["ones"], media["pair_ratio"])),
         "text_whitespace": ((".txt", ".md"), detect.trailing_whitespace(text)),
-        "text_zerowidth": ((".txt", ".md"), detect.zero_width(text)),
+        "text_zerowidth": ((".txt", ".md"), detect.zero_width(lenient)),
         "signatures": (None, detect.known_signatures(content)),
     }
 
@@ -43,16 +48,21 @@ def findings(items: DataFrame, extra: dict[str, tuple[tuple[str, ...] | None, Co
     explanation, error.
 
     ``items`` has item_id, ext and content. All detectors read the row once and no shuffle is needed: the findings
-    of an item are built in its row and spread afterwards. Contents that are no valid UTF-8 give the text detectors
-    an ``error`` instead of signals; other detectors go on. ``extra`` adds detectors, see ``triage.Detectors``.
+    of an item are built in its row and spread afterwards. Images, sound and image comments are decoded in one
+    Arrow function, which gets no other bytes. What is no image, sound or (for whitespace) valid UTF-8 gives its
+    detector an ``error`` instead of signals; other detectors go on. ``extra`` adds detectors, see
+    ``triage.Detectors``.
     """
     none = F.array().cast(SIGNALS)
     valid = F.coalesce(F.call_function("is_valid_utf8", F.col("content").cast("string")), F.lit(True))
     # the trailer and the text are computed once and used by several detectors
-    rows = items.withColumn("_trailer", detect.trailer_of(F.col("ext"), F.col("content"))).withColumn("_valid", valid).withColumn("_text", F.when(F.col("_valid"), F.col("content").cast("string")).otherwise(""))
+    rows = items.withColumn("_media", facts(F.col("ext"), F.col("content"))).withColumn("_trailer", detect.trailer_of(F.col("ext"), F.col("content")))
+    rows = rows.withColumn("_valid", valid).withColumn("_text", F.when(F.col("_valid"), F.col("content").cast("string")).otherwise(""))
     entries = []
-    for name, (extensions, found) in (file_signals(F.col("content"), F.col("_text"), F.col("_trailer")) | (extra or {})).items():
-        error = F.when(~F.col("_valid"), "not valid UTF-8") if name.startswith("text_") else F.lit(None)
+    built_in = file_signals(F.col("content"), F.col("_text"), lenient_text(F.col("content")), F.col("_trailer"), F.col("_media"))
+    errors = {"text_whitespace": F.when(~F.col("_valid"), "not valid UTF-8")} | dict.fromkeys(("audio_wav", "filestruct_exif", "image_lsb"), F.col("_media.error"))
+    for name, (extensions, found) in (built_in | (extra or {})).items():
+        error = errors.get(name, F.lit(None))
         entry = F.struct(
             F.lit(name).alias("analyzer"), F.coalesce(found, none).cast(SIGNALS).alias("signals"), F.lit(None).cast("string").alias("explanation"), error.cast("string").alias("error")
         )
@@ -72,14 +82,6 @@ def signals_flat(found: DataFrame) -> DataFrame:
     return own.select("item_id", "analyzer", F.posexplode("signals").alias("seq", "s")).select("item_id", "analyzer", "seq", "s.name", "s.score", "s.detail", "s.metric")
 
 
-def triage_of(flat: DataFrame) -> DataFrame:
-    """Triage from a table of signals (item_id, seq, name, score): one aggregation with partial sums."""
-    told = F.array_sort(F.collect_list(F.struct("seq", "name", "score")))
-    grouped = flat.groupBy("item_id").agg(F.max("score").alias("suspicion"), told.alias("_s"))
-    text = F.array_join(F.transform("_s", lambda s: F.concat(s["name"], F.lit(":"), s["score"].cast("string"))), "; ")
-    return grouped.select("item_id", "suspicion", text.alias("explanation"))
-
-
 def by_analyzer_and_band(found: DataFrame) -> DataFrame:
     return found.groupBy("analyzer", band(F.col("suspicion")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -99,9 +101,11 @@ def report_json(found: DataFrame) -> DataFrame:
     return found.select("item_id", "analyzer", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def item_result(found: DataFrame, item_id: str) -> DataFrame:
-    """The findings of one item as one JSON array; the filter is applied before anything is computed."""
-    own = report_json(found.where(F.col("item_id") == item_id))
-    return own.groupBy("item_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("json")), ","), F.lit("]")).alias("json"))
+def json_list(rows: DataFrame) -> DataFrame:
+    """item_id and one JSON array of an item's findings (rows of ``report_json``: at most one per detector)."""
+    return rows.groupBy("item_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("json")), ","), F.lit("]")).alias("json"))
 
 
+def item_result(found: DataFrame, item_id: str) -> DataFrame:
+    """The findings of one item as one JSON array; the filter is applied before anything is computed."""
+    return json_list(report_json(found.where(F.col("item_id") == item_id)))

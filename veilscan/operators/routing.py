@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import ATTACH_BYTES, DEFAULT_MIME, MIME, analyzer_catalog, mime_types
+from .rules import ATTACH_BYTES, CATALOG, DEFAULT_MIME, MIME, analyzer_catalog, mime_types
 
 
 def extension(path: Column) -> Column:
@@ -21,12 +21,12 @@ def route_carriers(items: DataFrame) -> DataFrame:
 
 
 def route_all(items: DataFrame) -> DataFrame:
-    """One row per item and detector without extensions. The detectors are a handful of catalog rows."""
-    names = [r["name"] for r in analyzer_catalog(items.sparkSession).where("kind = 'analyzer'").orderBy("order").collect()]
+    """One row per item and detector without extensions. The detectors are a handful of catalog entries."""
+    names = [name for name, kind, *_ in CATALOG if kind == "analyzer"]
     return items.withColumn("analyzer", F.explode(F.array(*[F.lit(n) for n in names])))
 
 
-def _first_by_extension(items: DataFrame, able: str) -> DataFrame:
+def first_by_extension(items: DataFrame, able: str) -> DataFrame:
     catalog = analyzer_catalog(items.sparkSession).where(F.col(able))
     return catalog.select("order", "name", F.explode("extensions").alias("ext")).groupBy("ext").agg(F.min_by("name", "order").alias("carrier"))
 
@@ -34,15 +34,15 @@ def _first_by_extension(items: DataFrame, able: str) -> DataFrame:
 def route_embed(items: DataFrame) -> DataFrame:
     """The carrier that marks each item: the first in catalog order. The first choice is made per extension, on the
     catalog's side, so the items are neither expanded nor shuffled."""
-    return items.join(F.broadcast(_first_by_extension(items, "can_embed")), "ext")
+    return items.join(F.broadcast(first_by_extension(items, "can_embed")), "ext")
 
 
 def route_embed_rejects(items: DataFrame) -> DataFrame:
-    return items.join(F.broadcast(_first_by_extension(items, "can_embed")), "ext", "left_anti")
+    return items.join(F.broadcast(first_by_extension(items, "can_embed")), "ext", "left_anti")
 
 
 def route_extract(items: DataFrame) -> DataFrame:
-    return items.join(F.broadcast(_first_by_extension(items, "can_extract")), "ext")
+    return items.join(F.broadcast(first_by_extension(items, "can_extract")), "ext")
 
 
 def attachable(ext: Column, length: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.bits import after_last
 from ..functions.detect import END_MARKERS, SIGNATURES, TRAILER_PREFIXES
 
 # Detectors in the order in which they are tried; those without extensions see every item.
@@ -51,5 +53,15 @@ def trailer_prefixes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, bytearray.fromhex(p), n) for i, (p, n) in enumerate(TRAILER_PREFIXES)], "order int, prefix binary, label string")
 
 
+def trailers_by_rules(items: DataFrame, markers: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """item_id, trailer (bytes after the last end marker of the item's type, none without one) and label (of the first
+    prefix that it starts with) of ``items`` (item_id, ext, content), by rule tables: ``markers`` (ext, marker) and
+    ``prefixes`` (order, prefix, label). Rule tables are short lists that people write; they are broadcast."""
+    cut = items.join(F.broadcast(markers), "ext").select("item_id", after_last(F.col("content"), F.col("marker")).alias("trailer"))
+    label = F.broadcast(prefixes.groupBy().agg(F.array_sort(F.collect_list(F.struct("order", "prefix", "label"))).alias("_rules")))
+    first = F.get(F.filter("_rules", lambda r: F.startswith(F.col("trailer"), r["prefix"])), 0)
+    return cut.join(label, how="left").select("item_id", "trailer", first["label"].alias("label"))
+
+
 def mime_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MIME.items()), "ext string, mime string")

@@ -25,7 +25,9 @@ def prompt(name: Column, signals: Column) -> Column:
 def parse_reply(reply: Column) -> Column:
     """struct(score, explanation, error): a JSON object, or the first one without braces inside in other text.
     Scores are cut to whole numbers from 0 to 100, 0 if there is none."""
-    value = F.coalesce(F.try_parse_json(reply), F.try_parse_json(F.regexp_extract(reply, r"[{][^{}]*[}]", 0)))
+    # Fixed value: what counts as an object inside other text.
+    inside = r"[{][^{}]*[}]"
+    value = F.coalesce(F.try_parse_json(reply), F.try_parse_json(F.regexp_extract(reply, inside, 0)))
     # anything but an object has no fields to take
     is_object = F.schema_of_variant(value).startswith("OBJECT")
     raw = F.try_variant_get(value, "$.suspicion", "string")
@@ -39,7 +41,7 @@ def parse_reply(reply: Column) -> Column:
 def triage(items: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """item_id, heuristic, suspicion, explanation, error of ``items`` (item_id, length, signals).
 
-    A scorer is called for every row in batches; its score is cut to 0..100 and counts instead of the heuristic. If
+    A scorer is called for every row, inside Arrow batches; its score is cut to 0..100 and counts instead of the heuristic. If
     it raises, suspicion is 0 and ``error`` says why; the heuristic stays beside it.
     """
     rows = items.withColumn("heuristic", suspicion(F.col("signals")))

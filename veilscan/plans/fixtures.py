@@ -5,10 +5,16 @@ The tables hold almost nothing hidden, so marks are put in by rules that SQL can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from ..functions.bits import lines, unhex
+from ..functions.bits import lines, u32be, unhex
 from ..operators.marks import capacity_of_lines, mark_zero_width
 
 
@@ -64,11 +70,89 @@ def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    comment = F.when(k == 0, F.concat(F.lit("STEGEXIF"), F.substring("text", 1, 20))).when(k == 1, F.substring("text", 1, 100)).when(k == 2, "").otherwise(F.substring("text", 1, 64))
+    """Whole texts as comments where they fit the carrier's 60,000 bytes: marked, plain, none, and short ones."""
+    k, text = F.col("doc_id") % 4, F.when(F.octet_length("text") <= 59_990, F.col("text")).otherwise(F.substring("text", 1, 100))
+    comment = F.when(k == 0, F.concat(F.lit("STEGEXIF"), text)).when(k == 1, text).when(k == 2, "").otherwise(F.substring("text", 1, 64))
     return table(spark, sf_dir, "documents").select("doc_id", utf8(comment).alias("user_comment"))
 
 
+def jpeg_with_comment(comment: Column) -> Column:
+    """A JPEG file's bytes around an EXIF user comment."""
+    n = F.length(comment)
+    ifd = unhex("4D4D002A00000008000187690004000000010000001A00000000000192860007")
+    value = F.when(n <= 4, F.substring(F.concat(comment, unhex("00000000")), 1, 4)).otherwise(unhex("0000002C"))
+    app1 = F.concat(unhex("457869660000"), ifd, u32be(n), value, unhex("00000000"), F.when(n > 4, comment).otherwise(unhex("")))
+    size = F.unhex(F.lpad(F.hex((F.length(app1) + 2).cast("long")), 4, "0"))
+    return F.concat(unhex("FFD8FFE1"), size, app1, unhex("FFD9"))
+
+
+def le32(n: Column) -> Column:
+    h = F.lpad(F.hex(n.cast("long")), 8, "0")
+    return F.unhex(F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
+
+
+def wav_with_samples(samples: Column, narrow: Column) -> Column:
+    """A mono sound file's bytes; where ``narrow`` it says that its samples have 8 bits."""
+    data = F.unhex(F.array_join(F.transform(samples, lambda v: F.concat(F.lpad(F.hex(v.cast("long")), 2, "0"), F.lit("00"))), ""))
+    width = F.when(narrow, unhex("01000800")).otherwise(unhex("02001000"))
+    head = F.concat(unhex("57415645666D74201000000001000100401F0000803E0000"), width, unhex("64617461"), le32(F.length(data)), data)
+    return F.concat(unhex("52494646"), le32(F.length(head)), head)
+
+
+@F.pandas_udf(BinaryType())
+def image_with_samples(kinds: pd.Series, samples: pd.Series) -> pd.Series:
+    """An image file's bytes: 0 grey PNG 8 x 8, 1 RGB PNG 7 x 3, 2 RGBA PNG 4 x 4, 3 BMP 7 x 3."""
+
+    def one(kind: int, values: list[int]) -> bytes:
+        a = np.asarray(values, np.uint8)
+        if kind == 3:
+            rows = b"".join(r[:, ::-1].tobytes() + b"\0" * 3 for r in a[:63].reshape(3, 7, 3)[::-1])
+            return struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 54, 40, 7, 3, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+        width, height, channels, colour = ((8, 8, 1, 0), (7, 3, 3, 2), (4, 4, 4, 6))[kind]
+        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        body = b"".join(b"\0" + r.tobytes() for r in a[: width * height * channels].reshape(height, -1))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body, 0)) + chunk(b"IEND", b"")
+
+    return pd.Series([one(k, v) for k, v in zip(kinds, samples, strict=True)])
+
+
+def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and sound files made of the sample table, the lowest bit set in every second, and JPEG files with the
+    comments; every seventh sound file has 8-bit samples, which are refused."""
+    s = sample_items(spark, sf_dir).withColumn("s", F.when(F.col("vec_id") % 2 == 0, F.transform("samples", lambda v: v.bitwiseOR(1))).otherwise(F.col("samples")))
+    kind = (F.col("vec_id") % 5).cast("int")
+    images = s.where(kind < 4).select(F.concat(F.lit("m"), F.col("vec_id")).alias("item_id"), F.when(kind == 3, ".bmp").otherwise(".png").alias("ext"), image_with_samples(kind, F.col("s")).alias("content"))
+    sound = s.where(kind == 4).select(F.concat(F.lit("m"), F.col("vec_id")).alias("item_id"), F.lit(".wav").alias("ext"), wav_with_samples(F.col("s"), F.col("vec_id") % 7 == 0).alias("content"))
+    jpegs = comments(spark, sf_dir).select(F.concat(F.lit("c"), F.col("doc_id")).alias("item_id"), F.lit(".jpg").alias("ext"), jpeg_with_comment(F.col("user_comment")).alias("content"))
+    return images.union(sound).union(jpegs).withColumn("length", F.length("content").cast("long"))
+
+
+def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_items(spark, sf_dir).union(media_items(spark, sf_dir))
+
+
+def carrier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of every carrier with their own ids as payloads: texts of one word a line, samples twelve times over,
+    comments; every third to be sealed, with a salt for each hundred ids and a nonce of its own."""
+    none = {"text": "string", "samples": "array<int>", "user_comment": "binary"}
+
+    def part(rows: DataFrame, **given: Column) -> DataFrame:
+        return rows.select("item_id", "ext", *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in none.items()])
+
+    docs, vectors = table(spark, sf_dir, "documents"), sample_items(spark, sf_dir)
+    item = lambda prefix, of: F.concat(F.lit(prefix), F.col(of)).alias("item_id")
+    ext = lambda of, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(of) % len(names) + 1).cast("int")).alias("ext")
+    texts = docs.select(item("t", "doc_id"), ext("doc_id", ".txt", ".md", ".bin"), F.regexp_replace("text", "[ \n]+", "\n").alias("v"))
+    samples = vectors.select(item("s", "vec_id"), ext("vec_id", ".png", ".wav"), F.flatten(F.array_repeat("samples", 12)).alias("v"))
+    notes = comments(spark, sf_dir).select(item("c", "doc_id"), ext("doc_id", ".jpg", ".tiff"), F.col("user_comment").alias("v"))
+    every = part(texts, text=F.col("v")).union(part(samples, samples=F.col("v"))).union(part(notes, user_comment=F.col("v")))
+    number = F.substring("item_id", 2, 30).cast("long")
+    sealed = number % 3 == 0
+    salt = F.when(sealed, F.unhex(F.md5(F.concat(F.substring("item_id", 1, 1), F.floor(number / 100)))))
+    nonce = F.when(sealed, F.unhex(F.substring(F.sha2("item_id", 256), 1, 24)))
+    return every.select("*", utf8(F.concat(F.lit("id:"), F.col("item_id"))).alias("payload"), salt.alias("salt"), nonce.alias("nonce"))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, s = F.col("event_id"), lambda n: (F.col("event_id") % n).cast("string")
     reply = (

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect
-from ..functions.bits import u32be, unhex
-from ..operators import envelope, marks, rollup, routing, rules, triage
+from ..functions.bits import unhex
+from ..operators import envelope, jobs, marks, rollup, routing, rules, triage
 from ..schemas import FINDINGS
-from ..sources import files
+from ..sources import files, images
 from ..streaming import screen
 from . import fixtures as fx
 
@@ -24,6 +24,14 @@ def query(function):
     return function
 
 
+def shared(spark: SparkSession, label: str) -> str:
+    """A new place in the folder that driver and executors share; only a local session may go without a set one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='veilscan-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def told(signals: Column) -> list[Column]:
     """Signals as plain columns that SQL can be compared with; detail texts are left to the tests."""
     each = F.transform(signals, lambda s: F.concat_ws(":", s["name"], s["score"].cast("string")))
@@ -47,7 +55,9 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_items(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", files.strict_text(fx.utf8(F.col("text"))).alias("t"))
+    # every fourth text ends in half a character
+    raw = F.when(F.col("doc_id") % 4 == 0, F.concat(fx.utf8(F.col("text")), unhex("C3"))).otherwise(fx.utf8(F.col("text")))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", files.strict_text(raw).alias("t"))
     return docs.select("doc_id", sha(F.col("t.text"), "text_sha256"), F.col("t.error").isNotNull().alias("bad"))
 
 
@@ -58,18 +68,16 @@ def text_lenient(spark, sf_dir):
 
 
 @query
-def wav_samples(spark, sf_dir):
-    """Sound files built from the sample table and decoded again; every seventh has 8-bit samples."""
+def image_samples(spark, sf_dir):
+    """Image files built from the sample table (grey, RGB, RGBA, BMP) and decoded again."""
+    items = fx.media_items(spark, sf_dir).where("ext IN ('.png', '.bmp')")
+    return images.image_samples(items).select("item_id", "width", "height", F.lower(F.hex("data")).alias("rgb_hex"), F.col("error").isNotNull().alias("bad"))
 
-    def le32(n: Column) -> Column:
-        h = F.lpad(F.hex(n.cast("long")), 8, "0")
-        return F.unhex(F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
 
-    items = fx.sample_items(spark, sf_dir)
-    data = F.unhex(F.array_join(F.transform("samples", lambda v: F.concat(F.lpad(F.hex(v.cast("long")), 2, "0"), F.lit("00"))), ""))
-    width = F.when(F.col("vec_id") % 7 == 0, unhex("01000800")).otherwise(unhex("02001000"))
-    head = F.concat(unhex("57415645666D7420100000000100010040 1F0000803E0000".replace(" ", "")), width, unhex("64617461"), le32(F.length(data)), data)
-    items = items.select("vec_id", F.concat(unhex("52494646"), le32(F.length(head)), head).alias("content"))
+@query
+def wav_samples(spark, sf_dir):
+    """Sound files built from the sample table and decoded again; every seventh has 8-bit samples."""
+    items = fx.sample_items(spark, sf_dir).select("vec_id", fx.wav_with_samples(F.col("samples"), F.col("vec_id") % 7 == 0).alias("content"))
     found = files.wav_samples(items)
     return found.select("vec_id", F.size(F.coalesce("samples", F.array().cast("array<int>"))).alias("n"), F.aggregate(F.coalesce("samples", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("error").isNotNull().alias("bad"))
 
@@ -77,12 +85,7 @@ def wav_samples(spark, sf_dir):
 @query
 def exif_comment(spark, sf_dir):
     """JPEG files built around the comments and read again."""
-    c, n = F.col("user_comment"), F.length("user_comment")
-    tiff = F.concat(unhex("4D4D002A000000080001876900040000000100 00001A00000000000192860007".replace(" ", "")), u32be(n), F.when(n <= 4, F.substring(F.concat(c, unhex("00000000")), 1, 4)).otherwise(unhex("0000002C")), unhex("00000000"), F.when(n > 4, c).otherwise(unhex("")))
-    app1 = F.concat(unhex("457869660000"), tiff)
-    size = F.unhex(F.lpad(F.hex((F.length(app1) + 2).cast("long")), 4, "0"))
-    jpeg = F.concat(unhex("FFD8FFE1"), size, app1, unhex("FFD9"))
-    found = files.exif_comment(fx.comments(spark, sf_dir).select("doc_id", jpeg.alias("content")))
+    found = files.exif_comment(fx.comments(spark, sf_dir).select("doc_id", fx.jpeg_with_comment(F.col("user_comment")).alias("content")))
     return found.select("doc_id", F.hex("user_comment").alias("comment_hex"), F.col("error").isNotNull().alias("bad"))
 
 
@@ -94,6 +97,13 @@ def signature_rules(spark, sf_dir):
     return docs.join(rule, F.contains(F.col("content"), F.col("needle"))).select("doc_id", "name", "score")
 
 
+@query
+def trailer_rules(spark, sf_dir):
+    """End markers and trailer prefixes as rule tables instead of constants."""
+    found = rules.trailers_by_rules(fx.file_items(spark, sf_dir), rules.end_markers(spark), rules.trailer_prefixes(spark))
+    return found.select("item_id", F.length("trailer").alias("bytes"), "label")
+
+
 @query
 def analyzer_catalog(spark, sf_dir):
     """How many of the pages' and files' extensions each catalog entry takes."""
@@ -177,7 +187,7 @@ def detect_polyglot(spark, sf_dir):
 
 @query
 def detect_jpeg_trailer(spark, sf_dir):
-    found = fx.file_items(spark, sf_dir).where("ext IN ('.jpg', '.jpeg')").select("item_id", F.filter(detect.jpeg_trailer(F.col("content")), lambda s: s["name"] == "jpeg_trailer").alias("s"))
+    found = fx.file_items(spark, sf_dir).where("ext IN ('.jpg', '.jpeg')").select("item_id", F.filter(detect.jpeg_trailer(F.col("content")), lambda s: s["name"] == "appended_data").alias("s"))
     return found.select("item_id", *told(F.col("s")), metric(F.col("s")))
 
 
@@ -224,44 +234,44 @@ def byte_statistics(spark, sf_dir):
 # findings and reports
 @query
 def analyzer_suspicion(spark, sf_dir):
-    return rollup.findings(fx.file_items(spark, sf_dir)).groupBy("analyzer", "suspicion").agg(F.count(F.lit(1)).alias("n"))
+    return rollup.findings(fx.all_items(spark, sf_dir)).groupBy("analyzer", "suspicion").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def findings(spark, sf_dir):
-    return rollup.findings(fx.file_items(spark, sf_dir)).select("item_id", "analyzer", "suspicion", F.size("signals").alias("n_signals"), "explanation")
+    return rollup.findings(fx.all_items(spark, sf_dir)).select("item_id", "analyzer", "suspicion", F.size("signals").alias("n_signals"), "explanation")
 
 
 @query
 def signals_flat(spark, sf_dir):
-    return rollup.signals_flat(rollup.findings(fx.file_items(spark, sf_dir))).select("item_id", "analyzer", "seq", "name", "score")
+    return rollup.signals_flat(rollup.findings(fx.all_items(spark, sf_dir))).select("item_id", "analyzer", "seq", "name", "score", "detail")
 
 
 @query
 def triage_heuristic(spark, sf_dir):
-    found = rollup.findings(fx.file_items(spark, sf_dir)).where("analyzer = 'ai_triage'")
+    found = rollup.findings(fx.all_items(spark, sf_dir)).where("analyzer = 'ai_triage'")
     return found.select("item_id", "suspicion", "explanation")
 
 
 @query
 def scan_count(spark, sf_dir):
-    return rollup.findings(fx.file_items(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+    return rollup.findings(fx.all_items(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def severity_band(spark, sf_dir):
-    found = rollup.findings(fx.file_items(spark, sf_dir))
+    found = rollup.findings(fx.all_items(spark, sf_dir))
     return found.select("item_id", "analyzer", rollup.band(F.col("suspicion")).alias("band"))
 
 
 @query
 def report_rows(spark, sf_dir):
-    return rollup.report_rows(rollup.findings(fx.file_items(spark, sf_dir)).where("analyzer = 'signatures'"))
+    return rollup.report_rows(rollup.findings(fx.all_items(spark, sf_dir)))
 
 
 @query
 def report_json_rows(spark, sf_dir):
-    rows = rollup.report_json(rollup.findings(fx.file_items(spark, sf_dir)))
+    rows = rollup.report_json(rollup.findings(fx.all_items(spark, sf_dir)))
     parsed = F.from_json("json", "path string, analyzer string, suspicion int, signals array<struct<name:string,score:int,detail:string>>, explanation string")
     return rows.select(parsed.alias("j")).select("j.path", "j.analyzer", "j.suspicion", F.size("j.signals").alias("n_signals"))
 
@@ -269,19 +279,30 @@ def report_json_rows(spark, sf_dir):
 @query
 def item_result_json(spark, sf_dir):
     """The result list of the item with the most signals, chosen from the whole table."""
-    found = rollup.findings(fx.file_items(spark, sf_dir))
-    chosen = found.where("analyzer = 'ai_triage'").orderBy(F.desc(F.size("signals")), "item_id").limit(1).first()
-    return rollup.item_result(found, chosen["item_id"] if chosen else "")
+    found = rollup.findings(fx.all_items(spark, sf_dir))
+    chosen = found.where("analyzer = 'ai_triage'").orderBy(F.desc(F.size("signals")), "item_id").select("item_id").limit(1)
+    own = rollup.report_json(found.join(F.broadcast(chosen), "item_id"))
+    return rollup.json_list(own)
+
+
+@query
+def scan_report(spark, sf_dir):
+    """A directory of files, one per document, scanned from end to end: found, read, screened and reported."""
+    place = shared(spark, "scan")
+    texts = fx.text_marked(spark, sf_dir).select("text")
+    texts.write.option("maxRecordsPerFile", 1).text(place)
+    found = rollup.findings(files.scan_files(spark, place, "*.txt"))
+    return rollup.report_rows(found.where("analyzer = 'ai_triage'")).groupBy("suspicion", "band", "summary").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def suspicion_by_analyzer_band(spark, sf_dir):
-    return rollup.by_analyzer_and_band(rollup.findings(fx.file_items(spark, sf_dir)))
+    return rollup.by_analyzer_and_band(rollup.findings(fx.all_items(spark, sf_dir)))
 
 
 @query
 def top_suspects(spark, sf_dir):
-    return rollup.top_suspects(rollup.findings(fx.file_items(spark, sf_dir)), 20)
+    return rollup.top_suspects(rollup.findings(fx.all_items(spark, sf_dir)), 20)
 
 
 # capacity, marks and recovery
@@ -374,10 +395,10 @@ def recover_exif(spark, sf_dir):
 
 @query
 def mark_log(spark, sf_dir):
-    """What was written where: the envelope's bytes for each marked text."""
-    routed = routing.route_embed(fx.file_items(spark, sf_dir)).where("carrier LIKE 'text_%'")
-    blob = envelope.pack(fx.utf8(F.col("item_id")))
-    return routed.select("item_id", "carrier", F.length(blob).cast("long").alias("bytes_written"), F.lit(False).alias("encrypted"))
+    """What was written where, and whether it was sealed."""
+    items = fx.carrier_items(spark, sf_dir)
+    marked = jobs.mark_items(items, envelope.derive_keys(items.where("salt IS NOT NULL"), PASSWORD)).where("status = 'ok'")
+    return marked.groupBy("carrier", "encrypted").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_written").alias("bytes_written"))
 
 
 # envelopes
@@ -413,8 +434,9 @@ PASSWORD = "correct horse"
 
 
 def _salted(spark, sf_dir):
-    salt = F.when(F.col("item_id") % 2 == 0, unhex("00" * 16)).otherwise(unhex("11" * 16))
-    return fx.table(spark, sf_dir, "benchmark").select("item_id", fx.utf8(F.col("text")).alias("payload"), salt.alias("salt"))
+    """Every item has a salt of its own, so keys are derived for as many salts as there are items."""
+    items = fx.table(spark, sf_dir, "benchmark")
+    return items.select("item_id", fx.utf8(F.col("text")).alias("payload"), F.unhex(F.md5(F.col("item_id").cast("string"))).alias("salt"))
 
 
 @query
@@ -444,17 +466,21 @@ def open_payloads(spark, sf_dir):
 
 @query
 def mark_payloads(spark, sf_dir):
-    """Envelopes with the documents' ids, admitted by capacity and put into the texts by zero-width characters."""
-    items = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("carrier_id"), "doc_id", "text", envelope.pack(_id_payload()).alias("payload"))
-    accepted, _ = marks.admit(items, items.select("carrier_id", F.lit(1_000_000).alias("capacity")))
-    return accepted.select("doc_id", sha(marks.mark_zero_width(F.col("text"), F.col("payload")), "sha256"))
+    """Items of every carrier marked with their ids, every third sealed; the changed part of plain ones as a hash."""
+    items = fx.carrier_items(spark, sf_dir)
+    marked = jobs.mark_items(items, envelope.derive_keys(items.where("salt IS NOT NULL"), PASSWORD))
+    changed = F.coalesce("text", F.array_join(F.col("samples").cast("array<string>"), ","), F.hex("user_comment"))
+    return marked.select("item_id", "carrier", "status", "bytes_written", "encrypted", F.when(~F.col("encrypted"), F.sha2(changed, 256)).alias("sha256"))
 
 
 @query
 def recover_payloads(spark, sf_dir):
-    marked = fx.table(spark, sf_dir, "documents").select("doc_id", marks.mark_zero_width(F.col("text"), envelope.pack(_id_payload())).alias("text"))
-    blobs = marked.select("doc_id", marks.recover_zero_width(F.col("text")).alias("blob"))
-    return envelope.open_envelopes(blobs, "blob").select("doc_id", "status", F.decode("payload", "UTF-8").alias("payload"))
+    """The marked items routed, recovered, unpacked and opened again; those of every fifth hundred of ids have no key."""
+    items = fx.carrier_items(spark, sf_dir)
+    keys = envelope.derive_keys(items.where("salt IS NOT NULL"), PASSWORD)
+    known = envelope.derive_keys(items.where("salt IS NOT NULL AND (cast(substring(item_id, 2) AS long) div 100) % 5 > 0"), PASSWORD)
+    found = jobs.recover_items(jobs.mark_items(items, keys).where("status = 'ok'"), known)
+    return found.select("item_id", "carrier", "status", F.decode("payload", "UTF-8").alias("payload"))
 
 
 # scorers
@@ -501,8 +527,7 @@ def custom_analyzer(spark, sf_dir):
 @query
 def screen_stream(spark, sf_dir):
     """The same findings from a stream over the documents table, appended to Parquet until all is read."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilscan-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = shared(spark, "stream")
     schema = fx.table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     items = docs.select(F.col("doc_id").cast("string").alias("item_id"), F.lit(".txt").alias("ext"), fx.utf8(F.col("text")).alias("content"))
