@@ -11,38 +11,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import stored, table
+from veilscan.llm.common import stored, table, unused
 from veilscan.llm.neardup import distinct_documents
-from veilscan.llm.packing import pack_documents
+from veilscan.llm.packing import added_tokens, pack_documents
 from veilscan.llm.pii import find_pii, redact
 from veilscan.llm.quality import THRESHOLD, train, with_quality
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold stay."""
+    """Documents whose quality score reaches the threshold stay. Null texts are scored as empty ones, repeated rows
+    alike; without labelled rows every score is one half and no document stays; an empty table gives no rows."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return with_quality(docs, model, "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    (score,) = unused(docs, "_score")
+    return with_quality(docs, model, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the row with the smallest
-    doc_id stays, and beside it the first of the rows without doc_id. Rows that repeat a doc_id are told apart."""
+    doc_id stays, and beside it the first of the rows without doc_id. Rows that repeat a doc_id are told apart. Null
+    texts count as empty, and texts without words are copies of each other; an empty table gives no rows."""
     return distinct_documents(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by its kind in brackets; n_chars follows the text."""
-    found = find_pii(docs, "text", "_pii")
-    clean = found.withColumn("text", F.when(F.size("_pii") > 0, redact(F.col("text"), F.col("_pii"))).otherwise(F.col("text")))
-    counted = clean.withColumn("n_chars", F.when(F.size("_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    """Every span of personal data is replaced by its kind in brackets; n_chars follows the text. Rows are kept one
+    for one; null texts stay null and texts without spans as they are; an empty table gives no rows."""
+    (pii,) = unused(docs, "_pii")
+    found, some = find_pii(docs, "text", pii), F.size(pii) > 0
+    clean = found.withColumn("text", F.when(some, redact(F.col("text"), F.col(pii))).otherwise(F.col("text")))
+    counted = clean.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return counted.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in sequences of at most 2048."""
-    import public_tokenizers
+    """The documents' token ids in sequences of at most 2048: a row per piece with its ids (little-endian unsigned
+    32-bit), sequence and offset. Null texts are empty ones, a piece with the end id; rows without doc_id and repeated
+    rows are packed like others; an empty table gives no rows."""
+    import public_tokenizers as public
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2048)
+    added = added_tokens(public.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, 2048, keep_ids=True, added=added)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

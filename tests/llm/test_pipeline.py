@@ -2,7 +2,13 @@
 
 import random
 
+import numpy as np
+import public_tokenizers as public
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from veilscan.llm import neardup
 from veilscan.llm.common import stored
 from veilscan.llm.pii import find_pii
 
@@ -40,7 +46,11 @@ def near_copies(seed):
     return texts
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("most", [4000, 3])
+def test_near_copies_against_brute_force(spark, monkeypatch, most):
+    """With a small bound candidate groups are settled by rounds of pivots, which must lose no link."""
+    monkeypatch.setattr(neardup, "GROUP_TEXTS", most)
+    monkeypatch.setattr(neardup, "RING_BYTES", 40_000)
     texts = near_copies(8)
     sets = []
     for t in texts:
@@ -63,3 +73,35 @@ def test_deduplication_decides_per_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     kept = corpus_pipeline.deduplicate(spark, docs, "").collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (5, b), (6, c), (None, d)], key=repr)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_in_every_stage(spark, name):
+    """Nulls, empty and repeated rows, an empty table and columns whose names operators use inside."""
+    stage, sf = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
+    good = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").first()["text"]
+    rows = [(None, None, None), (1, "", 0), (2, good, len(good)), (2, good, len(good)), (3, None, None), (4, "write to a@b.example now", 24)]
+    clash = ["_score", "_pii", "_text", "_email", "_row", "_node", "_fp", "_group", "row", "ids", "length", "lang", "source"]
+    docs = spark.createDataFrame([(*r, *[f"{i}"] * len(clash)) for i, r in enumerate(rows)], "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    out = stage(spark, docs, sf)
+    assert stage(spark, docs.limit(0), sf).count() == 0
+    found = out.collect()
+    if name == "packing":
+        assert sorted([r["doc_id"] for r in found if r["piece"] == 0], key=repr) == sorted([r[0] for r in rows], key=repr)
+        assert all(len(r["ids"]) == 4 * r["length"] for r in found)
+        return
+    assert out.columns == docs.columns and {r["_row"] for r in found} <= set("012345")
+    if name == "personal_data":
+        assert len(found) == 6 and [r["text"] for r in found if r["doc_id"] == 4] == ["write to [EMAIL] now"]
+        assert all(r["text"] == rows[int(r["_row"])][1] for r in found if r["doc_id"] != 4)
+    if name == "near_duplicates":
+        assert sorted([r["doc_id"] for r in found], key=repr) == sorted([None, 1, 2, 4], key=repr)
+
+
+def test_packed_ids_are_those_of_the_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found, texts = corpus_pipeline.pack(spark, docs, "").collect(), {r["doc_id"]: r["text"] for r in docs.collect()}
+    tokenizer, by_doc = Tokenizer.from_file(public.path("byte_bpe_50k.json")), {}
+    for r in sorted(found, key=lambda r: r["piece"]):
+        by_doc[r["doc_id"]] = by_doc.get(r["doc_id"], []) + np.frombuffer(r["ids"], "<u4").tolist()
+    assert by_doc == {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for d, t in texts.items()}

@@ -354,16 +354,131 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kept(pa.concat_tables(rest)).to_batches(1024)
 
 
+#: A candidate group of at most so many texts and bytes is settled in one task, a larger one by rounds of pivots.
+GROUP_TEXTS, GROUP_BYTES = 4000, 64 << 20
+#: Bytes of shingle sets that are broadcast at once.
+RING_BYTES = 32 << 20
+
+
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """_row, _group, doc_id and _set (array<long>, the shingle set) of ``rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = pa.array([shingle_set(t or "").view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_group"), batch.column("doc_id"), sets], ["_row", "_group", "doc_id", "_set"])
+
+    return rows.select("_row", "_group", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_row long, _group long, doc_id long, _set array<long>")
+
+
+def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from each set to the first of its linked sets; rows are sorted by group, and a group is bounded."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        first = groups_of_sets([s for _, s in rows]).tolist()
+        pairs = [(rows[i][0], rows[j][0]) for i, j in enumerate(first) if i != j]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    rest: list[tuple] = []
+    last = None
+    for batch in batches:
+        for row, group, own in zip(*[batch.column(c).to_pylist() for c in ("_row", "_group", "_set")], strict=True):
+            if rest and group != last:
+                yield links(rest)
+                rest = []
+            rest.append((row, np.array(own, np.int64).view(np.uint64)))
+            last = group
+    if rest:
+        yield links(rest)
+
+
+def _ring_links(core: DataFrame, ring: DataFrame) -> DataFrame | None:
+    """a, b: members of ``ring`` and the pivot of their group, if a member of ``core`` is similar to them. The ring's
+    sets are the queries, broadcast in blocks of bounded bytes, and no pairs leave a task but those found."""
+    size = ring.agg(F.sum(F.size("_set") * 8)).first()[0] or 0
+    blocks, out = -(-size // RING_BYTES), None
+    for b in range(blocks):
+        held: dict[int, list[tuple]] = {}
+        for r in ring.where(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == b).select("_row", "_group", "_pivot", "_set", "_same", "_all").toArrow().to_pylist():
+            held.setdefault(r["_group"], []).append((r["_row"], r["_pivot"], np.sort(np.array(r["_set"], np.int64)), 1 - r["_same"] / r["_all"]))
+        sent = core.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            open_ = {g: list(rows) for g, rows in sent.value.items()}
+            for batch in batches:
+                found = []
+                for group, own, same, every in zip(*[batch.column(c).to_pylist() for c in ("_group", "_set", "_same", "_all")], strict=True):
+                    if not open_.get(group):
+                        continue
+                    mine, far, still = np.sort(np.array(own, np.int64)), 1 - same / max(every, 1), []
+                    for row, pivot, other, away in open_[group]:
+                        # by the triangle inequality of Jaccard's distance the two are no more than 0.2 apart only then
+                        if away - far <= 0.2 + 1e-9:
+                            shared = len(np.intersect1d(mine, other, assume_unique=True))
+                            if 5 * shared >= 4 * (len(mine) + len(other) - shared):
+                                found.append((row, pivot))
+                                continue
+                        still.append((row, pivot, other, away))
+                    open_[group] = still
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        part = stored(core.select("_group", "_set", "_same", "_all").mapInArrow(run, "a long, b long").distinct(), "ring-links")
+        out = part if out is None else out.union(part)
+        sent.destroy()
+    return out
+
+
+def _kept_of_large_groups(heavy: DataFrame) -> DataFrame:
+    """_row of the rows that stay of candidate groups too large for one task, by exact rounds.
+
+    Each round compares every set with one pivot of its group. Sets of similarity 0.8 or more (the core) are linked to
+    the pivot and settled: by the triangle inequality only sets of similarity 0.6 or more (the ring) can be similar to
+    one of them, and those are compared with the core. All but the core go on; a group that has become small ends in
+    one task. So a group of near copies, however large, ends after a round or two, and no link is lost.
+    """
+    n = partitions(heavy.sparkSession)
+    sets = stored(_with_sets(heavy), "large-groups")
+    left, links = sets, None
+    while True:
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_pivot")
+        pivots = left.groupBy("_group").agg(first).join(left.select(F.col("_row").alias("_pivot"), F.col("_set").alias("_of")), "_pivot")
+        both = left.join(pivots, "_group").withColumn("_same", F.size(F.array_intersect("_set", "_of")))
+        measured = stored(both.withColumn("_all", F.size("_set") + F.size("_of") - F.col("_same")).drop("_of"), "measured")
+        core = (F.col("_row") == F.col("_pivot")) | (5 * F.col("_same") >= 4 * F.col("_all"))
+        near = measured.where(core & (F.col("_row") != F.col("_pivot"))).select(F.col("_row").alias("a"), F.col("_pivot").alias("b"))
+        ring = _ring_links(measured.where(core), measured.where(~core & (5 * F.col("_same") >= 3 * F.col("_all"))))
+        left = measured.where(~core).select(*sets.columns)
+        sizes = left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_set") * 8).alias("_bytes"))
+        large = cut(sizes.where((F.col("_n") > GROUP_TEXTS) | (F.col("_bytes") > GROUP_BYTES)).select("_group"))
+        small = left.join(large, "_group", "left_anti").repartition(n, "_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
+        ended = small.select("_row", "_group", "_set").mapInArrow(_set_links, "a long, b long")
+        for part in (near, ring, ended):
+            links = part if links is None else links if part is None else links.union(part)
+        if large.isEmpty():
+            break
+        left = left.join(large, "_group", "left_semi")
+    nodes = sets.select(F.col("_row").alias("node"), F.col("_row").alias("label"), "doc_id")
+    found = smallest_reachable(nodes.select("node", "label"), cut(links)).join(nodes.select("node", "doc_id"), "node")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node")))["node"]
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("node")))
+    return found.groupBy("label").agg(F.array_compact(F.array(named, nameless)).alias("_rows")).select(F.explode("_rows").alias("_row"))
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, ...): of each group of near copies the one with the smallest doc_id, and the
     first of those without doc_id.
 
     Texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked; a group is what links
     connect. Candidates share a band of least hashes and lie within WIDE bits of each other, found by vantage-point
-    trees; what candidates connect is brought together once, and the shingle sets of all its texts decide.
+    trees; what candidates connect is a candidate group, in which the shingle sets decide. A candidate group of
+    bounded size is settled in one task, a larger one by ``_kept_of_large_groups``.
+
+    Null texts count as empty; texts without words are copies of each other. Rows that repeat a doc_id are told
+    apart. Other columns are kept, whatever their names; an empty table gives no rows.
     """
     n = partitions(docs.sparkSession)
-    keyed = stored(signatures(docs).withColumn("_row", F.monotonically_increasing_id()), "signatures")
+    names = {c: c if c in ("doc_id", "text") else f"x{i}" for i, c in enumerate(docs.columns)}
+    keyed = stored(signatures(docs.toDF(*names.values())).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))["_row"]
     nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("_row")))
     nodes = cut(keyed.groupBy("_node", "_fp", "_bands").agg(F.array_compact(F.array(named, nameless)).alias("_rows")))
@@ -374,5 +489,12 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     first = stored(nodes.join(groups, "_node", "left").select(F.explode("_rows").alias("_row"), "_group"), "first-rows")
     # the first rows grow with the documents, so both sides are always dealt out, small inputs too
     rows = stored(keyed.drop("_node", "_fp", "_bands").join(first.hint("shuffle_merge"), "_row"), "distinct-rows")
-    close = rows.where("_group IS NOT NULL").repartition(n, "_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
-    return rows.where("_group IS NULL").union(close.mapInArrow(_first_rows, rows.schema)).select(*docs.columns)
+    sizes = rows.where("_group IS NOT NULL").groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("text")).alias("_bytes"))
+    large = cut(sizes.where((F.col("_n") > GROUP_TEXTS) | (F.col("_bytes") > GROUP_BYTES)).select("_group"))
+    close, out = rows.where("_group IS NOT NULL"), rows.where("_group IS NULL")
+    if not large.isEmpty():
+        heavy = close.join(large, "_group", "left_semi").select(*rows.columns)
+        out = out.union(heavy.join(stored(_kept_of_large_groups(heavy), "kept"), "_row", "left_semi").select(*rows.columns))
+        close = close.join(large, "_group", "left_anti").select(*rows.columns)
+    close = close.repartition(n, "_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
+    return out.union(close.mapInArrow(_first_rows, rows.schema)).select(*[F.col(x).alias(c) for c, x in names.items()])

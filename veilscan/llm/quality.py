@@ -228,7 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
 
 
 def with_quality(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    """Adds ``into``, the score (0 to 1) of every whole text; null counts as empty. Every other column is kept."""
+    """Adds ``into``, the score (0 to 1) of every whole text; null counts as empty, empty texts have a score too. Every
+    other column is kept, a column of that name is replaced; rows are scored one by one, repeated ones alike."""
+    docs = docs.drop(into)
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
