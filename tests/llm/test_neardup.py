@@ -105,3 +105,20 @@ def test_linked_rows_without_or_with_repeated_ids(spark, monkeypatch):
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     group = {"a": 3, "b": 3, "c": None, "d": None, "e": 7, "f": 7, "g": 9, "h": 9, "i": 8}
     assert sorted(map(tuple, found), key=repr) == sorted([(d, f"{value[t]:016x}", group[t]) for d, t in rows], key=repr)
+
+
+def test_trees_prune_shards():
+    """Unrelated fingerprints in one shard: most pairs are never compared, and copies with few flips are found."""
+    values = clustered(11, 2000, 2, 4)
+    compared = []
+    roots = neardup.tree_links(np.array(values, np.uint64), np.ones(len(values), bool), 4, compared)
+    assert dict(enumerate(roots.tolist())) == plain_components(dict(enumerate(values)))
+    assert sum(compared) < 0.6 * len(values) ** 2
+
+
+@pytest.mark.parametrize("n", [10, 5000, 10**6, 10**9, 10**12])
+def test_blocks_lose_no_link(n):
+    """Any four bits may differ: enough blocks are left on which two fingerprints agree."""
+    blocks, equal = neardup._blocks(n, 4)
+    assert len(blocks) == 4 + equal and all(0 <= width for _, width in blocks)
+    assert all(a + width <= b for (a, width), (b, _) in zip(blocks, blocks[1:], strict=False)) and sum(blocks[-1]) <= 64

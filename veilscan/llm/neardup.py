@@ -32,9 +32,9 @@ from .common import cut, partitions, stored, text_or_empty
 from .components import smallest_reachable
 
 SEED = 42
-LEAF = 64
-#: Fingerprints a shard should have on average, and those above which it is cut by the distributed tree.
-SHARD_MEAN, SHARD_MOST = 64, 8192
+LEAF = 16
+#: Fingerprints a shard should have on average at least, and those above which it is cut by the distributed tree.
+SHARD_MEAN, SHARD_MOST = 2048, 16384
 #: Depth of the distributed tree at most.
 DEPTH = 6
 
@@ -59,7 +59,8 @@ def simhash(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every whole text."""
+    """doc_id and fp (the fingerprint's bits as a signed long) of every whole text, row by row; null counts as empty,
+    and a text without words has fingerprint zero. Null doc_ids are kept; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -83,13 +84,14 @@ class _Sets:
                 return
             x, y = x[apart], y[apart]
             np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while (up := self.root[self.root]).tolist() != self.root.tolist():
+            while not np.array_equal(up := self.root[self.root], self.root):
                 self.root = up
 
 
-def tree_links(members: np.ndarray, homes: np.ndarray, radius: int) -> np.ndarray:
+def tree_links(members: np.ndarray, homes: np.ndarray, radius: int, compared: list[int] | None = None) -> np.ndarray:
     """For each of ``members`` (unsigned fingerprints) the index of the first member of its group, where links
-    join a home to any member within the radius. A vantage-point tree over the homes is queried by all members."""
+    join a home to any member within the radius. A vantage-point tree over the homes is queried by all members.
+    ``compared`` gets the number of distances taken at each vantage point and leaf."""
     sets = _Sets(len(members))
     todo = [(np.flatnonzero(homes), np.arange(len(members)))]
     while todo:
@@ -98,6 +100,8 @@ def tree_links(members: np.ndarray, homes: np.ndarray, radius: int) -> np.ndarra
             continue
         if len(own) > LEAF:
             vantage = members[own[len(own) // 2]]
+            if compared is not None:
+                compared.append(len(queries))
             far, query_far = np.bitwise_count(members[own] ^ vantage), np.bitwise_count(members[queries] ^ vantage).astype(int)
             ball = queries[query_far <= radius]
             sets.join(ball, np.full(len(ball), own[len(own) // 2]))
@@ -112,7 +116,10 @@ def tree_links(members: np.ndarray, homes: np.ndarray, radius: int) -> np.ndarra
         for k in range(0, len(own), LEAF):
             part = own[k : k + LEAF]
             a, b = np.nonzero(np.bitwise_count(members[part][:, None] ^ members[queries][None, :]) <= radius)
-            sets.join(part[a], queries[b])
+            other = part[a] != queries[b]
+            sets.join(part[a[other]], queries[b[other]])
+            if compared is not None:
+                compared.append(len(part) * len(queries))
     return sets.root
 
 
@@ -146,12 +153,13 @@ def _shard_links(radius: int):
 
 
 def _blocks(n: int, radius: int) -> tuple[list[tuple[int, int]], int]:
-    """(shift, width) of each block of bits, and how many of them make a shard's key, for ``n`` fingerprints."""
-    equal = 1
-    while equal < 4 and n > SHARD_MEAN << (64 * equal // (radius + equal)):
+    """(shift, width) of what is taken of each block of bits, and how many blocks make a shard's key, for ``n``
+    fingerprints: as few blocks, and no more of their bits, than shards of SHARD_MEAN to twice as many ask for."""
+    bits, equal = max(0, (n // SHARD_MEAN).bit_length() - 1), 1
+    while equal < 4 and bits > 64 * equal // (radius + equal):
         equal += 1
     ends = [round(64 * i / (radius + equal)) for i in range(radius + equal + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)], equal
+    return [(a, min(b - a, -(-bits // equal))) for a, b in zip(ends, ends[1:], strict=False)], equal
 
 
 def _shards(fps: DataFrame, radius: int, n: int, most: int) -> DataFrame:
@@ -166,7 +174,8 @@ def _shards(fps: DataFrame, radius: int, n: int, most: int) -> DataFrame:
             used += width
         return out
 
-    chosen = list(combinations(range(len(blocks)), equal))
+    # without bits all shards would be the same one
+    chosen = list(combinations(range(len(blocks)), equal))[: None if blocks[0][1] else 1]
     dealt = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("combination"), key(c).alias("key")) for i, c in enumerate(chosen)])).alias("_s")).select(
         "_s.combination", "_s.key", "fp"
     )
