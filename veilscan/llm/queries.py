@@ -43,7 +43,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages")).drop("archive")  # its name differs from run to run
+    return archive_pages(table(spark, sf_dir, "pages")).drop("archive", "offset")  # they differ from run to run
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

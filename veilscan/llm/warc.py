@@ -4,20 +4,21 @@ Writing: the smallest page_id of every payload digest becomes a response, the ot
 Spark's text writer stores one record per line with the record separator (two line ends) as line separator, so any
 file system that Spark can write takes the archives, with its commit protocol for lost executors.
 
-Reading parses every archive as a stream of records by their Content-Length and checks each response against its
-digest. The captures of one archive leave the task as one run, sorted by URL key and timestamp. A range partitioning
-by the same key deals the runs out, and in every partition a loser tree merges the k runs that reach it, one
-comparison per level for each row. Partition after partition, the result is the ordered history of all captures.
+Reading goes through Spark's text source with the same separator, so an archive is a stream of chunks and no task
+holds more of it than a record: records are cut by their Content-Length, and each response is checked against its
+digest. The captures of one archive leave the task as one run, sorted by URL key and timestamp, and are stored. A range
+partitioning by the same key deals the runs out, into so many partitions that each holds a bounded number of
+captures, and in every partition a loser tree merges the k runs that reach it, one comparison per level for each row.
+Partition after partition, the result is the ordered history of all captures.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from urllib.parse import quote, unquote, urlsplit
 
 import numpy as np
@@ -33,8 +34,10 @@ CYCLE = 10**9
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = (
     "page_id long, url string, url_key string, captured string, record_type string, refers_to long, "
-    "payload_bytes long, payload_digest string, archive string, run string, seq long"
+    "payload_bytes long, payload_digest string, archive string, offset long, run string, seq long"
 )
+#: Captures that a partition of the index should hold at most: a merge keeps them in memory.
+MERGED = 100_000
 
 
 def url_key(url: str | None) -> str:
@@ -103,22 +106,42 @@ def write_archives(pages: DataFrame, path: str, start: int = 1_704_067_200, most
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
 
 
-def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a gzip-compressed or plain archive, read as a stream."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-    while line := stream.readline():
-        if not line.strip():
+def parse_archive(chunks: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of each record of an archive that comes in ``chunks``; offsets count the bytes of the
+    archive without compression. At most a record and a chunk are held."""
+    source, buffer, at, end = iter(chunks), bytearray(), 0, END.encode()
+
+    def fill(size: int) -> None:
+        while len(buffer) < size:
+            if (more := next(source, None)) is None:
+                raise ValueError("the archive ends inside a record")
+            buffer.extend(more)
+
+    while True:
+        while (place := buffer.find(end)) < 0:
+            if (more := next(source, None)) is None:
+                if buffer.strip():
+                    raise ValueError("the archive ends inside a record")
+                return
+            buffer.extend(more)
+        if not bytes(buffer[:place]).strip():  # blank lines between records, or a reader's line end after the last one
+            at += place + len(end)
+            del buffer[: place + len(end)]
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not the start of a record: {line[:40]!r}")
-        headers = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers["content-length"]))
-
-
-def _capture(headers: dict[str, str], block: bytes) -> tuple:
+        first, *lines = bytes(buffer[:place]).decode().split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError(f"not the start of a record: {first[:40]!r}")
+        headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+        start, size = place + len(end), int(headers["content-length"])
+        fill(start + size + len(end))
+        if buffer[start + size : start + size + len(end)] != end:
+            raise ValueError(f"record {headers.get('warc-record-id')} does not end where it says")
+        yield at, headers, bytes(buffer[start : start + size])
+        at += start + size + len(end)
+        del buffer[: start + size + len(end)]
+
+
+def _capture(headers: dict[str, str], block: bytes, offset: int) -> tuple:
     http, _, payload = block.partition(END.encode())
     size = int(next(x for x in http.decode().split("\r\n") if x.lower().startswith("content-length:")).partition(":")[2])
     digest = headers["warc-payload-digest"].removeprefix("sha1:")
@@ -126,7 +149,7 @@ def _capture(headers: dict[str, str], block: bytes) -> tuple:
         raise ValueError(f"the payload of {headers['warc-record-id']} does not match its digest")
     url = unquote(headers["warc-target-uri"]) if "warc-target-uri" in headers else None
     whole = {k: int(headers[k]) if k in headers else None for k in ("x-page-id", "x-refers-to-page-id")}
-    return whole["x-page-id"], url, url_key(url), headers["warc-date"], headers["warc-type"], whole["x-refers-to-page-id"], size, digest
+    return whole["x-page-id"], url, url_key(url), headers["warc-date"], headers["warc-type"], whole["x-refers-to-page-id"], size, digest, offset
 
 
 def _order(row: tuple) -> tuple:
@@ -134,20 +157,21 @@ def _order(row: tuple) -> tuple:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The captures in the archives below ``path`` (schema CAPTURES), those of one archive as a sorted run."""
+    """The captures in the gzip-compressed archives below ``path`` (schema CAPTURES), those of one archive as a sorted
+    run; ``offset`` is a record's place in its archive without compression. Without archives there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                name = where.rpartition("/")[2]
-                rows = sorted((_capture(*r) for r in parse_archive(content.as_py())), key=_order)
-                for k in range(0, len(rows), 8192):
-                    part = [(*r, name, name, k + i) for i, r in enumerate(rows[k : k + 8192])]
-                    columns = zip(*part, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
+        chunks = ((where, text) for batch in batches for where, text in zip(batch.column("path").to_pylist(), batch.column("value"), strict=True))
+        for where, own in groupby(chunks, key=lambda x: x[0]):  # a compressed file is read by one task, in order
+            name = where.rpartition("/")[2]
+            captures = (_capture(headers, block, at) for at, headers, block in parse_archive(text.as_py().encode() + END.encode() for _, text in own))
+            rows = sorted(captures, key=_order)
+            for k in range(0, len(rows), 8192):
+                part = [(*r[:-1], name, r[-1], name, k + i) for i, r in enumerate(rows[k : k + 8192])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _KINDS, strict=True)], _NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, CAPTURES)
+    lines = spark.read.schema("value string").option("lineSep", END).option("pathGlobFilter", "part-*.gz").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, CAPTURES)
 
 
 _NAMES = [c.split()[0] for c in CAPTURES.split(", ")]
@@ -202,10 +226,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def capture_index(captures: DataFrame) -> DataFrame:
-    """``captures`` in global order of URL key, timestamp and page_id, with ``position`` (long, gapless from 0)."""
-    n = partitions(captures.sparkSession)
-    keys = [F.col("url_key"), F.col("captured"), F.col("page_id").asc_nulls_first()]
-    merged = captures.repartitionByRange(n, *keys).mapInArrow(_merge, CAPTURES).withColumn("_id", F.monotonically_increasing_id())
+    """``captures`` in global order of URL key, timestamp and page_id, with ``position`` (long, gapless from 0). Rows
+    equal in all three stand next to each other."""
+    runs = cut(captures)
+    n = max(partitions(captures.sparkSession), -(-runs.count() // MERGED))
+    # the run and a row's place in it tell rows apart that have the same key, so no range is left whole
+    keys = [F.col("url_key"), F.col("captured"), F.col("page_id").asc_nulls_first(), F.col("run"), F.col("seq")]
+    merged = runs.repartitionByRange(n, *keys).mapInArrow(_merge, CAPTURES).withColumn("_id", F.monotonically_increasing_id())
     placed = cut(merged.withColumns({"_part": F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"))
     before = F.broadcast(offsets(placed).select("_part", "_rows"))
     return placed.join(before, "_part").withColumn("position", F.col("_rows") + F.col("_pos")).drop("_part", "_pos", "_rows")
@@ -214,7 +241,7 @@ def capture_index(captures: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``pages`` as archives (below ``path``, or a new place in the shared folder), reads them back and
     returns per record page_id, payload_bytes, payload_digest (base32 SHA-1), record_type, refers_to, and url_key,
-    captured, archive and its ``position`` in the ordered index.
+    captured, archive, its ``offset`` there and its ``position`` in the ordered index.
 
     Null html counts as empty; a null url is left out of its record. Of equal payloads the smallest page_id is the
     response; rows that repeat that page_id are responses too, and rows without page_id are revisits unless no row
@@ -224,4 +251,4 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch(spark, "warc")
     write_archives(pages, path)
     index = capture_index(read_archives(spark, path))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset", "position")
