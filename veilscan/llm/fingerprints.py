@@ -24,13 +24,10 @@ from .common import cut, in_order, offsets, partitions, stored, text_or_empty
 PARAGRAPH = 200
 #: Cells in each third of the first sketch, which is shown as the fingerprint.
 FIRST = 4
-#: Rounds of peeling in one job, and cells per third that the second sketch has: for each digest of both versions, and
-#: besides. Much more room would make more cells with a single digest, each of which sends out the same changes.
-ROUNDS, ROOM, SPARE = 4, 0.8, 8
+#: Rounds of peeling, and cells per third that the second sketch has: for each digest of both versions, and besides.
+ROUNDS, ROOM, SPARE = 5, 1.0, 8
 #: The cell that counts what has been recovered.
 FOUND = -1
-#: A document's own digests, its edited text's and the next document's.
-VERSIONS = "abc"
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -85,36 +82,12 @@ def _round(cells: DataFrame, *key: str) -> DataFrame:
 
 
 def peeled(cells: DataFrame, *key: str) -> DataFrame:
-    """key, third, ok, found: how many digests were recovered from each difference of sketches, and whether they are
-    all of it. Differences without cells (equal sets) have no row. Only those in which a digest still stands alone
-    after some rounds go on to further ones, each step with a checkpoint."""
-    done = None
-    while True:
-        for _ in range(ROUNDS):
-            cells = _round(cells, *key)
-        cells = cut(cells)
-        left = F.col("cell") != FOUND
-        state = cut(
-            cells.groupBy(*key, "third").agg(
-                F.coalesce(F.max(F.when(~left, F.col("n"))), F.lit(0)).alias("found"), (F.count_if(left) == 0).alias("ok"), F.bool_or(_alone()).alias("_on")
-            )
-        )
-        ended = state.where(F.col("ok") | ~F.col("_on")).select(*key, "third", "ok", "found")
-        done = ended if done is None else done.union(ended)
-        on = state.where(~F.col("ok") & F.col("_on"))
-        if on.isEmpty():
-            return done
-        cells = cells.join(on.select(*key), list(key), "left_semi")
-
-
-def subtracted(cells: DataFrame, key: list[str], signs: Column) -> DataFrame:
-    """Differences of sketches: ``signs`` is an array of (pair, sign) that a cell's version counts in."""
-    each = cells.select(*key, "third", "cell", "n", "digest", "check", F.explode(signs).alias("_s"))
-    return _summed(each.select(*key, "_s.pair", "third", "cell", (F.col("n") * F.col("_s.sign")).alias("n"), "digest", "check"), *key, "pair", "third")
-
-
-def _pairs(*signs: tuple[str, int]) -> Column:
-    return F.array(*[F.struct(F.lit(VERSIONS.index(p)).alias("pair"), F.lit(s).alias("sign")) for p, s in signs])
+    """key, third, ok, found: how many digests were recovered from each difference of sketches in ROUNDS rounds, and
+    whether they are all of it. Differences without cells (equal sets) have no row."""
+    for _ in range(ROUNDS):
+        cells = _round(cells, *key)
+    left = F.col("cell") != FOUND
+    return cells.groupBy(*key, "third").agg(F.coalesce(F.max(F.when(~left, F.col("n"))), F.lit(0)).alias("found"), (F.count_if(left) == 0).alias("ok"))
 
 
 def shown(cells: Column) -> Column:
@@ -123,25 +96,34 @@ def shown(cells: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(cells), lambda c: c["text"]), ".")
 
 
-def differences(digests: DataFrame, first: DataFrame) -> DataFrame:
-    """_row, pair (1: with b, 2: with c), found: how many digests only one of the sets a and b (a and c) of a row has. Equal sets
-    have no row. ``digests`` has _row, a, b, c; ``first`` the cells of their first sketches by _row and version."""
-    n = partitions(digests.sparkSession)
-    signs = F.when(F.col("version") == 0, _pairs(("b", 1), ("c", 1))).when(F.col("version") == 1, _pairs(("b", -1))).otherwise(_pairs(("c", -1)))
-    state = peeled(subtracted(first, ["_row"], signs), "_row", "pair")
-    found = state.where("ok").select("_row", "pair", "found")
-    while not (failed := state.where("NOT ok")).isEmpty():
-        other = F.when(F.col("pair") == 1, F.col("b")).otherwise(F.col("c"))
-        # the second size follows from both sets, later ones are twice the last
-        room = F.greatest(2 * F.col("third"), F.when(F.col("third") == FIRST, F.ceil(ROOM * (F.size("a") + F.size(other))) + SPARE).otherwise(0)).cast("int")
-        again = digests.repartition(n, "_row").join(failed.select("_row", "pair", "third"), "_row")
-        versions = F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("digests")), F.struct(F.lit(-1).alias("sign"), other.alias("digests")))
-        sets = again.select("_row", "pair", room.alias("third"), F.explode(versions).alias("v")).select("_row", "pair", "third", "v.sign", "v.digests")
-        larger = sketches(sets, "_row", "pair", "sign")
-        differing = _summed(larger.withColumn("n", F.col("n") * F.col("sign")), "_row", "pair", "third")
-        state = peeled(differing, "_row", "pair")
-        found = found.union(state.where("ok").select("_row", "pair", "found"))
-    return found
+def _difference_cells(digests: DataFrame, *thirds: Column) -> DataFrame:
+    """_row, pair (1: a and b, 2: a and c), third, cell, n, digest, check: the sketch of a less that of the other
+    version, in every size of ``thirds`` (columns that may use ``both``, the digests of both, and those of ``digests``
+    other than its sets). Sketches are sums, so their difference is the sum of signed cells."""
+    sides = [(1, 1, "a", "b"), (1, -1, "b", "a"), (2, 1, "a", "c"), (2, -1, "c", "a")]
+    each = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(n).alias("n"), F.col(own).alias("digests"), (F.size(own) + F.size(other)).alias("both")) for p, n, own, other in sides])
+    rest = [c for c in digests.columns if c not in ("_row", "a", "b", "c")]
+    rows = digests.repartition(partitions(digests.sparkSession), "_row").select("_row", *rest, F.explode(each).alias("v")).select("_row", *rest, "v.*")
+    if rest:
+        rows = rows.where("pair = _again")
+    rows = rows.select("_row", "pair", "n", *rest, "both", F.explode("digests").alias("digest")).withColumn("check", _check(F.col("digest")))
+    cells = [F.struct(t.cast("int").alias("third"), c.alias("cell")) for t in thirds for c in _cells_of(F.col("digest"), F.col("check"), t.cast("int"))]
+    return _summed(rows.select("_row", "pair", "n", "digest", "check", F.explode_outer(F.array(*cells)).alias("c")).select("_row", "pair", "n", "digest", "check", "c.third", "c.cell"), "_row", "pair", "third")
+
+
+def differences(digests: DataFrame) -> DataFrame:
+    """_row, pair (1: with b, 2: with c), found: how many digests only one of the sets a and b (a and c) of a row has.
+    Equal sets have no row. ``digests`` has _row, a, b, c. The smallest sketch that can be peeled counts."""
+    state = stored(peeled(_difference_cells(digests, F.lit(FIRST), F.ceil(ROOM * F.col("both")) + SPARE), "_row", "pair"), "peeled")
+    found = None
+    while True:
+        best = state.groupBy("_row", "pair").agg(F.min_by(F.when(F.col("ok"), F.col("found")), F.when(F.col("ok"), F.col("third"))).alias("found"), F.max("third").alias("third"))
+        ended = best.where("found IS NOT NULL").select("_row", "pair", "found")
+        found = ended if found is None else found.union(ended)
+        failed = best.where("found IS NULL").select("_row", F.col("pair").alias("_again"), (2 * F.col("third")).alias("_larger"))
+        if failed.isEmpty():
+            return found
+        state = stored(peeled(_difference_cells(digests.join(failed, "_row"), F.col("_larger")), "_row", "pair"), "peeled")
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -182,14 +164,14 @@ def version_report(docs: DataFrame) -> DataFrame:
         ),
         "digests",
     )
-    sets = F.array(*[F.struct(F.lit(i).alias("version"), F.col(v).alias("digests")) for i, v in enumerate(VERSIONS)])
-    whole = digests.select("_row", "a", "b", "c").repartition(partitions(docs.sparkSession), "_row")
-    first = stored(sketches(whole.select("_row", F.lit(FIRST).alias("third"), F.explode(sets).alias("s")).select("_row", "third", "s.version", "s.digests"), "_row", "version"), "sketches")
+    sets = F.array(*[F.struct(F.lit(i).alias("version"), F.col(v).alias("digests")) for i, v in enumerate("ab")])
+    whole = digests.select("_row", "a", "b").repartition(partitions(docs.sparkSession), "_row").select("_row", F.lit(FIRST).alias("third"), F.explode(sets).alias("s"))
     told = F.concat_ws(":", F.col("cell").cast("string"), F.col("n").cast("string"), F.lower(F.hex("digest")), F.lower(F.hex("check")))
     cell = F.struct("cell", told.alias("text"))
-    cells = first.where("version < 2").groupBy("_row").agg(*[F.collect_list(F.when(F.col("version") == i, cell)).alias(f"_{v}") for i, v in enumerate("ab")])  # at most 12 each
-    found = differences(digests.select("_row", "a", "b", "c"), first).groupBy("_row").agg(*[F.max(F.when(F.col("pair") == i, F.col("found"))).alias(f"_to_{VERSIONS[i]}") for i in (1, 2)])
-    sizes = digests.select("_row", "doc_id", "n_chars", "edited_sha256", *[F.size(v).alias(f"_n_{v}") for v in VERSIONS])
+    first = sketches(whole.select("_row", "third", "s.version", "s.digests"), "_row", "version")
+    cells = first.groupBy("_row").agg(*[F.collect_list(F.when(F.col("version") == i, cell)).alias(f"_{v}") for i, v in enumerate("ab")])  # at most 12 each
+    found = differences(digests.select("_row", "a", "b", "c")).groupBy("_row").agg(*[F.max(F.when(F.col("pair") == i, F.col("found"))).alias(f"_to_{v}") for i, v in ((1, "b"), (2, "c"))])
+    sizes = digests.select("_row", "doc_id", "n_chars", "edited_sha256", *[F.size(v).alias(f"_n_{v}") for v in "abc"])
     nothing = F.array().cast("array<struct<cell:int,text:string>>")
 
     def likeness(p: str) -> Column:
