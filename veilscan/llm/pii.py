@@ -95,8 +95,9 @@ _IBAN = "|".join(
     [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()] + [f"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"]
 )
 MORE_KINDS = (
-    # spans are looked ahead at, so that a refused one hides no IBAN that starts inside it
-    Kind("iban", rf"(?<![A-Za-z0-9])(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}", lambda t: mod97(F.regexp_replace(t, " ", "")), 0.6, "ibans?|accounts?|bank|konto|compte|cuenta", takes=4),
+    # spans are looked ahead at, so that a refused one hides no IBAN that starts inside it; before the countries are
+    # tried, the next four characters must fit
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}", lambda t: mod97(F.regexp_replace(t, " ", "")), 0.6, "ibans?|accounts?|bank|konto|compte|cuenta", takes=4),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda t: F.lit(True), 0.3, "ssns?|social security|taxpayer"),
 )
 
