@@ -40,10 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes wide rows once, as Parquet in the shared folder, and reads them again."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(rows: DataFrame) -> None:
+    """Removes what ``stored`` wrote, once all that was made of it is stored itself."""
+    hadoop = rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in rows.inputFiles()}:
+        place = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(hadoop).delete(place, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, longer where ``df`` has such a column already."""
     out = []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import cut, partitions, stored, text_or_empty
+from .common import cut, discard, partitions, stored, text_or_empty
 from .components import smallest_reachable
 
 SEED = 42
@@ -498,6 +498,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     first = stored(nodes.join(groups, "_node", "left").select(F.explode("_rows").alias("_row"), "_group"), "first-rows")
     # the first rows grow with the documents, so both sides are always dealt out, small inputs too
     rows = stored(keyed.drop("_node", "_fp", "_bands").join(first.hint("shuffle_merge"), "_row"), "distinct-rows")
+    discard(keyed)
     sizes = rows.where("_group IS NOT NULL").groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("text")).alias("_bytes"))
     large = cut(sizes.where((F.col("_n") > GROUP_TEXTS) | (F.col("_bytes") > GROUP_BYTES)).select("_group"))
     close, out = rows.where("_group IS NOT NULL"), rows.where("_group IS NULL")
