@@ -28,6 +28,9 @@ FIRST = 4
 ROUNDS, ROOM, SPARE = 5, 1.0, 8
 #: The cell that counts what has been recovered.
 FOUND = -1
+#: A digest becomes a cell in three thirds, two sizes and four signed sides, and sums of cells are held by the task that
+#: peels them: they are dealt into so many times the session's partitions.
+SPREAD = 4
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -103,7 +106,7 @@ def _difference_cells(digests: DataFrame, *thirds: Column) -> DataFrame:
     sides = [(1, 1, "a", "b"), (1, -1, "b", "a"), (2, 1, "a", "c"), (2, -1, "c", "a")]
     each = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(n).alias("n"), F.col(own).alias("digests"), (F.size(own) + F.size(other)).alias("both")) for p, n, own, other in sides])
     rest = [c for c in digests.columns if c not in ("_row", "a", "b", "c")]
-    rows = digests.repartition(partitions(digests.sparkSession), "_row").select("_row", *rest, F.explode(each).alias("v")).select("_row", *rest, "v.*")
+    rows = digests.repartition(SPREAD * partitions(digests.sparkSession), "_row").select("_row", *rest, F.explode(each).alias("v")).select("_row", *rest, "v.*")
     if rest:
         rows = rows.where("pair = _again")
     rows = rows.select("_row", "pair", "n", *rest, "both", F.explode("digests").alias("digest")).withColumn("check", _check(F.col("digest")))
