@@ -46,10 +46,12 @@ def near_copies(seed):
     return texts
 
 
-@pytest.mark.parametrize("most", [4000, 3])
-def test_near_copies_against_brute_force(spark, monkeypatch, most):
-    """With a small bound candidate groups are settled by rounds of pivots, which must lose no link."""
+@pytest.mark.parametrize(("most", "shard"), [(4000, 16384), (3, 16384), (4000, 4)])
+def test_near_copies_against_brute_force(spark, monkeypatch, most, shard):
+    """With small bounds candidate groups are settled by rounds of pivots, and shards of a band are linked by joins:
+    neither may lose a link."""
     monkeypatch.setattr(neardup, "GROUP_TEXTS", most)
+    monkeypatch.setattr(neardup, "SHARD_MOST", shard)
     monkeypatch.setattr(neardup, "RING_BYTES", 40_000)
     texts = near_copies(8)
     sets = []

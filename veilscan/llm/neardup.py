@@ -283,16 +283,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _band_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links of the shards (band, key), sorted: a vantage-point tree links fingerprints within WIDE bits.
-    Above SHARD_MOST members all of a shard are candidates, and their sets decide."""
+    """Candidate links of the shards (key), sorted, of bounded size: a vantage-point tree links fingerprints within
+    WIDE bits."""
     rest = None
     for batch in (*batches, None):
         rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
         if rows is None or not rows.num_rows:
             continue
-        band, key, node, fp = (rows.column(k).to_numpy() for k in ("band", "key", "_node", "_fp"))
+        key, node, fp = (rows.column(k).to_numpy() for k in ("key", "_node", "_fp"))
         at = np.ones(len(key), bool)
-        at[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+        at[1:] = key[1:] != key[:-1]
         bounds = np.append(np.flatnonzero(at), len(key))
         if batch is not None:  # the last shard may go on in the next batch
             rest = rows.slice(bounds[-2])
@@ -301,13 +301,28 @@ def _band_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
             own = slice(bounds[i], bounds[i + 1])
             n = own.stop - own.start
-            root = np.zeros(n, int) if n > SHARD_MOST else tree_links(fp[own].view(np.uint64), np.ones(n, bool), WIDE)
+            root = tree_links(fp[own].view(np.uint64), np.ones(n, bool), WIDE)
             moved = np.flatnonzero(root != np.arange(n))
             a.append(node[own][moved])
             b.append(node[own][root[moved]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def _candidate_links(nodes: DataFrame) -> DataFrame:
+    """a, b: links between candidates among ``nodes`` (_node, _fp, _bands). A band's key is a hash of its own, so keys
+    of different bands do not meet. Shards above SHARD_MOST members never come into one task: all of such a shard are
+    candidates, linked to its smallest node by a join that Spark can split, and their sets decide."""
+    dealt = nodes.select("_node", "_fp", F.explode(F.array_distinct("_bands")).alias("key"))
+    large = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("b")).where(F.col("_n") > SHARD_MOST).select("key", "b"))
+    stars = None
+    if not large.isEmpty():
+        stars = dealt.join(large, "key").where("_node <> b").select(F.col("_node").alias("a"), "b")
+        dealt = dealt.join(large, "key", "left_anti")
+    sorted_ = dealt.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "_node").select("key", "_node", "_fp")
+    links = sorted_.mapInArrow(_band_links, "a long, b long")
+    return links if stars is None else links.union(stars)
+
+
 def groups_of_sets(sets: list[np.ndarray]) -> np.ndarray:
     """For each of ``sets`` the index of the first member of its group, where links join sets of Jaccard similarity
     0.8 or more. Each set meets all that no group has reached yet, so the result is that of all pairs."""
@@ -491,8 +506,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")))["_row"]
     nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("_row")))
     nodes = cut(keyed.groupBy("_node", "_fp", "_bands").agg(F.array_compact(F.array(named, nameless)).alias("_rows")))
-    dealt = nodes.select("_node", "_fp", F.posexplode("_bands").alias("band", "key"))
-    links = cut(dealt.repartition(n, "band", "key").sortWithinPartitions("band", "key", "_node").mapInArrow(_band_links, "a long, b long"))
+    links = cut(_candidate_links(nodes))
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     groups = smallest_reachable(linked.withColumn("label", F.col("node")), links).select(F.col("node").alias("_node"), F.col("label").alias("_group"))
     first = stored(nodes.join(groups, "_node", "left").select(F.explode("_rows").alias("_row"), "_group"), "first-rows")
