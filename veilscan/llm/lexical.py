@@ -3,8 +3,8 @@
 The index deals documents into shards. A shard is a grid: a row per term, a column per document, and where a document
 holds a term its impact, (1000000000 * tf) div (1000 * tf + 12 * m). The grid is a quadtree of which only cells that
 are not empty exist; a cell keeps which of its four quarters exist and how far its impact maximum lies below that of
-the cell around it. Rows are sorted by how many documents hold the term, and columns by the documents' lengths, so
-that cells hold like impacts.
+the cell around it. Rows are sorted by how often the term occurs, and columns by the documents' lengths, so that cells
+hold like impacts.
 
 An item descends along the paths of all its terms' rows at once: an entry of its frontier is a range of documents
 with the cells of all its rows, and the weighted sum of their maxima bounds every score in the range. The ranges with
@@ -17,28 +17,30 @@ Items pass in blocks of bounded size, each broadcast. A task keeps k documents p
 from __future__ import annotations
 
 import math
-from array import array
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, scratch, stored
 
-#: Documents and cells of a shard; a longer document is a shard of its own.
-DOCUMENTS, CELLS = 8192, 1 << 20
+#: Documents and bytes of text of a shard; the document that reaches the bytes is its last one.
+DOCUMENTS, BYTES = 8192, 12 << 20
 #: Bytes of the items of a block.
 BLOCK = 8 << 20
 #: Cells opened at once, and cells of a frontier above which the smallest ranges are opened first, which keeps it short.
 OPENED, WIDE = 1 << 14, 1 << 23
 #: Separators become spaces and A-Z a-z; all bytes of other characters belong to terms.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: Set bits of a cell's mask, and of those before each quarter.
+#: Set bits of a cell's mask, and those before each quarter, -1 for a quarter that is not set.
 _SET = np.array([bin(m).count("1") for m in range(16)], np.int64)
-_BEFORE = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], np.int64)
+_BEFORE = np.array([bin(m & ((1 << q) - 1)).count("1") if m >> q & 1 else -1 for m in range(16) for q in range(4)], np.int32)
+#: The largest impact, and what sums of doubles are exact below.
+IMPACT, EXACT = 1_000_000, 2**53
 
 GRID = "ids array<long>, lengths binary, words binary, holding binary, codes binary, tf binary, documents long, terms long"
 TREAP = "ids array<long>, words binary, holding binary, bits int, sizes array<int>, top int, masks binary, drops binary"
@@ -65,46 +67,40 @@ def _gathered(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-class _Grid:
-    """Documents gathered for a shard."""
-
-    def __init__(self) -> None:
-        self.numbers: defaultdict[bytes, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
-        self.ids, self.rows, self.tf, self.sizes, self.lengths = [], array("i"), array("q"), array("q"), array("q")
-
-    def add(self, doc_id: int | None, found: Counter) -> None:
-        self.ids.append(doc_id)
-        self.rows.extend(map(self.numbers.__getitem__, found))
-        self.tf.extend(found.values())
-        self.sizes.append(len(found))
-        self.lengths.append(found.total())
-
-    def full(self) -> bool:
-        return len(self.ids) >= DOCUMENTS or len(self.rows) >= CELLS
-
-    def record(self) -> dict:
-        lengths, rows = np.frombuffer(self.lengths, np.int64), np.frombuffer(self.rows, np.int32)
-        by_length = np.argsort(lengths, kind="stable")
-        column = np.empty(len(by_length), np.int64)
-        column[by_length] = np.arange(len(by_length))
-        holding = np.bincount(rows, minlength=len(self.numbers))
-        by_count = np.argsort(-holding, kind="stable")
-        row = np.empty(len(by_count), np.int64)
-        row[by_count] = np.arange(len(by_count))
-        code = (_spread(row[rows]) << np.uint64(1)) | _spread(np.repeat(column, np.frombuffer(self.sizes, np.int64)))
-        order = np.argsort(code)
-        words = list(self.numbers)
-        return {
-            "ids": [self.ids[i] for i in by_length.tolist()],
-            "lengths": lengths[by_length].tobytes(),
-            "words": b" ".join([words[i] for i in by_count.tolist()]),
-            "holding": holding[by_count].astype(np.int32).tobytes(),
-            "codes": np.diff(code[order], prepend=np.uint64(0)).tobytes(),
-            "tf": np.frombuffer(self.tf, np.int64)[order].astype(np.int32).tobytes(),
-            "documents": len(self.ids),
-            "terms": int(lengths.sum()),
-        }
+def _record(ids: list, texts: list[bytes]) -> dict | None:
+    """The grid of some documents, None if they have no terms."""
+    joined = b"".join(texts).translate(_TABLE)
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=offsets[1:])
+    split = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(joined)))
+    words, at = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    filled = pc.greater(pc.binary_length(words), 0)
+    words, at = words.filter(filled).dictionary_encode(), at[filled.to_numpy(zero_copy_only=False)]
+    if not len(at):
+        return None
+    term = words.indices.to_numpy()
+    lengths = np.bincount(at, minlength=len(texts))
+    by_length = np.argsort(lengths, kind="stable")[np.count_nonzero(lengths == 0) :]
+    column = np.zeros(len(texts), np.int64)
+    column[by_length] = np.arange(len(by_length))
+
+    by_count = np.argsort(-np.bincount(term), kind="stable")
+    row = np.empty(len(by_count), np.int64)
+    row[by_count] = np.arange(len(by_count))
+    code = np.sort((_spread(row)[term] << np.uint64(1)) | _spread(column)[at])
+    starts = np.flatnonzero(np.diff(code, prepend=code[0] + np.uint64(1)))
+    codes, tf = code[starts], np.diff(starts, append=len(code))
+    holding = np.bincount(_gathered(codes >> np.uint64(1)))
+    return {
+        "ids": [ids[i] for i in by_length.tolist()],
+        "lengths": lengths[by_length].tobytes(),
+        "words": " ".join(words.dictionary.take(pa.array(by_count)).to_pylist()).encode(),
+        "holding": holding.astype(np.int32).tobytes(),
+        "codes": np.diff(codes, prepend=np.uint64(0)).tobytes(),
+        "tf": tf.astype(np.int32).tobytes(),
+        "documents": len(by_length),
+        "terms": len(at),
+    }
 
 
 def _batch(rows: list[dict], kind: str) -> pa.RecordBatch:
@@ -113,17 +109,19 @@ def _batch(rows: list[dict], kind: str) -> pa.RecordBatch:
 
 
 def _grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grid = _Grid()
+    ids, texts, size = [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            found = Counter(terms(text.as_py() or b""))
-            if found:
-                grid.add(doc_id, found)
-                if grid.full():
-                    yield _batch([grid.record()], GRID)
-                    grid = _Grid()
-    if grid.ids:
-        yield _batch([grid.record()], GRID)
+            raw = (text.as_py() or b"") + b" "  # ends its last term
+            ids.append(doc_id)
+            texts.append(raw)
+            size += len(raw)
+            if size >= BYTES or len(ids) >= DOCUMENTS:
+                if grid := _record(ids, texts):
+                    yield _batch([grid], GRID)
+                ids, texts, size = [], [], 0
+    if ids and (grid := _record(ids, texts)):
+        yield _batch([grid], GRID)
 
 
 def _treap(documents: int, total: int):
@@ -184,52 +182,58 @@ class Treap:
     def __init__(self, row: dict):
         raw, inner = np.frombuffer(row["masks"], np.uint8), sum(row["sizes"][:-1])
         self.ids, self.bits, cells = row["ids"], row["bits"], sum(row["sizes"])
-        self.masks = np.zeros(cells + 1, np.uint8)
-        self.masks[:inner] = np.stack([raw & 15, raw >> 4], axis=1).ravel()[:inner]
-        children = _SET[self.masks[:inner]]
-        self.first = np.zeros(inner + 1, np.int32)
-        self.first[:inner] = 1 + np.cumsum(children) - children
+        masks = np.stack([raw & 15, raw >> 4], axis=1).ravel()[:inner]
+        children = _SET[masks]
+        # of inner cells and, at the end, of the empty one
+        self.masks, self.first, self.none = np.append(masks * 4, np.uint8(0)), np.ones(inner + 1, np.int32), cells
+        self.first[:inner] += (np.cumsum(children) - children).astype(np.int32)
         drops = np.frombuffer(row["drops"], np.int32)
-        self.best = np.zeros(cells + 1, np.int64)
+        self.best = np.zeros(cells + 1)
         self.best[0], at = row["top"], 0
         for size in row["sizes"][:-1]:
             given = np.repeat(self.best[at : at + size], children[at : at + size])
             self.best[at + size : at + size + len(given)] = given - drops[at + size - 1 : at + size - 1 + len(given)]
             at += size
-        self.none = cells
 
     def search(self, rows: np.ndarray, weights: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, columns): all documents that may be among the best k of those with at least ``floor``."""
-        bits = (rows[None, :] >> np.arange(self.bits - 1, -1, -1)[:, None]) & 1
-        level, column, cells = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, len(rows)), np.int64)
-        bound = self.best[cells] @ weights
-        scores, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best = self.best if weights.sum() < EXACT // IMPACT else self.best.astype(np.int64)
+        weights = weights.astype(best.dtype)
+        bits = 2 * ((rows[None, :] >> np.arange(self.bits - 1, -1, -1)[:, None]) & 1).astype(np.uint8)
+        level, column, cells = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros((1, len(rows)), np.int32)
+        bound = best[cells] @ weights
+        scores, found = np.zeros(0, best.dtype), np.zeros(0, np.int32)
+        none, last = np.int32(self.none), len(self.first) - 1
         while len(level):
-            n = min(len(level), max(8, OPENED // len(rows)))
-            key = -bound if len(level) * len(rows) < WIDE else -level
-            pick = np.argpartition(key, n - 1)[:n]
-            rest = np.ones(len(level), bool)
-            rest[pick] = False
-            own = cells[pick]
-            mask, first, down = self.masks[own], self.first[np.minimum(own, len(self.first) - 1)], 2 * bits[level[pick]]
-            below = []
+            n, rest = min(len(level), max(8, OPENED // len(rows))), None
+            if n < len(level):
+                key = -bound if len(level) * len(rows) < WIDE else -level
+                order = np.argpartition(key, n - 1)
+                pick, rest = order[:n], order[n:]
+                rest = rest[bound[rest] >= floor]
+                left = [x[rest] for x in (level, column, cells, bound)]
+                level, column, cells = level[pick], column[pick], cells[pick]
+            inner = np.minimum(cells, last)
+            quarter, first = self.masks[inner] + bits[level], self.first[inner]
+            opened = []
             for side in (0, 1):
-                quarter = down + side
-                below.append(np.where(mask >> quarter & 1, first + _BEFORE[mask, quarter], self.none))
-            opened = np.concatenate(below)
-            value = self.best[opened] @ weights
-            deeper, at = np.tile(level[pick] + 1, 2), np.concatenate([2 * column[pick], 2 * column[pick] + 1])
-            on = value >= floor
-            single = on & (deeper == self.bits)
+                step = _BEFORE[quarter + np.uint8(side)]
+                opened.append(np.where(step >= 0, first + step, none))
+            cells = np.concatenate(opened)
+            bound = best[cells] @ weights
+            level, column = np.concatenate([level, level]) + 1, np.concatenate([2 * column, 2 * column + 1])
+            on = bound >= floor
+            single = on & (level == self.bits)
             if single.any():
-                scores, found = np.concatenate([scores, value[single]]), np.concatenate([found, at[single]])
+                scores, found = np.concatenate([scores, bound[single]]), np.concatenate([found, column[single]])
                 if len(scores) > k:
-                    floor = max(floor, int(np.partition(scores, len(scores) - k)[len(scores) - k]))
+                    floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
                     scores, found = scores[scores >= floor], found[scores >= floor]
-            on &= ~single & (value >= floor)
-            rest &= bound >= floor
-            level, column, cells, bound = (np.concatenate(x) for x in ((level[rest], deeper[on]), (column[rest], at[on]), (cells[rest], opened[on]), (bound[rest], value[on])))
-        return scores, found
+                on &= ~single & (bound >= floor)
+            level, column, cells, bound = level[on], column[on], cells[on], bound[on]
+            if rest is not None:
+                level, column, cells, bound = (np.concatenate([a, b]) for a, b in zip(left, (level, column, cells, bound), strict=True))
+        return scores.astype(np.int64), found
 
 
 def _best_first(hits: list[tuple[int, int | None]], k: int) -> list[tuple[int, int | None]]:
@@ -237,20 +241,20 @@ def _best_first(hits: list[tuple[int, int | None]], k: int) -> list[tuple[int, i
     return sorted(hits, key=lambda h: (-h[0], h[1] is None, h[1] or 0))[:k]
 
 
-def _numbered(words: bytes) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(words.split(b" "))}
+def _places(words: bytes, wanted: pa.Array) -> np.ndarray:
+    """The row of each wanted term in a shard, -1 where it has none."""
+    return pc.fill_null(pc.index_in(wanted, pa.array(words.split(b" "), pa.binary())), -1).to_numpy()
 
 
 def _holding(sent):
     """How many documents hold each term of a block: (term, documents), summed up in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
+        wanted = pa.array(sent.value, pa.binary())
         total = np.zeros(len(wanted), np.int64)
         for batch in batches:
             for words, holding in zip(batch.column("words").to_pylist(), batch.column("holding").to_pylist(), strict=True):
-                rows = _numbered(words)
-                at = np.array([rows.get(w, -1) for w in wanted], np.int64)
+                at = _places(words, wanted)
                 total[at >= 0] += np.frombuffer(holding, np.int32)[at[at >= 0]]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "documents"])
@@ -260,12 +264,11 @@ def _holding(sent):
 
 def _searched(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, items = sent.value
+        wanted, items = pa.array(sent.value[0], pa.binary()), sent.value[1]
         best: list[list[tuple]] = [[] for _ in items]
         for batch in batches:
             for row in batch.to_pylist():
-                rows, treap = _numbered(row["words"]), Treap(row)
-                at = np.array([rows.get(w, -1) for w in wanted], np.int64)
+                at, treap = _places(row["words"], wanted), Treap(row)
                 for q, (_, own, weights) in enumerate(items):
                     there = at[own] >= 0
                     if there.any():
