@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, stored
+from .common import scratch, stored
 
 #: Documents and bytes of text of a shard; the document that reaches the bytes is its last one.
-DOCUMENTS, BYTES = 8192, 12 << 20
+DOCUMENTS, BYTES = 8192, 6 << 20
 #: Bytes of the items of a block.
 BLOCK = 8 << 20
 #: Cells opened at once, and cells of a frontier above which the smallest ranges are opened first, which keeps it short.
@@ -75,7 +75,8 @@ def _record(ids: list, texts: list[bytes]) -> dict | None:
     split = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(joined)))
     words, at = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
     filled = pc.greater(pc.binary_length(words), 0)
-    words, at = words.filter(filled).dictionary_encode(), at[filled.to_numpy(zero_copy_only=False)]
+    words, at = words.filter(filled).dictionary_encode(), at[filled.to_numpy(zero_copy_only=False)].astype(np.int32)
+    del split, filled, joined
     if not len(at):
         return None
     term = words.indices.to_numpy()
@@ -151,8 +152,8 @@ def _treap(documents: int, total: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g in batch.to_pylist():
-                yield _batch([record(g)], TREAP)
+            for i in range(batch.num_rows):  # one shard at a time
+                yield _batch([record(batch.slice(i, 1).to_pylist()[0])], TREAP)
 
     return run
 
@@ -167,13 +168,11 @@ class Index:
 def build_index(docs: DataFrame) -> Index | None:
     """The index of all rows of ``docs`` (doc_id, text) that have a term; None if there are none. Rows without doc_id
     are indexed under null, rows that repeat one as often as they occur."""
-    spark = docs.sparkSession
     grids = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_grids, GRID), "grids")
     documents, total = grids.agg(F.sum("documents"), F.sum("terms")).first()
     if not documents:
         return None
-    narrow = grids.repartition(partitions(spark))  # shards have about the same size, but tasks may have made none or many
-    return Index(stored(narrow.mapInArrow(_treap(documents, total), TREAP), "treaps"), documents)
+    return Index(stored(grids.mapInArrow(_treap(documents, total), TREAP), "treaps"), documents)
 
 
 class Treap:
@@ -267,7 +266,8 @@ def _searched(sent, k: int):
         wanted, items = pa.array(sent.value[0], pa.binary()), sent.value[1]
         best: list[list[tuple]] = [[] for _ in items]
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one shard at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 at, treap = _places(row["words"], wanted), Treap(row)
                 for q, (_, own, weights) in enumerate(items):
                     there = at[own] >= 0
