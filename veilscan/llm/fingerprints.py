@@ -9,8 +9,9 @@ of the next size are made and subtracted, without a last size.
 
 Sketches are tables of cells (set, cell, n, digest, check), not arrays in a row: a text's digests are exploded into
 cells once and added up by aggregates, and peeling is an aggregate as well, so the work is in proportion to the
-digests however long a text is. All of a document's cells lie in one partition from the start, so neither sums nor
-subtraction nor peeling shuffle again.
+digests however long a text is. A round of peeling takes out what stands alone in one third of the cells, where every
+digest has just one cell, so no digest is taken out twice and a round is one aggregate. What is left is dealt out anew
+after every second aggregate: a stage then holds the hash maps of two aggregates, however many rounds there are.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from .common import cut, in_order, offsets, partitions, stored, text_or_empty
 PARAGRAPH = 200
 #: Cells in each third of the first sketch, which is shown as the fingerprint.
 FIRST = 4
-#: Rounds of peeling, and cells per third that the second sketch has: for each digest of both versions, and besides.
-ROUNDS, ROOM, SPARE = 5, 1.0, 8
+#: Thirds that the rounds of peeling look at, and cells per third of the sketches that are subtracted first: for each
+#: digest of both versions, and besides. Cells are a table, so those that stay empty cost nothing.
+ROUNDS, ROOM, SPARE = (0, 1, 2, 0, 1, 2), 4.0, 8
 #: The cell that counts what has been recovered.
 FOUND = -1
-#: A digest becomes a cell in three thirds, two sizes and four signed sides, and sums of cells are held by the task that
-#: peels them: they are dealt into so many times the session's partitions.
+#: A digest becomes a cell in three thirds and four signed sides: they are dealt into so many times the session's partitions.
 SPREAD = 4
 
 
@@ -63,32 +64,28 @@ def sketches(sets: DataFrame, *key: str) -> DataFrame:
     return _summed(each.select(*key, "third", "digest", "check", F.lit(1).alias("n"), F.explode_outer(own).alias("cell")), *key, "third")
 
 
-def _alone() -> Column:
-    return (F.col("cell") != FOUND) & F.col("n").isin(1, -1) & (_check(F.col("digest")) == F.col("check"))
+def _round(cells: DataFrame, t: int, *key: str) -> DataFrame:
+    """One round of peeling: every digest that stands alone in a cell of third ``t`` leaves its cells and is counted."""
 
+    def move(cell: Column, n: Column, digest: Column, check: Column) -> Column:
+        return F.struct(cell.alias("cell"), n.alias("n"), digest.alias("digest"), check.alias("check"))
 
-def _round(cells: DataFrame, *key: str) -> DataFrame:
-    """One round of peeling: every digest that stands alone in a cell is taken out of its cells and counted."""
-
-    def move(cell: Column, n: Column, taken: bool) -> Column:
-        return F.struct(cell.alias("cell"), n.alias("n"), F.lit(taken).alias("taken"))
-
-    stays = move(F.col("cell"), F.col("n"), False)
-    out = [move(c, -F.col("n"), True) for c in _cells_of(F.col("digest"), F.col("check"), F.col("third"))]
-    moves = F.when(_alone(), F.array(stays, *out, move(F.lit(FOUND), F.lit(1), True))).otherwise(F.array(stays))
+    cell, n, digest, check, third = (F.col(c) for c in ("cell", "n", "digest", "check", "third"))
+    alone = (cell >= t * third) & (cell < (t + 1) * third) & n.isin(1, -1) & (_check(digest) == check)
+    others = [move(c, -n, digest, check) for i, c in enumerate(_cells_of(digest, check, third)) if i != t]
+    nothing = F.lit(0).cast("long")
+    moves = F.when(alone, F.array(*others, move(F.lit(FOUND), F.lit(1), nothing, nothing))).otherwise(F.array(move(cell, n, digest, check)))
     # outer: else Spark would first filter by the array's size and build it twice
-    moved = cells.select(*key, "third", "digest", "check", F.explode_outer(moves).alias("m")).select(*key, "third", "digest", "check", "m.cell", "m.n", "m.taken")
-    # a digest that stands alone in two cells is taken out once
-    once = moved.distinct()
-    value = lambda c: F.when(F.col("cell") == FOUND, F.lit(0)).otherwise(F.col(c)).alias(c)
-    return _summed(once.select(*key, "third", "cell", "n", value("digest"), value("check")), *key, "third")
+    return _summed(cells.select(*key, "third", F.explode_outer(moves).alias("m")).select(*key, "third", "m.*"), *key, "third")
 
 
 def peeled(cells: DataFrame, *key: str) -> DataFrame:
-    """key, third, ok, found: how many digests were recovered from each difference of sketches in ROUNDS rounds, and
-    whether they are all of it. Differences without cells (equal sets) have no row."""
-    for _ in range(ROUNDS):
-        cells = _round(cells, *key)
+    """key, third, ok, found: how many digests were recovered from each difference of sketches, and whether they are
+    all of it. Differences without cells (equal sets) have no row. ``cells`` comes from one aggregate."""
+    for k, t in enumerate(ROUNDS):
+        cells = _round(cells, t, *key)
+        if k % 2 == 0:
+            cells = cells.repartition(SPREAD * partitions(cells.sparkSession), *key)
     left = F.col("cell") != FOUND
     return cells.groupBy(*key, "third").agg(F.coalesce(F.max(F.when(~left, F.col("n"))), F.lit(0)).alias("found"), (F.count_if(left) == 0).alias("ok"))
 
@@ -99,31 +96,30 @@ def shown(cells: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(cells), lambda c: c["text"]), ".")
 
 
-def _difference_cells(digests: DataFrame, *thirds: Column) -> DataFrame:
+def _difference_cells(digests: DataFrame, third: Column) -> DataFrame:
     """_row, pair (1: a and b, 2: a and c), third, cell, n, digest, check: the sketch of a less that of the other
-    version, in every size of ``thirds`` (columns that may use ``both``, the digests of both, and those of ``digests``
-    other than its sets). Sketches are sums, so their difference is the sum of signed cells."""
+    version. ``third`` may use ``both``, the digests of both, and the columns of ``digests`` other than its sets.
+    Sketches are sums, so their difference is the sum of signed cells."""
     sides = [(1, 1, "a", "b"), (1, -1, "b", "a"), (2, 1, "a", "c"), (2, -1, "c", "a")]
     each = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(n).alias("n"), F.col(own).alias("digests"), (F.size(own) + F.size(other)).alias("both")) for p, n, own, other in sides])
     rest = [c for c in digests.columns if c not in ("_row", "a", "b", "c")]
     rows = digests.repartition(SPREAD * partitions(digests.sparkSession), "_row").select("_row", *rest, F.explode(each).alias("v")).select("_row", *rest, "v.*")
     if rest:
         rows = rows.where("pair = _again")
-    rows = rows.select("_row", "pair", "n", *rest, "both", F.explode("digests").alias("digest")).withColumn("check", _check(F.col("digest")))
-    cells = [F.struct(t.cast("int").alias("third"), c.alias("cell")) for t in thirds for c in _cells_of(F.col("digest"), F.col("check"), t.cast("int"))]
-    return _summed(rows.select("_row", "pair", "n", "digest", "check", F.explode_outer(F.array(*cells)).alias("c")).select("_row", "pair", "n", "digest", "check", "c.third", "c.cell"), "_row", "pair", "third")
+    rows = rows.select("_row", "pair", "n", third.cast("int").alias("third"), F.explode("digests").alias("digest")).withColumn("check", _check(F.col("digest")))
+    cells = F.array(*_cells_of(F.col("digest"), F.col("check"), F.col("third")))
+    return _summed(rows.select("_row", "pair", "third", "n", "digest", "check", F.explode_outer(cells).alias("cell")), "_row", "pair", "third")
 
 
 def differences(digests: DataFrame) -> DataFrame:
     """_row, pair (1: with b, 2: with c), found: how many digests only one of the sets a and b (a and c) of a row has.
-    Equal sets have no row. ``digests`` has _row, a, b, c. The smallest sketch that can be peeled counts."""
-    state = stored(peeled(_difference_cells(digests, F.lit(FIRST), F.ceil(ROOM * F.col("both")) + SPARE), "_row", "pair"), "peeled")
+    Equal sets have no row. ``digests`` has _row, a, b, c. Sketches that cannot be peeled are made again, larger."""
+    state = stored(peeled(_difference_cells(digests, F.ceil(ROOM * F.col("both")) + SPARE), "_row", "pair"), "peeled")
     found = None
     while True:
-        best = state.groupBy("_row", "pair").agg(F.min_by(F.when(F.col("ok"), F.col("found")), F.when(F.col("ok"), F.col("third"))).alias("found"), F.max("third").alias("third"))
-        ended = best.where("found IS NOT NULL").select("_row", "pair", "found")
+        ended = state.where("ok").select("_row", "pair", "found")
         found = ended if found is None else found.union(ended)
-        failed = best.where("found IS NULL").select("_row", F.col("pair").alias("_again"), (2 * F.col("third")).alias("_larger"))
+        failed = state.where("NOT ok").select("_row", F.col("pair").alias("_again"), (2 * F.col("third") + 1).alias("_larger"))
         if failed.isEmpty():
             return found
         state = stored(peeled(_difference_cells(digests.join(failed, "_row"), F.col("_larger")), "_row", "pair"), "peeled")
@@ -145,8 +141,8 @@ def version_report(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_chars (long, code points), edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next (likeness with the edited text and with the next document: 1 - differing digests / digests of both, 1
-    without any). A fingerprint is a text's first sketch; where the difference of two of them cannot be peeled,
-    larger sketches of the same texts take their place. Null texts count as empty, null doc_ids
+    without any). A fingerprint is a text's first sketch; what is subtracted are sketches of the same texts whose size
+    follows the number of digests, and larger ones where a difference cannot be peeled. Null texts count as empty, null doc_ids
     come after all others, documents with one doc_id follow each other by length and hash. Rows that repeat doc_id
     and text count as one document and each get its result. The only document is its own next one.
     """
