@@ -27,7 +27,7 @@ PARAGRAPH = 200
 FIRST = 4
 #: Thirds that the rounds of peeling look at, and cells per third of the sketches that are subtracted first: for each
 #: digest of both versions, and besides. Cells are a table, so those that stay empty cost nothing.
-ROUNDS, ROOM, SPARE = (0, 1, 2, 0, 1, 2), 4.0, 8
+ROUNDS, ROOM, SPARE = (0, 1, 2, 0, 1, 2), 4.0, 128
 #: The cell that counts what has been recovered.
 FOUND = -1
 #: A digest becomes a cell in three thirds and four signed sides: they are dealt into so many times the session's partitions.
@@ -76,7 +76,7 @@ def _round(cells: DataFrame, t: int, *key: str) -> DataFrame:
     nothing = F.lit(0).cast("long")
     moves = F.when(alone, F.array(*others, move(F.lit(FOUND), F.lit(1), nothing, nothing))).otherwise(F.array(move(cell, n, digest, check)))
     # outer: else Spark would first filter by the array's size and build it twice
-    return _summed(cells.select(*key, "third", F.explode_outer(moves).alias("m")).select(*key, "third", "m.*"), *key, "third")
+    return _summed(cells.select(*key, "third", F.inline_outer(moves)), *key, "third")
 
 
 def peeled(cells: DataFrame, *key: str) -> DataFrame:
