@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from ..functions.bits import END, ONE, ZERO, before_last, from_bits, latin1, lines, number, to_bits, u32be, unhex
 from ..functions.detect import COMMENT_MARK, JPEG_END, TRAILER_MARK
 
+#: Bytes of a payload from which an Arrow function packs its bits.
+LONG = 1 << 10
+
 
 def capacity_of_lines(text: Column) -> Column:
     return F.floor(F.size(lines(text)) / 8)
@@ -36,14 +42,16 @@ def recover_zero_width(text: Column) -> Column:
 
 
 def mark_trailing(text: Column, payload: Column) -> Column:
-    bits = to_bits(payload)
-    n = F.length(bits)
-    each = F.split(bits, "")
+    """The first lines end in a blank for 0 or a tab for 1. Lines and bits are paired once, each computed once."""
+    payload = F.coalesce(payload, unhex(""))
+    bits, n = F.split(to_bits(payload), ""), 8 * F.length(payload)
 
-    def mark(line: Column, i: Column) -> Column:
-        return F.when(i < n, F.concat(F.regexp_replace(line, r"[ \t]+$", ""), F.when(F.get(each, i) == "1", "\t").otherwise(" "))).otherwise(line)
+    def marked(every: Column) -> Column:
+        first = F.least(n, F.size(every))
+        ends = F.zip_with(F.slice(every, F.lit(1), first), F.slice(bits, F.lit(1), first), lambda line, bit: F.concat(F.regexp_replace(line, r"[ \t]+$", ""), F.when(bit == "1", "\t").otherwise(" ")))
+        return F.concat(F.array_join(F.concat(ends, F.slice(every, first + 1, F.size(every))), "\n"), F.lit("\n"))
 
-    return F.concat(F.array_join(F.transform(lines(text), mark), "\n"), F.lit("\n"))
+    return F.get(F.transform(F.array(lines(text)), marked), 0)
 
 
 def recover_trailing(text: Column) -> Column:
@@ -68,25 +76,59 @@ def _sample_bits(payload: Column) -> Column:
     return F.concat(to_bits(u32be(F.length(payload))), to_bits(payload))
 
 
-def mark_samples(samples: Column, payload: Column) -> Column:
-    """The lowest bits of the first samples become the payload's length (32 bits) and bits; null if it does not fit."""
-    bits = F.split(_sample_bits(payload), "")
-    n = 32 + 8 * F.length(payload)
+@F.pandas_udf(ArrayType(IntegerType()))
+def _packed_in(samples: pd.Series, payload: pd.Series) -> pd.Series:
+    def one(values: np.ndarray | None, raw: bytes | None) -> np.ndarray | None:
+        if values is None or raw is None:
+            return None
+        bits = np.unpackbits(np.frombuffer(len(raw).to_bytes(4, "big") + raw, np.uint8))
+        return (np.asarray(values, np.int32) & -2) | bits
+
+    return pd.Series([one(v, r) for v, r in zip(samples, payload, strict=True)])
 
-    def mark(value: Column, i: Column) -> Column:
-        return F.when(i < n, value.bitwiseAND(-2).bitwiseOR(F.get(bits, i).cast("int"))).otherwise(value)
 
-    return F.when(n <= F.size(samples), F.transform(samples, mark))
+@F.pandas_udf(BinaryType())
+def _packed_out(samples: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else np.packbits(np.asarray(v, np.int32) & 1).tobytes() for v in samples])
 
 
-def recover_samples(samples: Column) -> Column:
-    """struct(payload, status): ``ok``, ``too_short`` or ``declared_length_exceeds``."""
-    bits = F.array_join(F.transform(samples, lambda v: v.bitwiseAND(1).cast("string")), "")
-    size = F.conv(F.substring(bits, 1, 32), 2, 10).cast("long")
-    enough = F.size(samples) >= 32
-    status = F.when(~enough, "too_short").when(32 + 8 * size > F.size(samples), "declared_length_exceeds").otherwise("ok")
-    payload = F.when(status == "ok", from_bits(F.substring(bits, F.lit(33), (8 * size).cast("int"))))
-    return F.struct(payload.alias("payload"), status.alias("status"))
+def mark_samples(samples: Column, payload: Column, kernel: bool = False) -> Column:
+    """The lowest bits of the first samples become the payload's length (32 bits) and bits; null if it does not fit.
+
+    Only the samples that carry bits are touched, each once. With ``kernel`` payloads of LONG bytes or more are packed
+    by numpy in an Arrow function, which gets those samples and no others; shorter ones stay in the JVM.
+    """
+    n = 32 + 8 * F.length(payload)
+    head, long = F.slice(samples, F.lit(1), n), F.length(payload) >= LONG
+    native = F.zip_with(head, F.slice(F.split(_sample_bits(payload), ""), F.lit(1), n), lambda value, bit: value.bitwiseAND(-2).bitwiseOR(bit.cast("int")))
+    fits = n <= F.size(samples)
+    if kernel:
+        packed = _packed_in(F.when(fits & long, head), F.when(fits & long, payload))
+        native = F.when(long, packed).otherwise(native)
+    return F.when(fits, F.concat(native, F.slice(samples, n + 1, F.size(samples))))
+
+
+def _number_of(samples: Column) -> Column:
+    """The lowest bits of samples as a number, the first one highest."""
+    return F.aggregate(samples, F.lit(0).cast("long"), lambda n, v: 2 * n + v.bitwiseAND(1))
+
+
+def recover_samples(samples: Column, kernel: bool = False) -> Column:
+    """struct(payload, status): ``ok``, ``too_short`` or ``declared_length_exceeds``. The 32 length bits are read
+    first, then only the samples they declare; ``kernel`` as in ``mark_samples``."""
+    size = _number_of(F.slice(samples, 1, 32))
+    status = F.when(F.size(samples) < 32, "too_short").when(32 + 8 * size > F.size(samples), "declared_length_exceeds").otherwise("ok")
+    ok = status == "ok"
+    body, long = F.slice(samples, F.lit(33), F.when(ok, 8 * size).otherwise(0).cast("int")), ok & (size >= LONG)
+
+    def packed(bits: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.lpad(F.hex(_number_of(F.slice(bits, 8 * i + 1, F.lit(8)))), 2, "0"))
+        return F.unhex(F.array_join(each, ""))
+
+    payload = F.when(ok & (size > 0), F.get(F.transform(F.array(body), packed), 0)).otherwise(unhex(""))
+    if kernel:
+        payload = F.when(long, _packed_out(F.when(long, body))).otherwise(payload)
+    return F.struct(F.when(ok, payload).alias("payload"), status.alias("status"))
 
 
 def recover_comment(comment: Column) -> Column:

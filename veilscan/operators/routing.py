@@ -26,8 +26,9 @@ def route_all(items: DataFrame) -> DataFrame:
     return items.withColumn("analyzer", F.explode(F.array(*[F.lit(n) for n in names])))
 
 
-def first_by_extension(items: DataFrame, able: str) -> DataFrame:
-    catalog = analyzer_catalog(items.sparkSession).where(F.col(able))
+def first_by_extension(items: DataFrame, able: str, own=None) -> DataFrame:
+    """ext and carrier: the first of the catalog, with the caller's ``own`` carriers, that is able to do it."""
+    catalog = analyzer_catalog(items.sparkSession, own).where(F.col(able))
     return catalog.select("order", "name", F.explode("extensions").alias("ext")).groupBy("ext").agg(F.min_by("name", "order").alias("carrier"))
 
 

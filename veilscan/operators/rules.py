@@ -36,11 +36,21 @@ DEFAULT_MIME = "application/octet-stream"
 ATTACH_BYTES = 4 * 1024 * 1024
 
 
-def analyzer_catalog(spark: SparkSession) -> DataFrame:
-    rows = [(i, n, k, list(e), m, r, c) for i, (n, k, e, m, r, c) in enumerate(CATALOG)]
+def analyzer_catalog(spark: SparkSession, own=None) -> DataFrame:
+    """The catalog, with the entries of ``own`` (``carriers.Carriers``)."""
+    rows = [(i, n, k, list(e), m, r, c) for i, (n, k, e, m, r, c) in enumerate(CATALOG)] + (own.catalog_rows() if own else [])
     return spark.createDataFrame(rows, "order int, name string, kind string, extensions array<string>, can_embed boolean, can_extract boolean, fixed_capacity long")
 
 
+def extensions_of(*names: str) -> tuple[str, ...] | None:
+    """The extensions that the named catalog entries look at, None if one of them looks at every item."""
+    unknown = set(names) - {name for name, *_ in CATALOG}
+    if unknown:
+        raise ValueError(f"not in the catalog: {sorted(unknown)}")
+    chosen = [extensions for name, _, extensions, *_ in CATALOG if name in names]
+    return tuple(sorted({e for extensions in chosen for e in extensions})) if all(chosen) else None
+
+
 def signature_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, bytearray(x.encode()), s, d) for n, x, s, d in SIGNATURES], "name string, needle binary, score int, detail string")
 

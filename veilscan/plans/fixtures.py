@@ -43,12 +43,18 @@ def text_ws_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(F.size(lines(F.col("text"))) >= 8).select("doc_id", "text", F.unhex(F.hex(65 + F.col("doc_id") % 26)).alias("payload"))
 
 
+def _own(doc_id: Column) -> Column:
+    """What a document's file hides in its trailer: up to nine bytes that name it."""
+    return utf8(F.substring(F.concat(F.lit("#"), doc_id.cast("string"), F.lit("-hidden")), F.lit(1), (1 + doc_id % 9).cast("int")))
+
+
 def file_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per document: its text, an end marker by type, and a trailer."""
     kind, tail = F.col("doc_id") % 10, F.floor(F.col("doc_id") / 10) % 6
     ext = F.element_at(F.array(*[F.lit(x) for x in (".png", ".jpg", ".jpeg", ".gif", ".pdf", ".txt", ".md", ".bmp", ".wav", ".bin")]), (kind + 1).cast("int"))
     marker = F.element_at(F.array(*[unhex(x) for x in ("49454E44AE426082", "FFD9", "FFD9", "3B", "2525454F46", "", "", "", "", "")]), (kind + 1).cast("int"))
-    trailer = F.element_at(F.array(*[unhex(x) for x in ("", "504B030400000000", "4D5A9000", "53544547415050000000026869", "4F50454E535445474F", "0A")]), (tail + 1).cast("int"))
+    trailer = F.element_at(F.array(*[unhex(x) for x in ("", "504B030400000000", "4D5A9000", "", "4F50454E535445474F", "0A")]), (tail + 1).cast("int"))
+    trailer = F.when(tail == 3, F.concat(unhex("53544547415050"), u32be(F.length(_own(F.col("doc_id")))), _own(F.col("doc_id")))).otherwise(trailer)
     content = F.concat(utf8(F.col("text")), marker, trailer)
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), ext.alias("ext"), content.alias("content")).withColumn("length", F.length("content").cast("long"))
 
@@ -70,9 +76,10 @@ def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as comments where they fit the carrier's 60,000 bytes: marked, plain, none, and short ones."""
-    k, text = F.col("doc_id") % 4, F.when(F.octet_length("text") <= 59_990, F.col("text")).otherwise(F.substring("text", 1, 100))
-    comment = F.when(k == 0, F.concat(F.lit("STEGEXIF"), text)).when(k == 1, text).when(k == 2, "").otherwise(F.substring("text", 1, 64))
+    """Whole texts as comments: marked ones, plain ones and, for a quarter of the documents, none. A text that exceeds
+    the carrier's 60,000 bytes is rejected: its comment is null."""
+    k, text = F.col("doc_id") % 4, F.when(F.octet_length("text") <= 59_990, F.col("text"))
+    comment = F.when(k == 0, F.concat(F.lit("STEGEXIF"), text)).when(k == 2, "").otherwise(text)
     return table(spark, sf_dir, "documents").select("doc_id", utf8(comment).alias("user_comment"))
 
 
@@ -123,7 +130,7 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (F.col("vec_id") % 5).cast("int")
     images = s.where(kind < 4).select(F.concat(F.lit("m"), F.col("vec_id")).alias("item_id"), F.when(kind == 3, ".bmp").otherwise(".png").alias("ext"), image_with_samples(kind, F.col("s")).alias("content"))
     sound = s.where(kind == 4).select(F.concat(F.lit("m"), F.col("vec_id")).alias("item_id"), F.lit(".wav").alias("ext"), wav_with_samples(F.col("s"), F.col("vec_id") % 7 == 0).alias("content"))
-    jpegs = comments(spark, sf_dir).select(F.concat(F.lit("c"), F.col("doc_id")).alias("item_id"), F.lit(".jpg").alias("ext"), jpeg_with_comment(F.col("user_comment")).alias("content"))
+    jpegs = comments(spark, sf_dir).where("user_comment IS NOT NULL").select(F.concat(F.lit("c"), F.col("doc_id")).alias("item_id"), F.lit(".jpg").alias("ext"), jpeg_with_comment(F.col("user_comment")).alias("content"))
     return images.union(sound).union(jpegs).withColumn("length", F.length("content").cast("long"))
 
 
@@ -153,6 +160,50 @@ def carrier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("*", utf8(F.concat(F.lit("id:"), F.col("item_id"))).alias("payload"), salt.alias("salt"), nonce.alias("nonce"))
 
 
+@F.pandas_udf(BinaryType())
+def picture(samples: pd.Series, bmp: pd.Series) -> pd.Series:
+    """An RGB image file's bytes of 16 x 16 pixels."""
+
+    def one(values: np.ndarray | None, as_bmp: bool) -> bytes | None:
+        if values is None:
+            return None
+        a = np.asarray(values, np.uint8).reshape(16, 16, 3)
+        if as_bmp:
+            rows = a[::-1, :, ::-1].tobytes()
+            return struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 54, 40, 16, 16, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        body = zlib.compress(b"".join(b"\0" + r.tobytes() for r in a))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 16, 16, 8, 2, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+    return pd.Series([one(v, b) for v, b in zip(samples, bmp, strict=True)])
+
+
+def write_files(items: DataFrame, place: str) -> None:
+    """Marked items (item_id, ext, text, samples, user_comment) as files, one each, in a folder for each extension;
+    every second .png is written as .bmp. Spark's text writer writes bytes as they are and ends them with a line end,
+    which no reader of these formats minds."""
+    number = F.substring("item_id", 2, 30).cast("long")
+    bmp = (F.col("ext") == ".png") & (number % 4 == 0)
+    jpeg = jpeg_with_comment(F.col("user_comment"))
+    tiff = F.call_function("substring", jpeg, F.lit(13), F.length(jpeg) - 14)  # without the JPEG segment around it
+    content = (
+        F.when(F.col("ext") == ".png", picture(F.when(F.col("ext") == ".png", F.col("samples")), bmp))
+        .when(F.col("ext") == ".wav", wav_with_samples(F.col("samples"), F.lit(False)))
+        .when(F.col("ext") == ".jpg", jpeg)
+        .when(F.col("ext") == ".tiff", tiff)
+        .otherwise(utf8(F.col("text")))
+    )
+    files = items.select(content.cast("string").alias("value"), F.when(bmp, ".bmp").otherwise(F.col("ext")).alias("kind"))
+    files.write.option("maxRecordsPerFile", 1).partitionBy("kind").text(place)
+
+
+def needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten patterns from each benchmark item, three to fourteen characters long, as rules."""
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), (1 + 13 * k).cast("int"), (3 + (k + F.col("item_id")) % 12).cast("int")).alias("t"))))
+    each = table(spark, sf_dir, "benchmark").select("item_id", cut.alias("c")).where("c.t <> ''")
+    return each.select(F.concat_ws("-", "item_id", "c.k").alias("name"), utf8(F.col("c.t")).alias("needle"), (F.col("c.k") * 10).cast("int").alias("score"))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, s = F.col("event_id"), lambda n: (F.col("event_id") % n).cast("string")
     reply = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect
 from ..functions.bits import unhex
-from ..operators import envelope, jobs, marks, rollup, routing, rules, triage
+from ..operators import carriers, envelope, jobs, marks, patterns, report, rollup, routing, rules, triage
 from ..schemas import FINDINGS
 from ..sources import files, images
 from ..streaming import screen
@@ -53,6 +53,17 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.substring_index("item_id", "/", -1).alias("item_id"), "ext", "length")
 
 
+@query
+def scan_pruned(spark, sf_dir):
+    """The text files of a directory that also holds other ones, up to a size: both pruned before anything is read."""
+    place = shared(spark, "pruned")
+    texts = fx.table(spark, sf_dir, "benchmark").select("text")
+    texts.write.option("maxRecordsPerFile", 1).text(f"{place}/texts")
+    texts.write.csv(f"{place}/tables")
+    found = files.scan_files(spark, place, extensions=rules.extensions_of("text_whitespace", "text_zerowidth"), most_bytes=250)
+    return found.select("ext", "length", sha(F.col("content"), "sha256"))
+
+
 @query
 def text_items(spark, sf_dir):
     # every fourth text ends in half a character
@@ -97,6 +108,13 @@ def signature_rules(spark, sf_dir):
     return docs.join(rule, F.contains(F.col("content"), F.col("needle"))).select("doc_id", "name", "score")
 
 
+@query
+def match_rules(spark, sf_dir):
+    """Hundreds of patterns cut from the benchmark, looked for in every document by their rarest grams."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", fx.utf8(F.col("text")).alias("content"))
+    return patterns.match_rules(docs, fx.needles(spark, sf_dir))
+
+
 @query
 def trailer_rules(spark, sf_dir):
     """End markers and trailer prefixes as rule tables instead of constants."""
@@ -295,6 +313,28 @@ def scan_report(spark, sf_dir):
     return rollup.report_rows(found.where("analyzer = 'ai_triage'")).groupBy("suspicion", "band", "summary").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def report_table(spark, sf_dir):
+    """All findings written as a report, a batch of it twice, and read again."""
+    place = shared(spark, "report")
+    found = rollup.findings(fx.all_items(spark, sf_dir))
+    for scan in ("first", "second", "first"):
+        report.write_report(found, place, scan)
+    return report.report_counts(report.read_report(spark, place))
+
+
+@query
+def screen_directory(spark, sf_dir):
+    """A directory screened by a stream of its files, then again after more files have come: only those are read."""
+    place = shared(spark, "directory")
+    texts = fx.table(spark, sf_dir, "benchmark")
+    for half in (0, 1):
+        texts.where(F.col("item_id") % 2 == half).select("text").write.option("maxRecordsPerFile", 1).text(f"{place}/files/{half}")
+        screen.screen_directory(spark, f"{place}/files", f"{place}/report", f"{place}/state", "all", extensions=(".txt",)).awaitTermination()
+    rows = report.read_report(spark, f"{place}/report")
+    return rows.groupBy("batch", "analyzer", "band").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def suspicion_by_analyzer_band(spark, sf_dir):
     return rollup.by_analyzer_and_band(rollup.findings(fx.all_items(spark, sf_dir)))
@@ -475,14 +515,43 @@ def mark_payloads(spark, sf_dir):
 
 @query
 def recover_payloads(spark, sf_dir):
-    """The marked items routed, recovered, unpacked and opened again; those of every fifth hundred of ids have no key."""
+    """The marked items routed, recovered, unpacked and opened again; those of every fifth hundred of ids have no key.
+    The keys come from a store, so those of the second job are not derived again."""
     items = fx.carrier_items(spark, sf_dir)
-    keys = envelope.derive_keys(items.where("salt IS NOT NULL"), PASSWORD)
-    known = envelope.derive_keys(items.where("salt IS NOT NULL AND (cast(substring(item_id, 2) AS long) div 100) % 5 > 0"), PASSWORD)
+    store = envelope.KeyStore(spark, shared(spark, "keys"))
+    keys = store.keys(items, PASSWORD)
+    known = store.keys(items.where("(cast(substring(item_id, 2) AS long) div 100) % 5 > 0"), PASSWORD)
     found = jobs.recover_items(jobs.mark_items(items, keys).where("status = 'ok'"), known)
     return found.select("item_id", "carrier", "status", F.decode("payload", "UTF-8").alias("payload"))
 
 
+@query
+def recover_files(spark, sf_dir):
+    """The marked items written as PNG, BMP, WAV, JPEG, TIFF and text files, and recovered from the files' bytes."""
+    items, place = fx.carrier_items(spark, sf_dir), shared(spark, "carriers")
+    store = envelope.KeyStore(spark, shared(spark, "keys"))
+    keys = store.keys(items, PASSWORD)
+    fx.write_files(jobs.mark_items(items, keys).where("status = 'ok'"), place)
+    known = store.keys(items.where("(cast(substring(item_id, 2) AS long) div 100) % 5 > 0"), PASSWORD)
+    # Spark names all of them .txt, and the folders tell what they are
+    written = files.scan_files(spark, place).withColumn("ext", F.regexp_extract("item_id", "/kind=([^/]+)/", 1))
+    return jobs.recover_files(written, known).select("carrier", "status", F.decode("payload", "UTF-8").alias("payload"), "error")
+
+
+@query
+def custom_carrier(spark, sf_dir):
+    """A caller's carrier for .bin texts beside the built-in ones: the envelope in hexadecimal digits at the end."""
+    own = carriers.Carriers()
+    own.register(
+        carriers.Carrier(
+            "text_hex", (".bin",), "text", lambda text, blob: F.concat(text, F.lit("<!--"), F.hex(blob), F.lit("-->")),
+            lambda text: F.unhex(F.nullif(F.regexp_extract(text, "<!--([0-9A-F]*)-->$", 1), F.lit(""))), lambda text: F.lit(1_000_000),
+        )
+    )
+    marked = jobs.mark_items(fx.carrier_items(spark, sf_dir), own=own).where("status = 'ok'")
+    return jobs.recover_items(marked, own=own).select("item_id", "carrier", "status", F.decode("payload", "UTF-8").alias("payload"))
+
+
 # scorers
 def _items(spark, sf_dir):
     return fx.file_items(spark, sf_dir).select("item_id", "length", detect.known_signatures(F.col("content")).alias("signals"))

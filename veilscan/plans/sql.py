@@ -48,16 +48,16 @@ FILES = """files AS (
     SELECT doc_id::VARCHAR AS item_id,
         ['.png', '.jpg', '.jpeg', '.gif', '.pdf', '.txt', '.md', '.bmp', '.wav', '.bin'][doc_id % 10 + 1] AS ext,
         ['49454E44AE426082', 'FFD9', 'FFD9', '3B', '2525454F46', '', '', '', '', ''][doc_id % 10 + 1] AS m,
-        hex(encode(text)) || m || ['', '504B030400000000', '4D5A9000', '53544547415050000000026869', '4F50454E535445474F', '0A'][(doc_id // 10) % 6 + 1] AS h,
-        text, doc_id
-    FROM documents)"""
+        hex(encode(text)) || m || ['', '504B030400000000', '4D5A9000', '53544547415050' || lpad(hex(octet_length(own)), 8, '0') || hex(own), '4F50454E535445474F', '0A'][(doc_id // 10) % 6 + 1] AS h,
+        text, doc_id, own
+    FROM (SELECT *, encode(substr('#' || doc_id || '-hidden', 1, 1 + (doc_id % 9)::INT)) AS own FROM documents))"""
 TRAILERS = "trailers AS (SELECT *, CASE WHEN m <> '' THEN regexp_extract(h, '^(?:..)*' || m || '((?:..)*)$', 1) ELSE '' END AS t FROM files)"
 SAMPLES = "samples AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)::int) AS s, lpad(hex(vec_id % 65536), 4, '0') AS p FROM embeddings)"
 PAYLOADS = "payloads AS (SELECT item_id AS carrier_id, 1 AS part, encode(text) AS p FROM benchmark UNION ALL SELECT item_id, 2, encode(substr(text, 1, 1)) FROM benchmark)"
 COMMENTS = """comments AS (
     SELECT doc_id, encode(t) AS c, t FROM (
-        SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'STEGEXIF' || w WHEN 1 THEN w WHEN 2 THEN '' ELSE substr(text, 1, 64) END AS t
-        FROM (SELECT *, CASE WHEN octet_length(encode(text)) <= 59990 THEN text ELSE substr(text, 1, 100) END AS w FROM documents)))"""
+        SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'STEGEXIF' || w WHEN 2 THEN '' ELSE w END AS t
+        FROM (SELECT *, CASE WHEN octet_length(encode(text)) <= 59990 THEN text END AS w FROM documents)))"""
 # the samples of images and sound files as a detector sees them: grey three times, RGB, RGBA without alpha
 MEDIA = """media AS (
     SELECT 'm' || vec_id AS item_id, vec_id, CASE vec_id % 5 WHEN 3 THEN '.bmp' WHEN 4 THEN '.wav' ELSE '.png' END AS ext, vec_id % 35 = 14 AS bad,
@@ -90,7 +90,7 @@ PAIRS = "list_sum(list_transform(range(1, len(s) // 2 + 1), lambda i: 2 * least(
 SIGNALS = f"""ended AS (
     SELECT item_id, doc_id, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(x, '[ \\t]$') AND regexp_matches(x, '[^\\s\\x{{85}}\\x{{a0}}\\x1c-\\x1f\\x0b]'))) AS f
     FROM (SELECT item_id, doc_id, {lines('text')} AS l FROM (
-        SELECT item_id, doc_id, text || CASE (doc_id // 10) % 6 WHEN 0 THEN '' WHEN 1 THEN 'PK' || chr(3) || chr(4) || chr(1) WHEN 3 THEN 'STEGAPP' || chr(1) || 'hi' WHEN 4 THEN 'OPENSTEGO' ELSE chr(10) END AS text
+        SELECT item_id, doc_id, text || CASE (doc_id // 10) % 6 WHEN 0 THEN '' WHEN 1 THEN 'PK' || chr(3) || chr(4) || chr(1) WHEN 3 THEN 'STEGAPP' || chr(1) || decode(own) WHEN 4 THEN 'OPENSTEGO' ELSE chr(10) END AS text
         FROM files WHERE ext IN ('.txt', '.md') AND (doc_id // 10) % 6 <> 2  -- 0x90 is no UTF-8
     ))
 ), hits AS (
@@ -121,7 +121,7 @@ MATCHED = """matched AS (
 def found(media: bool = True) -> str:
     """CTEs up to ``found`` over the file items, with or without the media items."""
     some = "" if media else "WHERE false"
-    every = f"every_item AS (SELECT item_id, ext FROM files UNION ALL SELECT item_id, ext FROM media UNION ALL SELECT 'c' || doc_id, '.jpg' FROM comments)"
+    every = f"every_item AS (SELECT item_id, ext FROM files UNION ALL SELECT item_id, ext FROM media UNION ALL SELECT 'c' || doc_id, '.jpg' FROM comments WHERE t IS NOT NULL)"
     samples = SAMPLES.removesuffix(")") + f" {some})"
     comments = COMMENTS.removesuffix("documents)))") + f"documents {some})))"
     return f"""WITH {FILES}, {TRAILERS}, {samples}, {MEDIA}, {comments}, {NEEDLES}, {SIGNALS}, {every}, {MATCHED},
@@ -181,12 +181,21 @@ def _sql() -> dict[str, str]:
     unpacked = f"b AS (SELECT doc_id, {pack('hex(encode(text))')} AS h, octet_length(encode(text)) AS n FROM documents)"
     ext_sql = r"lower(regexp_extract(url, '[^/.][^/]*?(\.[^./]+)$', 1))"
     return {
+        "scan_pruned": "SELECT '.txt' AS ext, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS sha256 FROM benchmark WHERE octet_length(encode(text)) < 250",
+        "match_rules": """WITH needles AS (
+                SELECT item_id || '-' || k AS name, (k * 10)::INTEGER AS score, substr(text, (1 + 13 * k)::BIGINT, (3 + (k + item_id) % 12)::BIGINT) AS needle FROM benchmark, range(10) r(k))
+            SELECT doc_id, name, score FROM documents JOIN needles ON needle <> '' AND contains(text, needle)""",
+        "report_table": FOUND + f"SELECT scan, analyzer, {BAND} AS band, count(*) AS n FROM found, (VALUES ('first'), ('second')) s(scan) GROUP BY ALL",
+        "screen_directory": f"""WITH {NEEDLES}, hits AS (SELECT item_id, max(score) AS s FROM benchmark JOIN needles ON contains(text, plain) GROUP BY item_id
+            ), each AS (SELECT item_id % 2 AS batch, unnest(['text_whitespace', 'text_zerowidth', 'signatures', 'ai_triage']) AS analyzer, coalesce(s, 0) AS s FROM benchmark LEFT JOIN hits USING (item_id)
+            ), scored AS (SELECT batch, analyzer, CASE WHEN analyzer LIKE 'text%' THEN 0 ELSE s END AS suspicion FROM each)
+            SELECT batch, analyzer, {BAND} AS band, count(*) AS n FROM scored GROUP BY ALL""",
         "text_items": "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN sha256(text) END AS text_sha256, doc_id % 4 = 0 AS bad FROM documents",
         "text_lenient": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
         "image_samples": f"""WITH {SAMPLES}, {MEDIA} SELECT item_id, CASE vec_id % 5 WHEN 0 THEN 8 WHEN 2 THEN 4 ELSE 7 END AS width, CASE vec_id % 5 WHEN 0 THEN 8 WHEN 2 THEN 4 ELSE 3 END AS height,
             lower(array_to_string(list_transform(s, lambda v: lpad(hex(v), 2, '0')), '')) AS rgb_hex, false AS bad FROM media WHERE ext <> '.wav'""",
         "wav_samples": f"WITH {SAMPLES} SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE len(s)::INTEGER END AS n, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE list_sum(s) END::BIGINT AS total, vec_id % 7 = 0 AS bad FROM samples",
-        "exif_comment": f"WITH {COMMENTS} SELECT doc_id, hex(c) AS comment_hex, false AS bad FROM comments",
+        "exif_comment": f"WITH {COMMENTS} SELECT doc_id, hex(c) AS comment_hex, c IS NULL AS bad FROM comments",
         "signature_rules": f"SELECT d.doc_id, s.name, s.score FROM documents d JOIN (VALUES {values((n, x, s) for n, x, s, _ in SIGNATURES)}) s(name, needle, score) ON contains(d.text, s.needle)",
         "trailer_rules": f"WITH {FILES}, {TRAILERS} SELECT item_id, (len(t) // 2)::INTEGER AS bytes, {POLYGLOT} AS label FROM trailers WHERE m <> ''",
         "analyzer_catalog": f"WITH {FILES}, {CATALOG_SQL}, n AS (SELECT ext, count(*) AS n FROM files GROUP BY ext) SELECT ord AS \"order\", name, kind, can_embed = 1 AS can_embed, can_extract = 1 AS can_extract, coalesce(sum(n), 0)::BIGINT AS n_items FROM catalog LEFT JOIN n USING (ext) GROUP BY ALL",
@@ -240,7 +249,7 @@ def _sql() -> dict[str, str]:
         "mark_trailing_ws": f"WITH {TEXT_WS} SELECT doc_id, sha256({ws_marked}) AS sha256 FROM text_ws",
         "recover_trailing_ws": f"WITH {TEXT_WS}, m AS (SELECT doc_id, regexp_extract(array_to_string(list_transform(list_transform(l, lambda x, i: CASE WHEN i <= 8 THEN regexp_replace(x, '[ \\t]+$', '') || CASE substr({bits('encode(p)')}, i, 1) WHEN '1' THEN chr(9) ELSE ' ' END ELSE x END), lambda x: CASE WHEN ends_with(x, chr(9)) THEN '1' WHEN ends_with(x, ' ') THEN '0' ELSE 'x' END), ''), '^[01]*', 0) AS b FROM text_ws) SELECT doc_id, {from_bits('b')} AS payload_hex FROM m",
         "mark_trailer": f"WITH {FILES}, x AS (SELECT item_id, CASE WHEN {aligned('FFD9')} THEN regexp_extract(h, '^((?:..)*FFD9)', 1) END AS b FROM files) SELECT item_id, sha256(b || '53544547415050' || lpad(hex(octet_length(encode(item_id))), 8, '0') || hex(encode(item_id))) AS sha256 FROM x",
-        "recover_trailer": f"WITH {FILES} SELECT item_id, '6869' AS payload_hex FROM files WHERE {aligned('53544547415050')}",
+        "recover_trailer": f"WITH {FILES} SELECT item_id, hex(own) AS payload_hex FROM files WHERE {aligned('53544547415050')}",
         "mark_samples": f"WITH {SAMPLES} SELECT vec_id, array_to_string({MARKED_SAMPLES}, ',') AS samples FROM samples",
         "recover_samples": f"WITH {SAMPLES}, m AS (SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN {MARKED_SAMPLES} ELSE s END AS s FROM samples), b AS (SELECT vec_id, array_to_string(list_transform(s, lambda v: v & 1), '') AS b FROM m), n AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(b, 1, 32), ''), lambda c: c::BIGINT)), lambda x, y: 2 * x + y) AS n FROM b) SELECT vec_id, CASE WHEN 32 + 8 * n <= 64 THEN {from_bits('substr(b, 33, 8 * n)')} END AS payload_hex, CASE WHEN 32 + 8 * n <= 64 THEN 'ok' ELSE 'declared_length_exceeds' END AS status FROM n",
         "recover_exif": f"WITH {COMMENTS} SELECT doc_id, CASE WHEN {exif_case} THEN substr(hex(c), 17) END AS payload_hex, CASE WHEN {exif_case} THEN 'ok' ELSE 'no_mark' END AS status FROM comments",
@@ -256,6 +265,9 @@ def _sql() -> dict[str, str]:
                 CASE WHEN status <> 'ok' THEN hex(c) ELSE '5354454745584946' || p END)) END AS sha256 FROM coded""",
         "recover_payloads": f"""WITH {marked_items} SELECT item_id, carrier, CASE WHEN sealed AND (id // 100) % 5 = 0 THEN 'key_needed' ELSE 'ok' END AS status, CASE WHEN NOT (sealed AND (id // 100) % 5 = 0) THEN 'id:' || item_id END AS payload
             FROM placed WHERE status = 'ok'""",
+        "recover_files": f"""WITH {marked_items} SELECT carrier, CASE WHEN sealed AND (id // 100) % 5 = 0 THEN 'key_needed' ELSE 'ok' END AS status, CASE WHEN NOT (sealed AND (id // 100) % 5 = 0) THEN 'id:' || item_id END AS payload, NULL::VARCHAR AS error
+            FROM placed WHERE status = 'ok'""",
+        "custom_carrier": f"""WITH {marked_items} SELECT item_id, coalesce(carrier, 'text_hex') AS carrier, 'ok' AS status, 'id:' || item_id AS payload FROM placed WHERE NOT sealed AND (carrier IS NULL OR status = 'ok')""",
         "triage_custom": f"{with_signatures} SELECT item_id, suspicion AS heuristic, least(100, 40 * n)::int AS suspicion, n || ' signals' AS explanation, NULL::VARCHAR AS error FROM told",
         "triage_errors": f"{with_signatures} SELECT item_id, suspicion AS heuristic, CASE WHEN n = 0 THEN 0 ELSE 100 END AS suspicion, n = 0 AS failed FROM told",
         "triage_prompt": f"WITH {FILES}, hits AS ({signature_case}) {sig_prompt}",

@@ -14,17 +14,30 @@ from pyspark.sql import functions as F
 
 from ..operators.routing import extension
 
+#: What Spark's source of binary files gives.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
-def scan_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """path, ext, length and content of every regular file below ``root``.
 
-    ``pattern`` prunes by name before anything is read; filters on length reach the source, and ``content`` is read
-    only where it is used.
+def any_case(extensions: tuple[str, ...]) -> str:
+    """A glob for names with one of the extensions, in any letter case."""
+    return "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
+def scan_files(spark: SparkSession, root: str, pattern: str | None = None, extensions: tuple[str, ...] | None = None, most_bytes: int | None = None, stream: bool = False) -> DataFrame:
+    """path, ext, length and content of every regular file below ``root``; as a stream of files if ``stream``.
+
+    ``pattern``, or ``extensions`` (in any letter case; ``rules.extensions_of`` has those of chosen detectors), prunes
+    by name before anything is read; ``most_bytes`` and other filters on length reach the source, so that longer files
+    are not opened. ``content`` is read only where it is used.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
+    if pattern and extensions:
+        raise ValueError("pattern or extensions, not both")
+    reader = (spark.readStream.schema(BINARY_FILE) if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
+    if pattern or extensions:
+        reader = reader.option("pathGlobFilter", pattern or any_case(extensions))
     files = reader.load(root)
+    if most_bytes is not None:
+        files = files.where(F.col("length") <= most_bytes)
     return files.select(F.col("path").alias("item_id"), extension(F.col("path")).alias("ext"), "length", "content")
 
 
@@ -135,8 +148,11 @@ def exif_comment(items: DataFrame, content: str = "content") -> DataFrame:
         for batch in batches:
             rows = []
             for raw in batch:
+                if raw is None:
+                    rows.append((None, "no content"))
+                    continue
                 try:
-                    rows.append((user_comment(raw or b""), None))
+                    rows.append((user_comment(raw), None))
                 except struct.error as error:
                     rows.append((None, f"broken EXIF: {error}"))
             yield pd.DataFrame(rows, columns=["user_comment", "error"])

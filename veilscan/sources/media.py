@@ -12,41 +12,117 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.detect import COMMENT_MARK
 from .files import user_comment
-from .images import rgb
+from .images import BROKEN, read_image
 
 # The extensions of each carrier.
 IMAGE, SOUND, COMMENT = (".png", ".bmp"), (".wav",), (".jpg", ".jpeg", ".tiff")
+MARK = bytes.fromhex(COMMENT_MARK)
 FACTS = "struct<n:long,ones:long,pair_ratio:double,comment:binary,error:string>"
 
 
-def statistics(samples: np.ndarray) -> tuple[int, int, float | None]:
-    """(samples, how many are odd, mean of 2 * min / max(sum, 1) over adjacent pairs; an odd last one is left out)."""
-    half = len(samples) // 2
-    even, odd = samples[: 2 * half : 2].astype(np.float64), samples[1 : 2 * half : 2].astype(np.float64)
-    return len(samples), int((samples & 1).sum()), float(np.mean(2 * np.minimum(even, odd) / np.maximum(even + odd, 1))) if half else None
+#: Frames of sound read at once.
+FRAMES = 1 << 18
 
 
-def sound(raw: bytes) -> np.ndarray:
-    """16-bit samples, channels interleaved."""
-    with wave.open(io.BytesIO(raw)) as f:
-        if f.getsampwidth() != 2:
-            raise ValueError(f"{8 * f.getsampwidth()}-bit samples")
-        return np.frombuffer(f.readframes(f.getnframes()), "<i2")
+def statistics(blocks: Iterator[np.ndarray]) -> tuple[int, int, float | None]:
+    """(samples, how many are odd, mean of 2 * min / max(sum, 1) over adjacent pairs; an odd last one is left out) of
+    samples that come in blocks: only sums and a sample without its partner are kept between them."""
+    n, ones, pairs, total, rest = 0, 0, 0, 0.0, np.zeros(0, np.int64)
+    for block in blocks:
+        n, ones = n + len(block), ones + int((block & 1).sum())
+        samples = np.concatenate([rest, block]) if len(rest) else block
+        half = len(samples) // 2
+        even, odd = samples[: 2 * half : 2].astype(np.float64), samples[1 : 2 * half : 2].astype(np.float64)
+        total, pairs, rest = total + float((2 * np.minimum(even, odd) / np.maximum(even + odd, 1)).sum()), pairs + half, samples[2 * half :]
+    return n, ones, total / pairs if pairs else None
+
+
+def image_blocks(raw: bytes) -> tuple[int, Iterator[np.ndarray]]:
+    """How many samples an image has, and its samples in blocks."""
+    image = read_image(raw)
+    return 3 * image.width * image.height, (band.reshape(-1) for band in image.bands)
+
+
+def sound_blocks(raw: bytes) -> tuple[int, Iterator[np.ndarray]]:
+    """How many 16-bit samples (channels interleaved) a WAV file has, and its samples in blocks."""
+    source = wave.open(io.BytesIO(raw))
+    if source.getsampwidth() != 2:
+        raise ValueError(f"{8 * source.getsampwidth()}-bit samples")
+
+    def blocks() -> Iterator[np.ndarray]:
+        while data := source.readframes(FRAMES):
+            yield np.frombuffer(data, "<i2", len(data) // 2)
+
+    return source.getnframes() * source.getnchannels(), blocks()
+
+
+#: What broken carriers raise.
+BAD = (*BROKEN, wave.Error, EOFError)
 
 
 def _facts(ext: str, raw: bytes) -> tuple:
     try:
         if ext in IMAGE:
-            return *statistics(rgb(raw).reshape(-1)), None, None
+            return *statistics(image_blocks(raw)[1]), None, None
         if ext in SOUND:
-            n, ones, _ = statistics(sound(raw))
+            n, ones, _ = statistics(sound_blocks(raw)[1])
             return n, ones, None, None, None
         return None, None, None, user_comment(raw), None
-    except (ValueError, wave.Error, EOFError, struct.error) as error:
+    except BAD as error:
         return None, None, None, None, f"{ext}: {error or type(error).__name__}"
 
 
+def embedded(total: int, blocks: Iterator[np.ndarray]) -> tuple[bytes | None, str]:
+    """(payload, status) of marked samples: 32 length bits are read first, then only the samples they declare. The
+    status is that of ``marks.recover_samples``."""
+    if total < 32:
+        return None, "too_short"
+    need, bits, size = 32, [], None
+    held = 0
+    while True:
+        if held >= need:
+            every = np.concatenate(bits)
+            if size is not None:
+                return np.packbits(every[32:need]).tobytes(), "ok"
+            size = int.from_bytes(np.packbits(every[:32]).tobytes(), "big")
+            need = 32 + 8 * size
+            if need > total:
+                return None, "declared_length_exceeds"
+            continue
+        block = next(blocks, None)
+        if block is None:
+            raise ValueError("cut short")
+        bits.append((block[: need - held if size is not None else len(block)] & 1).astype(np.uint8))
+        held += len(bits[-1])
+
+
+def hidden(ext: Column, content: Column) -> Column:
+    """struct(payload, status, error) of what image, sound and comment carriers hold; nulls for every other item, whose
+    bytes never leave the JVM. Contents are decoded only as far as the payload goes."""
+
+    def one(kind: str, raw: bytes) -> tuple:
+        try:
+            if kind in IMAGE:
+                return *embedded(*image_blocks(raw)), None
+            if kind in SOUND:
+                return *embedded(*sound_blocks(raw)), None
+            comment = user_comment(raw)
+            marked = comment.startswith(MARK)
+            return comment[len(MARK) :] if marked else None, "ok" if marked else "no_mark", None
+        except BAD as error:
+            return None, "broken", f"{kind}: {error or type(error).__name__}"
+
+    @F.pandas_udf("struct<payload:binary,status:string,error:string>")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for kinds, contents in batches:
+            rows = [one(k, c) if c is not None else (None,) * 3 for k, c in zip(kinds, contents, strict=True)]
+            yield pd.DataFrame(rows, columns=["payload", "status", "error"])
+
+    return read(ext, F.when(ext.isin(*IMAGE, *SOUND, *COMMENT), content))
+
+
 def facts(ext: Column, content: Column) -> Column:
     """FACTS of image, sound and comment carriers; nulls for every other item, whose bytes never leave the JVM."""
 
