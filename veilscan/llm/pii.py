@@ -1,7 +1,9 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust their score.
 
 DataFrame functions only. A pattern's matches and what lies between them (``split`` with the same pattern) give every
-match's place in code points. Patterns start only where a run of their characters starts or where the last match
+match's place in code points: the lengths are summed up in blocks of about the square root of their number, so no array
+grows by one element for every match. What stands around a span, and what redaction leaves between spans, is cut out
+of the text's pieces of PIECE code points and not counted from its start. Patterns start only where a run of their characters starts or where the last match
 ended, and never give characters back where that cannot matter, so long runs stay linear.
 """
 
@@ -19,6 +21,8 @@ SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 LEAST_SCORE = 0.5
 #: Code points before and after a span in which context words count.
 REACH = 40
+#: Code points of the pieces that texts are cut from.
+PIECE = 1024
 
 
 def _digits(text: Column) -> Column:
@@ -102,38 +106,78 @@ MORE_KINDS = (
 )
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often and wherever it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _before_each(values: Column, zero: Column, step) -> Column:
+    """For each of ``values`` (bound, not computed) what ``step``, which is associative, makes of ``zero`` and all
+    values before it. A block is folded by itself, then what lies before it is added to its results."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    nothing = F.array().cast("array<int>")
+
+    def folded(block: Column) -> Column:
+        start = F.struct(zero.alias("all"), nothing.alias("before"))
+        return F.aggregate(block, start, lambda s, x: F.struct(step(s["all"], x).alias("all"), F.array_append(s["before"], s["all"]).alias("before")))
+
+    def joined(blocks: Column) -> Column:
+        offsets = folded(F.transform(blocks, lambda b: b["all"]))["before"]
+        return F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(b["before"], lambda x: step(o, x))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1)), lambda k: folded(F.slice(values, k * width + 1, width)))
+    return F.when(F.size(values) > 0, _with(blocks, joined)).otherwise(nothing)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of the text whose ``pieces`` these are."""
+    first = F.floor(start / PIECE).cast("int")
+    own = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+    return F.when(end > start, F.substring(F.array_join(own, ""), start - first * PIECE + 1, end - start)).otherwise("")
+
+
 def _located(text: Column, matches: Column, pattern: str, takes: int) -> Column:
     """array<struct<start, end, text>> of ``matches``, the matches of ``pattern`` in ``text``; see ``Kind.takes``."""
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["skip"]
-        end = begin + F.length(x["text"])
-        at = begin + takes if takes else end
-        return F.struct(at.alias("at"), F.array_append(state["out"], F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text"))).alias("out"))
+    def placed(steps: Column) -> Column:
+        lengths = F.transform(steps, lambda x: x["skip"] + (takes or F.length(x["text"])))
+        starts = _with(lengths, lambda n: _before_each(n, F.lit(0), lambda a, b: a + b))
 
-    return F.aggregate(steps, start, step, lambda state: state["out"])
+        def span(x: Column, before: Column) -> Column:
+            begin = before + x["skip"]
+            return F.struct(begin.alias("start"), (begin + F.length(x["text"])).alias("end"), x["text"].alias("text"))
+
+        return F.zip_with(steps, starts, span)
+
+    between = F.split(text, pattern, -1)
+    return _with(F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("text"))), placed)
 
 
 def _confirmed(kind: Kind, text: Column, matches: Column) -> Column:
     """The spans of one kind from its matches in ``text``, checked and scored."""
     spans = F.filter(_located(text, matches, kind.pattern, kind.takes), lambda s: kind.confirm(s["text"]))
 
-    def scored(s: Column) -> Column:
-        before = F.greatest(s["start"] - REACH, F.lit(0))
-        left, right = F.substring(text, before + 1, s["start"] - before), F.substring(text, s["end"] + 1, F.lit(REACH))
+    def scored(whole: Column, s: Column) -> Column:
+        pieces, n = whole["pieces"], whole["n"]
+        before, after = F.greatest(s["start"] - REACH, F.lit(0)), F.least(s["end"] + REACH, n)
+        left, right = _part(pieces, before, s["start"]), _part(pieces, s["end"], after)
         # a word that the reach cuts off is none
         left = F.when(before > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-        right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
+        right = F.when(after == s["end"] + REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
         near = F.concat(left, F.lit(" "), right)
         words = rf"(?<![\p{{L}}\p{{N}}])(?:{kind.context})(?![\p{{L}}\p{{N}}])"
         score = F.lit(kind.score) + F.when(F.lower(near).rlike(words), F.lit(kind.bonus)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.least(score, F.lit(1.0)).alias("score"))
 
-    kept = F.filter(F.transform(spans, scored), lambda s: s["score"] >= LEAST_SCORE)
-    return F.when(F.size(matches) > 0, kept).otherwise(F.array().cast(SPAN))
+    def kept(whole: Column) -> Column:
+        return F.filter(F.transform(spans, lambda s: scored(whole, s)), lambda s: s["score"] >= LEAST_SCORE)
+
+    whole = F.struct(_pieces(text).alias("pieces"), F.length(text).alias("n"))
+    return F.when(F.size(matches) > 0, _with(whole, kept)).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", kinds: tuple[Kind, ...] = (*BASE_KINDS, *MORE_KINDS)) -> DataFrame:
@@ -142,7 +186,8 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", kinds: tupl
     Places are code points from 0, ends exclusive. Null texts count as empty and have no spans. Matches that their
     check refuses are dropped; the score of the others rises if a context word stands within REACH code points, and
     spans below LEAST_SCORE are left out. Kinds are found independently, so spans of two kinds may overlap. Other
-    columns stay as they are, whatever their names; only an existing ``into`` is replaced.
+    columns stay as they are, whatever their names; only an existing ``into`` is replaced. Repeated rows have the same
+    spans each, and an empty table gives no rows.
     """
     whole_text, *names = unused(docs, "_text", *[f"_{k.name}" for k in kinds])
     whole = docs.withColumn(whole_text, text_or_empty(text))
@@ -157,15 +202,17 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", kinds: tupl
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
+    ends = lambda sorted_: F.transform(sorted_, lambda s: -s["neg"])
 
-    def step(state: Column, s: Column) -> Column:
-        end = -s["neg"]
-        new = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], end).alias("at"), F.when(new, piece).otherwise(state["out"]).alias("out"))
+    def replaced(given: Column) -> Column:
+        covered = _with(ends(given["spans"]), lambda e: _before_each(e, F.lit(0), lambda a, b: F.greatest(a, b)))
+        # what lies before a span that starts where nothing covers it, and its kind
+        told = lambda s, at: F.when(s["start"] >= at, F.concat(_part(given["pieces"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        last = F.array_max(ends(given["spans"]))
+        return F.concat(F.array_join(F.zip_with(given["spans"], covered, told), ""), _part(given["pieces"], last, given["n"]))
 
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    bound = F.struct(ordered.alias("spans"), _pieces(text).alias("pieces"), F.length(text).alias("n"))
+    return F.when(F.size(spans) > 0, _with(bound, replaced)).otherwise(text)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
