@@ -61,13 +61,27 @@ def test_few_vectors_are_read_in_full(spark):
     """Of the driver's embeddings the cells leave a few candidates per query; the other vectors are not read for it."""
     vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     exact = stored(search.integral(vectors.select("vec_id", "embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    low, high = exact.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
-    step = (high - low + 1.0) / search.CELLS
-    cells = exact.select("row", search.cells_of(F.col("v"), low, step).alias("cells"))
-    n, found = exact.count(), search.candidates(cells, exact, "vec_id % 50 = 0", low, step, 5)
+    bounds = search.fitted(exact)
+    n, found = exact.count(), search.candidates(search.cell_file(exact, bounds), exact, "vec_id % 50 = 0", bounds, 5)
     assert found.count() < 0.05 * n * exact.where("vec_id % 50 = 0").count()
 
 
+def test_an_outlier_widens_few_cells(spark):
+    """One component of one vector is far away; candidates stay below twice those without it."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(0, 0.3, (2000, 16))
+    counts = []
+    for k in range(2):
+        rows[3, 2] = rows[3, 2] if k == 0 else 50.0
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        exact = stored(search.integral(frame).withColumn("row", F.monotonically_increasing_id()), "vectors")
+        bounds = search.fitted(exact)
+        counts.append(search.candidates(search.cell_file(exact, bounds), exact, "vec_id % 50 = 0", bounds, 5).count())
+        plain = [(i, np.floor(256 * v)) for i, v in enumerate(rows)]
+        assert sorted(map(tuple, search.top_k(frame, "vec_id % 50 = 0").collect())) == plain_top(plain, 5, 50)
+    assert counts[1] < 2 * counts[0] < 0.1 * 40 * 2000
+
+
 def plain_places(text):
     text = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
@@ -232,6 +246,27 @@ def test_long_runs_end(spark):
     assert {r["spans"] for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id <> 4").collect()} == {""}
 
 
+def test_many_matches_in_one_text(spark):
+    """Work follows the matches: ten times as many take about ten times as long, not a hundred times."""
+    import time
+
+    def text(n):
+        return "".join(f"{i % 256}.{i // 256 % 256}.1.2 " for i in range(n))
+
+    times = []
+    for n in (5_000, 50_000):
+        began = time.time()
+        frame = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        row = pii.find_pii(frame).select(F.size("pii").alias("n"), pii.redact(F.col("text"), F.col("pii")).alias("clean"), F.col("pii")[n - 1]["end"].alias("end")).first()
+        assert row["n"] == n and row["clean"] == "[IP] " * n and row["end"] == len(text(n)) - 1
+        times.append(time.time() - began)
+    assert times[1] < 10 + 12 * times[0]
+    texts = {4: "1.2." * 50_000, 5: "1.2." * 2_000}  # plain patterns take the square of such a run
+    rows = {r["doc_id"]: r for r in pii.pii_report(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    check_pii([rows[5]], texts)
+    assert rows[4]["n_ip"] == 25_000 and rows[4]["spans"].endswith("ip:199992:199999")
+
+
 def test_more_kinds_and_redaction(spark):
     text = "iban GB82 WEST 1234 5698 7654 32, not GB83 WEST 1234 5698 7654 32; ssn 123-45-6789; id 987-65-4321; write to a@b.example or +1 555 555 2222 today"
     found = pii.find_pii(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, score string"))
