@@ -382,6 +382,8 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 GROUP_TEXTS, GROUP_BYTES = 4000, 64 << 20
 #: Bytes of shingle sets that are broadcast at once.
 RING_BYTES = 32 << 20
+#: Pivots that a large group has in a round, and groups (numbers) that are broadcast at most.
+PIVOTS, GROUPS_SENT = 64, 1 << 18
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:
@@ -452,35 +454,98 @@ def _ring_links(core: DataFrame, ring: DataFrame) -> DataFrame | None:
     return out
 
 
+def _of_groups(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``groups`` (_group, ...), which are broadcast if they are few: then no hot group is shuffled."""
+    few = groups.count() <= GROUPS_SENT
+    return rows.join(F.broadcast(groups) if few else groups, "_group", how)
+
+
+def _chosen_pivots(left: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
+    """_group, _row and _set of the rows that are pivots: about PIVOTS of each group, chosen by hash, and its first row."""
+    first = left.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_first"))
+    chance = F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(1 << 30)) < F.lit(PIVOTS * (1 << 30)) / F.col("_n")
+    return _of_groups(left, sizes.select("_group", "_n").join(first, "_group"), "inner").where(chance | (F.col("_row") == F.col("_first"))).select("_group", "_row", "_set")
+
+
+def _unlike(pivots: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """Pivots of one group without those that are linked to an earlier one: they would settle the same sets again."""
+    kept: list[tuple[int, np.ndarray]] = []
+    for row, own in pivots:
+        shared = [len(np.intersect1d(own, other, assume_unique=True)) for _, other in kept]
+        if not any(5 * s >= 4 * (len(own) + len(other) - s) for s, (_, other) in zip(shared, kept, strict=True)):
+            kept.append((row, own))
+    return kept
+
+
+MEASURED = "_row long, _group long, doc_id long, _set array<long>, _pivot long, _same long, _all long"
+
+
+def _measured(left: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Every row of ``left`` with each pivot of its group that it shares six tenths or more with (MEASURED), or with
+    none. Pivots pass in blocks of bounded bytes, each broadcast, over the rows of their groups."""
+    size = pivots.agg(F.sum(F.size("_set") * 8 + 32)).first()[0] or 0
+    blocks, out = -(-size // RING_BYTES), None
+    for b in range(blocks):
+        own = F.pmod(F.xxhash64("_group"), F.lit(blocks)) == b
+        held: dict[int, list[tuple]] = {}
+        for r in pivots.where(own).orderBy("_row").toArrow().to_pylist():
+            held.setdefault(r["_group"], []).append((r["_row"], np.sort(np.array(r["_set"], np.int64))))
+        sent = left.sparkSession.sparkContext.broadcast({g: _unlike(some) for g, some in held.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, found = [], []
+                for i, (row, group, values) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_row", "_group", "_set")], strict=True)):
+                    mine, before = np.sort(np.array(values, np.int64)), len(found)
+                    for pivot, other in sent.value.get(group, []):
+                        shared = len(mine) if pivot == row else len(np.intersect1d(mine, other, assume_unique=True))
+                        every = len(mine) + len(other) - shared
+                        if pivot == row or 5 * shared >= 3 * every:
+                            found.append((pivot, shared, every))
+                    if len(found) == before:
+                        found.append((None, None, None))
+                    at += [i] * (len(found) - before)
+                same = batch.take(pa.array(at, pa.int64()))
+                more = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*[same.column(c) for c in ("_row", "_group", "doc_id", "_set")], *more], ["_row", "_group", "doc_id", "_set", "_pivot", "_same", "_all"])
+
+        part = stored(left.where(own).select("_row", "_group", "doc_id", "_set").mapInArrow(run, MEASURED), "measured")
+        out = part if out is None else out.union(part)
+        sent.destroy()
+    return out
+
+
 def _kept_of_large_groups(heavy: DataFrame) -> DataFrame:
     """_row of the rows that stay of candidate groups too large for one task, by exact rounds.
 
-    Each round compares every set with one pivot of its group. Sets of similarity 0.8 or more (the core) are linked to
-    the pivot and settled: by the triangle inequality only sets of similarity 0.6 or more (the ring) can be similar to
-    one of them, and those are compared with the core. All but the core go on; a group that has become small ends in
-    one task. So a group of near copies, however large, ends after a round or two, and no link is lost.
+    Each round compares every set with about PIVOTS pivots of its group, which are broadcast. Sets of similarity 0.8 or
+    more (a pivot's core) are linked to the pivot and settled: by the triangle inequality only sets of similarity 0.6
+    or more (its ring) can be similar to one of them, and those, settled or not, are compared with the core. All that
+    is in no core goes on; a group that has become small ends in one task. So a group of near copies, however large,
+    ends after a round or two, one of unlike sets loses its pivots each round, and no link is lost.
     """
     n = partitions(heavy.sparkSession)
     sets = stored(_with_sets(heavy), "large-groups")
-    left, links = sets, None
+    left, links, turn = sets, None, 0
+    sizes = cut(left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")))
     while True:
-        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_pivot")
-        pivots = left.groupBy("_group").agg(first).join(left.select(F.col("_row").alias("_pivot"), F.col("_set").alias("_of")), "_pivot")
-        both = left.join(pivots, "_group").withColumn("_same", F.size(F.array_intersect("_set", "_of")))
-        measured = stored(both.withColumn("_all", F.size("_set") + F.size("_of") - F.col("_same")).drop("_of"), "measured")
+        measured = _measured(left, _chosen_pivots(left, sizes, turn))
         core = (F.col("_row") == F.col("_pivot")) | (5 * F.col("_same") >= 4 * F.col("_all"))
         near = measured.where(core & (F.col("_row") != F.col("_pivot"))).select(F.col("_row").alias("a"), F.col("_pivot").alias("b"))
-        ring = _ring_links(measured.where(core), measured.where(~core & (5 * F.col("_same") >= 3 * F.col("_all"))))
-        left = measured.where(~core).select(*sets.columns)
-        sizes = left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_set") * 8).alias("_bytes"))
-        large = cut(sizes.where((F.col("_n") > GROUP_TEXTS) | (F.col("_bytes") > GROUP_BYTES)).select("_group"))
-        small = left.join(large, "_group", "left_anti").repartition(n, "_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
+        by_pivot = measured.where("_pivot IS NOT NULL").withColumn("_group", F.col("_pivot"))
+        ring = _ring_links(by_pivot.where(core), by_pivot.where(~core))
+        state = measured.groupBy("_row").agg(F.coalesce(F.bool_or(core), F.lit(False)).alias("_settled"))
+        left = stored(left.join(state.where("NOT _settled").select("_row"), "_row", "left_semi"), "left")
+        now = cut(left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_set") * 8).alias("_bytes")))
+        large = (F.col("_n") > GROUP_TEXTS) | (F.col("_bytes") > GROUP_BYTES)
+        small = _of_groups(left, now.where(~large).select("_group"), "left_semi").repartition(n, "_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
         ended = small.select("_row", "_group", "_set").mapInArrow(_set_links, "a long, b long")
         for part in (near, ring, ended):
             links = part if links is None else links if part is None else links.union(part)
-        if large.isEmpty():
+        sizes = cut(now.where(large).select("_group", "_n"))
+        if sizes.isEmpty():
             break
-        left = left.join(large, "_group", "left_semi")
+        left, turn = _of_groups(left, sizes.select("_group"), "left_semi"), turn + 1
     nodes = sets.select(F.col("_row").alias("node"), F.col("_row").alias("label"), "doc_id")
     found = smallest_reachable(nodes.select("node", "label"), cut(links)).join(nodes.select("node", "doc_id"), "node")
     named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node")))["node"]
