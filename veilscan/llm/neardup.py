@@ -233,12 +233,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, most: int
 
 # Near copies by the likeness of their shingle sets, for the corpus pipeline.
 
-#: Words of a shingle. Sets are linked from a Jaccard similarity of 0.8 (4 / 5) on.
+#: Words of a shingle. Sets are linked from a (Dice) similarity of 0.8 on: twice the shingles they share over the shingles
+#: of both. That is two thirds of their union, and one minus that share is a metric.
 SHINGLE = 5
-#: A shard's members agree on all of a band's least hashes: sets of similarity 0.8 share no band with 0.59 ** 20 = 3e-5.
-BANDS, ROWS = 20, 4
-#: At similarity 0.8 fingerprints of sets differ in 10 +- 3 bits.
-WIDE = 24
+#: A shard's members agree on all of a band's least hashes: linked sets share no band with 0.802 ** 28 = 2e-3 at most.
+BANDS, ROWS = 28, 4
+#: At similarity 0.8 fingerprints of sets differ in 14 +- 3 bits.
+WIDE = 26
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
@@ -269,6 +270,16 @@ def _signature(hashes: np.ndarray) -> tuple[int, int, list[int]]:
     return signed[0], signed[1], signed[2:]
 
 
+def _linked(shared, every):
+    """Whether sets are linked, by how many shingles they share and have together (numbers, arrays or columns)."""
+    return 3 * shared >= 2 * every
+
+
+def _close(shared, every):
+    """Whether sets may both be linked to a third one: no less than a third of their union is shared."""
+    return 3 * shared >= every
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``docs`` with _node, _fp and _bands of every whole text; null counts as empty."""
 
@@ -324,8 +335,8 @@ def _candidate_links(nodes: DataFrame) -> DataFrame:
 
 
 def groups_of_sets(sets: list[np.ndarray]) -> np.ndarray:
-    """For each of ``sets`` the index of the first member of its group, where links join sets of Jaccard similarity
-    0.8 or more. Each set meets all that no group has reached yet, so the result is that of all pairs."""
+    """For each of ``sets`` the index of the first member of its group, where links join sets of similarity 0.8
+    or more. Each set meets all that no group has reached yet, so the result is that of all pairs."""
     sizes = np.array([len(s) for s in sets])
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -349,7 +360,7 @@ def groups_of_sets(sets: list[np.ndarray]) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(mark[members])))
         mark[own] = False
         shared = sums[ends[1:]] - sums[ends[:-1]]
-        near = left & (5 * shared >= 4 * (sizes[x] + sizes[held] - shared))
+        near = left & _linked(shared, sizes[x] + sizes[held] - shared)
         left &= ~near
         group[held[near]] = first
         todo.extend(held[near].tolist())
@@ -438,10 +449,10 @@ def _ring_links(core: DataFrame, ring: DataFrame) -> DataFrame | None:
                         continue
                     mine, far, still = np.sort(np.array(own, np.int64)), 1 - same / max(every, 1), []
                     for row, pivot, other, away in open_[group]:
-                        # by the triangle inequality of Jaccard's distance the two are no more than 0.2 apart only then
-                        if away - far <= 0.2 + 1e-9:
+                        # by the triangle inequality of Jaccard's distance the two are no more than a third apart only then
+                        if away - far <= 1 / 3 + 1e-9:
                             shared = len(np.intersect1d(mine, other, assume_unique=True))
-                            if 5 * shared >= 4 * (len(mine) + len(other) - shared):
+                            if _linked(shared, len(mine) + len(other) - shared):
                                 found.append((row, pivot))
                                 continue
                         still.append((row, pivot, other, away))
@@ -472,7 +483,7 @@ def _unlike(pivots: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]
     kept: list[tuple[int, np.ndarray]] = []
     for row, own in pivots:
         shared = [len(np.intersect1d(own, other, assume_unique=True)) for _, other in kept]
-        if not any(5 * s >= 4 * (len(own) + len(other) - s) for s, (_, other) in zip(shared, kept, strict=True)):
+        if not any(_linked(s, len(own) + len(other) - s) for s, (_, other) in zip(shared, kept, strict=True)):
             kept.append((row, own))
     return kept
 
@@ -481,8 +492,7 @@ MEASURED = "_row long, _group long, doc_id long, _set array<long>, _pivot long,
 
 
 def _measured(left: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Every row of ``left`` with each pivot of its group that it shares six tenths or more with (MEASURED), or with
-    none. Pivots pass in blocks of bounded bytes, each broadcast, over the rows of their groups."""
+    """Every row of ``left`` with each pivot of its group that it is close to (MEASURED), or with none. Pivots pass in blocks of bounded bytes, each broadcast, over the rows of their groups."""
     size = pivots.agg(F.sum(F.size("_set") * 8 + 32)).first()[0] or 0
     blocks, out = -(-size // RING_BYTES), None
     for b in range(blocks):
@@ -500,7 +510,7 @@ def _measured(left: DataFrame, pivots: DataFrame) -> DataFrame:
                     for pivot, other in sent.value.get(group, []):
                         shared = len(mine) if pivot == row else len(np.intersect1d(mine, other, assume_unique=True))
                         every = len(mine) + len(other) - shared
-                        if pivot == row or 5 * shared >= 3 * every:
+                        if pivot == row or _close(shared, every):
                             found.append((pivot, shared, every))
                     if len(found) == before:
                         found.append((None, None, None))
@@ -519,8 +529,8 @@ def _kept_of_large_groups(heavy: DataFrame) -> DataFrame:
     """_row of the rows that stay of candidate groups too large for one task, by exact rounds.
 
     Each round compares every set with about PIVOTS pivots of its group, which are broadcast. Sets of similarity 0.8 or
-    more (a pivot's core) are linked to the pivot and settled: by the triangle inequality only sets of similarity 0.6
-    or more (its ring) can be similar to one of them, and those, settled or not, are compared with the core. All that
+    more (a pivot's core) are linked to the pivot and settled: by the triangle inequality only sets that are close to
+    the pivot (its ring) can be linked to one of them, and those, settled or not, are compared with the core. All that
     is in no core goes on; a group that has become small ends in one task. So a group of near copies, however large,
     ends after a round or two, one of unlike sets loses its pivots each round, and no link is lost.
     """
@@ -530,7 +540,7 @@ def _kept_of_large_groups(heavy: DataFrame) -> DataFrame:
     sizes = cut(left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")))
     while True:
         measured = _measured(left, _chosen_pivots(left, sizes, turn))
-        core = (F.col("_row") == F.col("_pivot")) | (5 * F.col("_same") >= 4 * F.col("_all"))
+        core = (F.col("_row") == F.col("_pivot")) | _linked(F.col("_same"), F.col("_all"))
         near = measured.where(core & (F.col("_row") != F.col("_pivot"))).select(F.col("_row").alias("a"), F.col("_pivot").alias("b"))
         by_pivot = measured.where("_pivot IS NOT NULL").withColumn("_group", F.col("_pivot"))
         ring = _ring_links(by_pivot.where(core), by_pivot.where(~core))
@@ -557,8 +567,8 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, ...): of each group of near copies the one with the smallest doc_id, and the
     first of those without doc_id.
 
-    Texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked; a group is what links
-    connect. Candidates share a band of least hashes and lie within WIDE bits of each other, found by vantage-point
+    Texts whose sets of 5-word shingles have a similarity of 0.8 or more (twice the shared over those of both) are
+    linked; a group is what links connect. Candidates share a band of least hashes and lie within WIDE bits of each other, found by vantage-point
     trees; what candidates connect is a candidate group, in which the shingle sets decide. A candidate group of
     bounded size is settled in one task, a larger one by ``_kept_of_large_groups``.
 
