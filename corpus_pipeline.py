@@ -27,7 +27,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the row with the smallest
+    """Of each group of near copies (5-word shingle sets of similarity 0.8 or more) the row with the smallest
     doc_id stays, and beside it the first of the rows without doc_id. Rows that repeat a doc_id are told apart. Null
     texts count as empty, and texts without words are copies of each other; an empty table gives no rows."""
     return distinct_documents(docs)
