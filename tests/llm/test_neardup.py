@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from veilscan.llm import neardup
+from veilscan.llm import components, neardup
 from veilscan.llm.components import smallest_reachable
 
 
@@ -95,6 +95,20 @@ def test_long_chain(spark):
     assert found == {i: low if i <= 20 else high for i in range(n)}
 
 
+def test_edges_inside_a_group_are_taken_up_once(spark, monkeypatch):
+    """Many links between the members of a large group, and a chain that needs rounds: merged nodes leave no edges."""
+    rng = np.random.default_rng(4)
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 200, 4000), rng.integers(0, 200, 4000), strict=True) if a > b}
+    order = rng.permutation(60).tolist()
+    pairs |= {(1000 + a, 1000 + b) for a, b in zip(order, order[1:], strict=False)} | {(1000, 1000)}
+    sizes, keep = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: sizes.append(keep(df).count()) or keep(df) if df.columns == ["a", "b"] else keep(df))
+    nodes = spark.createDataFrame([(n, 5000 - n) for n in [*range(200), *range(1000, 1060), 4000]], "node long, label long")
+    found = {r["node"]: r["label"] for r in smallest_reachable(nodes, spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert found == {n: 4801 if n < 200 else 3941 if n < 1060 else 1000 for n in [*range(200), *range(1000, 1060), 4000]}
+    assert sizes[-1] == 0 and sum(sizes) < 1.1 * len(pairs)
+
+
 def test_linked_rows_without_or_with_repeated_ids(spark, monkeypatch):
     """Fingerprints that share a label (no doc_id, or a repeated one) stay in their own components."""
     names = "abcdefghi"
