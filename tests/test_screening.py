@@ -3,6 +3,7 @@
 import os
 import random
 import struct
+import time
 import wave
 import zlib
 
@@ -311,3 +312,19 @@ def test_sealed_round_trip_of_items(spark):
 def test_keys_follow_the_published_function():
     """RFC 7914: the first 32 of the 64 bytes that it lists."""
     assert envelope.scrypt_key("pleaseletmein", b"SodiumChloride").hex() == "7023bdcb3afd7348461c06cd81fd38ebfda8fbba904f8e3ea9b543f6545da1f2"
+
+
+def test_trailing_whitespace_costs_little_more_than_counting_lines(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    texts = docs.crossJoin(spark.range(10)).select("text").repartition(4).cache()
+    texts.count()
+
+    def best(column):
+        times = []
+        for _ in range(4):
+            began = time.time()
+            texts.select(column.alias("s")).write.format("noop").mode("overwrite").save()
+            times.append(time.time() - began)
+        return min(times)
+
+    assert best(detect.trailing_whitespace(F.col("text"))) < 6 * best(F.regexp_count("text", F.lit(bits.LINE_END)))
