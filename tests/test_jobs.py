@@ -280,6 +280,17 @@ def test_rule_signals(spark):
 # sources, sinks and streams
 
 
+def test_many_small_files_are_written_and_read_by_a_few_tasks_per_core(spark, tmp_path):
+    """One input partition must not write all files, nor the driver move them, and 32 files must not make a task."""
+    texts = spark.range(0, 700, 1, 1).select(F.concat(F.lit("t"), "id").alias("value"), F.concat(F.lit("."), F.col("id") % 2).alias("kind"))
+    files.write_each(texts, str(tmp_path / "x"), "kind")
+    names = [os.path.join(d, n) for d, _, found in os.walk(tmp_path / "x") for n in found if n.startswith("part-")]
+    assert len(names) == 700 and len({os.path.basename(n).split("-")[1] for n in names}) == files.many_tasks(spark)
+    found = files.scan_files(spark, str(tmp_path / "x"), "*.txt", tasks=files.many_tasks(spark))
+    assert found.rdd.getNumPartitions() == files.many_tasks(spark) < files.scan_files(spark, str(tmp_path / "x"), "*.txt").rdd.getNumPartitions()
+    assert sorted(bytes(r["content"]).decode() for r in found.collect()) == sorted(f"t{i}\n" for i in range(700))
+
+
 def test_pruning_reaches_the_source(spark, tmp_path):
     for name in ("a.txt", "B.TXT", "c.md", "d.png", "e.wav"):
         (tmp_path / name).write_bytes(b"x" * (10 if name != "c.md" else 1000))
