@@ -328,3 +328,10 @@ def test_trailing_whitespace_costs_little_more_than_counting_lines(spark, small)
         return min(times)
 
     assert best(detect.trailing_whitespace(F.col("text"))) < 6 * best(F.regexp_count("text", F.lit(bits.LINE_END)))
+
+
+def test_lines_are_counted_without_being_made(spark):
+    rng = random.Random(6)
+    odd = ["", "\n", "\r\n", "a", "a\r", None] + ["".join(rng.choice(["a", "\n", "\r", "\r\n", "\x1c", "\x85", "\u2028", "\U0001f600"]) for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", bits.line_count(F.col("text")).alias("n"), F.size(bits.lines(F.col("text"))).alias("size")).collect()
+    assert all(r["n"] == r["size"] == len(r["text"].splitlines()) for r in rows if r["text"] is not None) and rows[5]["n"] == rows[5]["size"]
