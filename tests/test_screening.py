@@ -4,17 +4,19 @@ import os
 import random
 import struct
 import time
+import tracemalloc
 import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilscan.functions import bits, detect
 from veilscan.operators import envelope, jobs, marks, rollup, triage
 from veilscan.plans import fixtures
-from veilscan.sources import files, images
+from veilscan.sources import files, images, media
 from veilscan.streaming.screen import screen_stream
 
 
@@ -335,3 +337,30 @@ def test_lines_are_counted_without_being_made(spark):
     odd = ["", "\n", "\r\n", "a", "a\r", None] + ["".join(rng.choice(["a", "\n", "\r", "\r\n", "\x1c", "\x85", "\u2028", "\U0001f600"]) for _ in range(rng.randint(1, 9))) for _ in range(500)]
     rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", bits.line_count(F.col("text")).alias("n"), F.size(bits.lines(F.col("text"))).alias("size")).collect()
     assert all(r["n"] == r["size"] == len(r["text"].splitlines()) for r in rows if r["text"] is not None) and rows[5]["n"] == rows[5]["size"]
+
+
+def test_contents_are_measured_without_copies():
+    """A worker's memory follows the Arrow batch it reads, not several copies of it."""
+    one = b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + 6 + 44 + 20_000) + b"Exif\0\0" + bytes.fromhex("4D4D002A00000008000187690004000000010000001A0000000000019286000700004E200000002C00000000") + b"STEGEXIF".ljust(20_000, b".")
+    kinds, contents = pa.array([".jpg"] * 2000), pa.array([one] * 2000)
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    found = media.measured(kinds, contents)
+    held, made = tracemalloc.get_traced_memory()[1], pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert contents.nbytes > 40_000_000 and held < 4_000_000 and made < 1_000_000
+    assert set(map(str, found.to_pylist())) == {str({"n": None, "ones": None, "pair_ratio": None, "comment_bytes": 20_000, "marked": True, "error": None})}
+
+
+def test_unreadable_contents_send_only_their_start(spark):
+    """Text under an image's, sound's or comment's extension tells its error by its first bytes."""
+    starts = [b"", b"B", b"BM", b"R", b"RIFF", b"RIFX", b"RIFF" + bytes(8), b"\xff", b"\xff\xd8", b"\xff\xd8\xff\xe1\0", b"I", b"II", b"II*\0", b"MM\0*\0\0\0\x08", b"\x89PNG\r\n\x1a\n", b"\x89PNG", b"any words at all"]
+    rows = [(ext, bytearray(start + end)) for ext in (".png", ".bmp", ".wav", ".jpg", ".jpeg", ".tiff", ".txt") for start in starts for end in (b"", b"words " * 500)]
+    rows += [(".png", None), (".jpg", None)]
+    items = spark.createDataFrame(rows, "ext string, content binary")
+    found = items.select("ext", "content", media.facts(F.col("ext"), F.col("content")).alias("f"), F.length(media._readable(F.col("ext"), F.col("content"))).alias("sent")).collect()
+    for r in found:
+        known = r.ext != ".txt" and r.content is not None
+        assert tuple(r.f) == (media._facts(r.ext, bytes(r.content)) if known else (None,) * 6), (r.ext, bytes(r.content or b"")[:20])
+        if r.content is not None and bytes(r.content).startswith((b"any words", b"RIFX")):
+            assert (r.sent or 0) <= 8

@@ -34,7 +34,7 @@ def file_signals(content: Column, text: Column, lenient: Column, trailer: Column
     return {
         "audio_wav": (SOUND, detect.sound_signals(media["n"], media["ones"])),
         "filestruct_appended": (tuple(detect.END_MARKERS), detect.appended_signals(trailer)),
-        "filestruct_exif": (COMMENT, detect.exif_comment(media["comment"])),
+        "filestruct_exif": (COMMENT, detect.comment_signals(media["comment_bytes"], media["marked"])),
         "image_jpeg": ((".jpg", ".jpeg"), detect.jpeg_signals(content, trailer)),
         "image_lsb": (IMAGE, detect.image_signals(media["n"], media["ones"], media["pair_ratio"])),
         "text_whitespace": ((".txt", ".md"), detect.trailing_whitespace(text)),
