@@ -364,3 +364,20 @@ def test_unreadable_contents_send_only_their_start(spark):
         assert tuple(r.f) == (media._facts(r.ext, bytes(r.content)) if known else (None,) * 6), (r.ext, bytes(r.content or b"")[:20])
         if r.content is not None and bytes(r.content).startswith((b"any words", b"RIFX")):
             assert (r.sent or 0) <= 8
+
+
+def test_lines_and_marks_are_counted_as_python_does(spark):
+    """The same counts as Python's, and no character of a text becomes a string of its own."""
+    rng = random.Random(8)
+    common, rare = ["a", " ", "\t", "\n", "\n", "\u3000", "\u200b", "\u200c", "\u200d", "\U0001f600", "\u00e9"], ["\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    odd = ["", " ", "\n", "a ", "a\t", " \n", "a \n", "a\n ", "\t \n \n", *(f"a {end}b\t" for end in rare)]
+    odd += ["".join(rng.choice(common if k % 3 else common + rare) for _ in range(rng.randint(1, 12))) for k in range(6000)]
+    rows = spark.createDataFrame([(t,) for t in odd] + [(None,)], "text string").select("text", detect.trailing_whitespace(F.col("text")).alias("t"), detect.zero_width(F.col("text")).alias("z")).collect()
+    plan = spark.range(1).select(detect.zero_width(F.col("id").cast("string")).alias("z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan
+    for text, tails, marks_ in rows:
+        lines = (text or "").splitlines()
+        flagged = sum(line.strip() != "" and line[-1] in " \t" for line in lines)
+        assert [s["detail"] for s in tails] == ([f"{flagged}/{len(lines)}"] if lines else []), text
+        n = sum((text or "").count(c) for c in "\u200b\u200c\u200d")
+        assert [(s["detail"], s["score"]) for s in marks_] == ([(f"{n} zero-width chars", min(100, 70 + n // 2))] if n else []), text
