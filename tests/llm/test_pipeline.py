@@ -69,6 +69,27 @@ def test_near_copies_against_brute_force(spark, monkeypatch, most, shard):
     assert sorted(r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == sorted(set(root))
 
 
+def test_unlike_texts_with_a_common_passage_need_few_rounds(spark, monkeypatch):
+    """They are candidates of each other by the passage, so their group grows with the input; it must not lose a few
+    texts each round, whether it fits a task (4,100 texts) or not."""
+    rng, rounds, chosen = random.Random(3), [], neardup._chosen_pivots
+    monkeypatch.setattr(neardup, "_chosen_pivots", lambda *a: rounds.append(1) or chosen(*a))
+    passage = [f"p{i}" for i in range(32)]
+
+    def texts(n, least, most):
+        words = lambda: [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(least, most))]
+        return [" ".join([*words(), *passage, *words()]) for _ in range(n)]
+
+    def same(some):
+        kept = neardup.distinct_documents(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"))
+        return {r["doc_id"] for r in kept.collect()} == set(neardup.groups_of_sets([neardup.shingle_set(t) for t in some]).tolist())
+
+    assert same(texts(4100, 4, 9)) and not rounds
+    monkeypatch.setattr(neardup, "GROUP_TEXTS", 100)
+    monkeypatch.setattr(neardup, "PIVOTS", 8)
+    assert same(texts(400, 9, 16)) and 1 <= len(rounds) <= 2
+
+
 def test_recall_of_copies_with_changed_words(spark):
     """Copies with 3 % of their words changed (similarity 0.86 on average) go with their originals, other texts stay."""
     rng = random.Random(12)

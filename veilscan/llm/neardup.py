@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,37 +335,72 @@ def _candidate_links(nodes: DataFrame) -> DataFrame:
     return links if stars is None else links.union(stars)
 
 
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of spans of an array, one span after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _leading(size):
+    """Linked sets share at least two thirds of the larger one, so one of so many rarest members of each at least
+    (a number, array or column)."""
+    return size - (2 * size + 2) // 3 + 1
+
+
 def groups_of_sets(sets: list[np.ndarray]) -> np.ndarray:
     """For each of ``sets`` the index of the first member of its group, where links join sets of similarity 0.8
-    or more. Each set meets all that no group has reached yet, so the result is that of all pairs."""
-    sizes = np.array([len(s) for s in sets])
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    mark, group = np.zeros(len(names), bool), np.zeros(len(sets), int)
-    held, left, todo, first = np.arange(len(sets)), np.ones(len(sets), bool), [], 0
-    members, ends = flat, starts
-    while todo or left.any():
+    or more. Each set meets all that no group has reached yet and that share one of its rarest members with one of
+    theirs (see ``_leading``), so the result is that of all pairs, and sets that share what is common do not meet."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several, owner = counts[flat] > 1, np.repeat(np.arange(n), sizes)  # what one set has it shares with none
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    flat, owner = rank[flat[several]], owner[several]
+    flat = flat[np.lexsort((flat, owner))]
+    lengths = np.bincount(owner, minlength=n)
+    starts = np.cumsum(lengths) - lengths
+    heads = np.clip(_leading(sizes) - (sizes - lengths), 0, lengths)
+    by_member = _spans(starts, heads)
+    by_member = by_member[np.argsort(flat[by_member], kind="stable")]
+    members, holders = flat[by_member], owner[by_member]
+    mark, left, group = np.zeros(len(counts), bool), np.ones(n, bool), np.zeros(n, np.int64)
+    todo, first, open_, held = [], 0, n, n
+    while True:
+        while not todo and first < n and not left[first]:
+            first += 1
         if not todo:
-            at = np.flatnonzero(left)[0]
-            left[at], first = False, held[at]
-            group[first] = first
-            todo = [first]
+            if first == n:
+                return group
+            left[first], group[first], todo, at, open_ = False, first, [first], first, open_ - 1
         x = todo.pop()
-        if 2 * np.count_nonzero(left) < len(held):  # only the sets that are left are looked at
-            held = held[left]
-            left = np.ones(len(held), bool)
-            members = np.concatenate([flat[:0], *[flat[starts[i] : starts[i + 1]] for i in held.tolist()]])
-            ends = np.concatenate(([0], np.cumsum(sizes[held])))
-        own = flat[starts[x] : starts[x + 1]]
-        mark[own] = True
-        sums = np.concatenate(([0], np.cumsum(mark[members])))
-        mark[own] = False
-        shared = sums[ends[1:]] - sums[ends[:-1]]
-        near = left & _linked(shared, sizes[x] + sizes[held] - shared)
-        left &= ~near
-        group[held[near]] = first
-        todo.extend(held[near].tolist())
-    return group
+        if not sizes[x]:
+            near = np.flatnonzero(left & (sizes == 0))
+        elif not heads[x]:
+            continue
+        else:
+            if 2 * open_ < held:  # only the sets that are left are looked at
+                keep = left[holders]
+                members, holders, held = members[keep], holders[keep], open_
+            own = flat[starts[x] : starts[x] + lengths[x]]
+            a, b = np.searchsorted(members, own[: heads[x]]), np.searchsorted(members, own[: heads[x]], "right")
+            if np.sum(b - a) < open_:
+                some = holders[_spans(a, b - a)]
+                some = np.unique(some[left[some]])
+            else:
+                some = np.flatnonzero(left)
+            most = np.minimum(lengths[x], lengths[some])
+            some = some[_linked(most, sizes[x] + sizes[some] - most)]
+            if not len(some):
+                continue
+            mark[own] = True
+            sums = np.concatenate(([0], np.cumsum(mark[flat[_spans(starts[some], lengths[some])]])))
+            mark[own] = False
+            ends = np.cumsum(lengths[some])
+            shared = sums[ends] - sums[ends - lengths[some]]
+            near = some[_linked(shared, sizes[x] + sizes[some] - shared)]
+        left[near], group[near], open_ = False, at, open_ - len(near)
+        todo.extend(near.tolist())
 
 
 def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +426,7 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: A candidate group of at most so many texts and bytes is settled in one task, a larger one by rounds of pivots.
-GROUP_TEXTS, GROUP_BYTES = 4000, 64 << 20
+GROUP_TEXTS, GROUP_BYTES = 50_000, 64 << 20
 #: Bytes of shingle sets that are broadcast at once.
 RING_BYTES = 32 << 20
 #: Pivots that a large group has in a round, and groups (numbers) that are broadcast at most.
@@ -526,6 +561,25 @@ def _measured(left: DataFrame, pivots: DataFrame) -> DataFrame:
     return out
 
 
+def _sizes(left: DataFrame) -> DataFrame:
+    return cut(left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_set") * 8).alias("_bytes")))
+
+
+def _split(left: DataFrame) -> DataFrame:
+    """``left`` (_row, _group, doc_id, _set) with groups within the groups: linked sets share one of their ``_leading``
+    members, from the rarest in the group on, so sets that no such member connects are not linked. Each row is linked to the
+    first of those that lead with the same member, never to all."""
+    each = left.select("_group", "_row", F.size("_set").alias("_size"), F.explode(F.when(F.size("_set") > 0, F.col("_set")).otherwise(F.array(F.lit(0).cast("long")))).alias("_x"))
+    several = each.groupBy("_group", "_x").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
+    own = Window.partitionBy("_row")
+    held = each.join(several, ["_group", "_x"]).withColumns({"_place": F.row_number().over(own.orderBy("_times", "_x")), "_held": F.count(F.lit(1)).over(own)})
+    leading = stored(held.where("_place <= _held - (2 * _size + 2) div 3 + 1").select("_group", "_x", "_row"), "leading")
+    first = leading.groupBy("_group", "_x").agg(F.min("_row").alias("b"))
+    links = cut(leading.join(first, ["_group", "_x"]).where("_row <> b").select(F.col("_row").alias("a"), "b").distinct())
+    found = smallest_reachable(left.select(F.col("_row").alias("node"), F.col("_row").alias("label")), links)
+    return left.drop("_group").join(found.select(F.col("node").alias("_row"), F.col("label").alias("_group")), "_row").select("_row", "_group", "doc_id", "_set")
+
+
 def _kept_of_large_groups(heavy: DataFrame) -> DataFrame:
     """_row of the rows that stay of candidate groups too large for one task, by exact rounds.
 
@@ -533,12 +587,13 @@ def _kept_of_large_groups(heavy: DataFrame) -> DataFrame:
     more (a pivot's core) are linked to the pivot and settled: by the triangle inequality only sets that are close to
     the pivot (its ring) can be linked to one of them, and those, settled or not, are compared with the core. All that
     is in no core goes on; a group that has become small ends in one task. So a group of near copies, however large,
-    ends after a round or two, one of unlike sets loses its pivots each round, and no link is lost.
+    ends after a round or two, and no link is lost. One of unlike sets would lose only its pivots each round, so what is
+    left is split first (``_split``), after rounds 1, 2, 3, 5, 9 and so on.
     """
     n = partitions(heavy.sparkSession)
     sets = stored(_with_sets(heavy), "large-groups")
     left, links, turn = sets, None, 0
-    sizes = cut(left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")))
+    sizes, large = _sizes(left), (F.col("_n") > GROUP_TEXTS) | (F.col("_bytes") > GROUP_BYTES)
     while True:
         measured = _measured(left, _chosen_pivots(left, sizes, turn))
         core = (F.col("_row") == F.col("_pivot")) | _linked(F.col("_same"), F.col("_all"))
@@ -547,8 +602,12 @@ def _kept_of_large_groups(heavy: DataFrame) -> DataFrame:
         ring = _ring_links(by_pivot.where(core), by_pivot.where(~core))
         state = measured.groupBy("_row").agg(F.coalesce(F.bool_or(core), F.lit(False)).alias("_settled"))
         left = stored(left.join(state.where("NOT _settled").select("_row"), "_row", "left_semi"), "left")
-        now = cut(left.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_set") * 8).alias("_bytes")))
-        large = (F.col("_n") > GROUP_TEXTS) | (F.col("_bytes") > GROUP_BYTES)
+        now = _sizes(left)
+        whole = now.where(large).select("_group")
+        if not turn & (turn - 1) and not whole.isEmpty():
+            parts = _split(_of_groups(left, whole, "left_semi"))
+            left = stored(_of_groups(left, whole, "left_anti").select(*parts.columns).union(parts), "split")
+            now = _sizes(left)
         small = _of_groups(left, now.where(~large).select("_group"), "left_semi").repartition(n, "_group").sortWithinPartitions("_group", F.col("doc_id").asc_nulls_last(), "_row")
         ended = small.select("_row", "_group", "_set").mapInArrow(_set_links, "a long, b long")
         for part in (near, ring, ended):
