@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import math
 import random
+import urllib.parse
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,19 @@ def test_search_equals_brute_force(spark, block):
     assert ordered(map(tuple, found.collect())) == ordered(plain_search(docs, items))
 
 
+def test_shards_of_a_task_are_held_one_by_one(spark, monkeypatch):
+    """What a task holds must not grow with its shards: each is a row group, and is sent to Python alone."""
+    name, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, lexical.stored
+    monkeypatch.setattr(lexical, "stored", lambda df, label, **more: seen.update({label: spark.conf.get(name)}) or keep(df, label, **more))
+    before = spark.conf.get(name)
+    docs = spark.range(20).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 150000) AS text").coalesce(1)
+    rows = lexical.build_index(docs).rows
+    (file,) = [urllib.parse.urlparse(f).path for f in rows.inputFiles()]
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_row_groups == groups.num_rows > 2
+    assert seen["treaps"] == "1" and spark.conf.get(name) == before
+
+
 def test_search_in_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "b")], "item_id long, text string")

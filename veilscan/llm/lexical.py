@@ -26,10 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import arrow_rows, scratch, stored
 
 #: Documents and bytes of text of a shard; the document that reaches the bytes is its last one.
 DOCUMENTS, BYTES = 8192, 6 << 20
+#: A row holds a shard of many MB, and Parquet looks at sizes only after a hundred rows: so each is a row group of its own.
+EACH = {"parquet.block.row.count.limit": "1"}
+#: Documents sent to Python at once.
+SENT = 1000
 #: Bytes of the items of a block.
 BLOCK = 8 << 20
 #: Cells opened at once, and cells of a frontier above which the smallest ranges are opened first, which keeps it short.
@@ -168,11 +172,14 @@ class Index:
 def build_index(docs: DataFrame) -> Index | None:
     """The index of all rows of ``docs`` (doc_id, text) that have a term; None if there are none. Rows without doc_id
     are indexed under null, rows that repeat one as often as they occur."""
-    grids = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_grids, GRID), "grids")
+    spark, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    with arrow_rows(spark, SENT):
+        grids = stored(texts.mapInArrow(_grids, GRID), "grids", **EACH)
     documents, total = grids.agg(F.sum("documents"), F.sum("terms")).first()
     if not documents:
         return None
-    return Index(stored(grids.mapInArrow(_treap(documents, total), TREAP), "treaps"), documents)
+    with arrow_rows(spark, 1):
+        return Index(stored(grids.mapInArrow(_treap(documents, total), TREAP), "treaps", **EACH), documents)
 
 
 class Treap:
@@ -307,7 +314,8 @@ def search(index: Index | None, items: DataFrame, k: int = 20, block: int = BLOC
             continue
         context = spark.sparkContext
         sent = context.broadcast(wanted)
-        counted = index.rows.select("words", "holding").mapInArrow(_holding(sent), "term long, documents long").groupBy("term").agg(F.sum("documents")).collect()
+        with arrow_rows(spark, 1):
+            counted = index.rows.select("words", "holding").mapInArrow(_holding(sent), "term long, documents long").groupBy("term").agg(F.sum("documents")).collect()
         sent.destroy()
         held = dict(map(tuple, counted))
         weight = [_weight(index.documents, held.get(i, 0)) for i in range(len(wanted))]
@@ -321,7 +329,8 @@ def search(index: Index | None, items: DataFrame, k: int = 20, block: int = BLOC
         hits = index.rows.mapInArrow(_searched(sent, k), "q long, item_id long, doc_id long, score long")
         order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked.select("item_id", "rank", "doc_id", "score").write.mode("append").parquet(path)
+        with arrow_rows(spark, 1):
+            ranked.select("item_id", "rank", "doc_id", "score").write.mode("append").parquet(path)
         sent.destroy()
     form = "item_id long, rank int, doc_id long, score long"
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
