@@ -291,6 +291,25 @@ def test_many_small_files_are_written_and_read_by_a_few_tasks_per_core(spark, tm
     assert sorted(bytes(r["content"]).decode() for r in found.collect()) == sorted(f"t{i}\n" for i in range(700))
 
 
+def test_tasks_write_single_files_like_sparks_writer(spark, tmp_path, monkeypatch):
+    """Spark's local store starts a process for each file, so the tasks write them; the files are the same."""
+    rows = [(bytearray(b"a\xff\r\n"), ".png"), (bytearray(), ".x"), (None, ".x"), (bytearray("é".encode()), None), (bytearray(b"b"), "a [b] é/%^")]
+    texts = spark.createDataFrame(rows, "value binary, kind string").withColumn("value", F.col("value").cast("string"))
+
+    def written(name, by):
+        files.write_each(texts if by else texts.select("value"), f"{tmp_path}/{name}", by)
+        kept = [(os.path.relpath(d, tmp_path / name), open(os.path.join(d, n), "rb").read()) for d, _, found in os.walk(tmp_path / name) for n in found if n.startswith("part-")]
+        return sorted(kept), os.path.exists(tmp_path / name / "_SUCCESS")
+
+    own = [written("own", "kind"), written("own-plain", None)]
+    assert not any(by_spark for _, by_spark in own)
+    assert files._by_tasks(spark, f"file://{tmp_path}/own") and not files._by_tasks(spark, "viewfs://store/x")
+    monkeypatch.setattr(files, "_by_tasks", lambda *a: False)
+    sparks = [written("spark", "kind"), written("spark-plain", None)]
+    assert all(by_spark for _, by_spark in sparks)
+    assert [kept for kept, _ in own] == [kept for kept, _ in sparks]
+
+
 def test_pruning_reaches_the_source(spark, tmp_path):
     for name in ("a.txt", "B.TXT", "c.md", "d.png", "e.wav"):
         (tmp_path / name).write_bytes(b"x" * (10 if name != "c.md" else 1000))
